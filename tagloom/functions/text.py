@@ -96,5 +96,7 @@ def url_key(url: Column) -> Column:
 
 
 def text_fingerprint(text: Column) -> Column:
-    """md5 of the lower-cased text with runs of blanks made one blank."""
-    return F.md5(F.lower(F.trim(F.regexp_replace(text, r"[ \t\r\n\f]+", " "))))
+    """md5 of the lower-cased text with runs of blanks made one blank. Drop NULL
+    texts first: the result is never NULL, so that a later test for NULL does not
+    make Spark compute it a second time."""
+    return F.md5(F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n\f]+", " "))))

@@ -127,12 +127,13 @@ def _to_matrix(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _to_lists(matrix: np.ndarray, present: np.ndarray):
     """Arrow list column with a NULL wherever ``present`` is false."""
-    width = matrix.shape[1] if matrix.ndim == 2 else 0
-    counts = np.where(present, width, 0)
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    mask = np.concatenate([~present, [False]])
-    return pa.ListArray.from_arrays(
-        pa.array(offsets, type=pa.int32(), mask=mask), pa.array(matrix.ravel(), type=pa.float64()))
+    return pa.ListArray.from_arrays(_offsets(present, matrix.shape[1]), pa.array(matrix.ravel(), type=pa.float64()))
+
+
+def _offsets(present: np.ndarray, width: int):
+    """List offsets; a NULL offset makes its row NULL."""
+    ends = np.concatenate([[0], np.cumsum(np.where(present, width, 0))]).astype(np.int32)
+    return pa.array(ends, type=pa.int32(), mask=np.concatenate([~present, [False]]))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -167,6 +168,25 @@ def matrix_softmax(features: Column, weights, bias=None, scale: float = 1.0, uni
     return kernel(features)
 
 
+def ranked_pairs(probs: Column, k: int) -> Column:
+    """array<struct<idx, p>>: the k largest values, the lower position first on a
+    tie. Chained behind another Arrow function it runs in the same Python pass, so
+    only k pairs per row go back to the JVM."""
+    kind = pa.struct([("idx", pa.int32()), ("p", pa.float64())])
+
+    @F.arrow_udf("array<struct<idx:int,p:double>>")
+    def kernel(vec: pa.Array) -> pa.Array:
+        present, p = _to_matrix(vec)
+        width = min(k, p.shape[1])
+        order = np.argsort(-p, axis=1, kind="stable")[:, :width]
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(order.ravel(), type=pa.int32()),
+             pa.array(np.take_along_axis(p, order, axis=1).ravel(), type=pa.float64())], fields=list(kind))
+        return pa.ListArray.from_arrays(_offsets(present, width), pairs)
+
+    return kernel(probs)
+
+
 def gate_softmax(features: Column, target: Column, shared, scale: float = fixed.SIMILARITY_SCALE) -> Column:
     """Softmax over slot 0 = the row's own target and slots 1.. = the shared vectors."""
     d = _unit(np.asarray(shared, dtype=np.float64))

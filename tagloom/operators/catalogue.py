@@ -119,8 +119,10 @@ def harvest_urls(
     """(id, pos, url): wanted leaves of each document, first occurrences, in
     document order. One document stays one row until the end: no shuffle."""
     leaves = string_leaves(F.col(json_col), skip)
+    wanted = F.array_distinct(F.filter("__leaves", lambda x: x.startswith(prefix) & x.endswith(suffix)))
+    # the outer form: the plain one would add a size test that walks each document twice
     return (
         df.select(id_col, leaves.alias("__leaves"))
-        .select(id_col, F.posexplode(F.array_distinct(F.filter(
-            "__leaves", lambda x: x.startswith(prefix) & x.endswith(suffix)))).alias("pos", "url"))
+        .select(id_col, F.posexplode_outer(wanted).alias("pos", "url"))
+        .filter("pos IS NOT NULL")
     )

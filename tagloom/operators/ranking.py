@@ -55,7 +55,7 @@ def dedup_first(df: DataFrame, group: list[str], fingerprint: str, order: str) -
     Rows without a fingerprint (unreadable) are dropped. Copies are cut down on
     the map side, so a fingerprint shared by a third of the rows sends one row
     per map task, not the whole pile."""
-    readable = df.filter(F.col(fingerprint).isNotNull())
+    readable = df.filter(F.col(fingerprint).isNotNull()) if df.schema[fingerprint].nullable else df
     keys = [*group, fingerprint]
     if set(df.columns) == {*keys, order}:
         return readable.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)

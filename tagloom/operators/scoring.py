@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tagloom.functions import fixed
 from tagloom.functions.text import canonical_label
-from tagloom.functions.vectors import matrix_softmax
+from tagloom.functions.vectors import matrix_softmax, ranked_pairs
 from tagloom.operators.sizing import fits_broadcast
 
 # Names of the two answering models.
@@ -103,14 +103,27 @@ def top_k(probs: Column, names: Sequence[str], k: int = 3) -> Column:
     if k < 1:
         raise ValueError("k must be at least 1")
     labels = F.array(*[F.lit(n) for n in names])
-    ranked = F.array_sort(F.transform(probs, lambda p, i: F.struct((-p).alias("neg"), i.alias("idx"))))
+    ranked = F.sort_array(F.transform(probs, lambda p, i: F.struct((-p).alias("neg"), i.alias("idx"))))
     return F.transform(
         F.slice(ranked, 1, k),
         lambda s: F.struct(F.get(labels, s["idx"]).alias("name"), (-s["neg"] * 100).alias("confidence")))
 
 
+def best_k(probs: Column, names: Sequence[str], k: int = 3) -> Column:
+    """Same as :func:`top_k`, ranked in Python right behind a scorer that runs
+    there: for a wide vocabulary far less data comes back than the whole array."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    labels = F.array(*[F.lit(n) for n in names])
+    return F.transform(
+        ranked_pairs(probs, k),
+        lambda s: F.struct(F.get(labels, s["idx"]).alias("name"), (s["p"] * 100).alias("confidence")))
+
+
 def score(df: DataFrame, scorer: Scorer, features: str, k: int = 3, out: str = "predictions") -> DataFrame:
-    return scorer(df, features, "__p").withColumn(out, top_k(F.col("__p"), scorer.names, k)).drop("__p")
+    """Add the scorer's ``k`` best classes. Explode the result with the outer form:
+    the plain one makes Spark test its size first and score every row twice."""
+    return scorer(df, features, "__p").withColumn(out, best_k(F.col("__p"), scorer.names, k)).drop("__p")
 
 
 def merge_aliases(predictions: Column, aliases: Mapping[str, str]) -> Column:
@@ -132,7 +145,7 @@ def route(
     best = F.get(F.col(predictions), F.lit(0))["name"]
     asked = df.withColumn("__f", F.when(best.isin(*members), F.col(features)))
     answered = second(asked, "__f", "__q").withColumn(
-        "__second", merge_aliases(top_k(F.col("__q"), second.names, k), aliases))
+        "__second", merge_aliases(best_k(F.col("__q"), second.names, k), aliases))
     # the product, not the literal 55: it is a little above it in doubles
     sure = F.coalesce(F.get(F.col("__second"), F.lit(0))["confidence"] >= F.lit(trust * 100), F.lit(False))
     return (

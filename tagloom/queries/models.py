@@ -26,19 +26,17 @@ routed AS (SELECT vec_id, rnk, name, confidence, 'gen1-3' AS model FROM top_a WH
 
 
 def _ranks(df, *keys):
-    return df.select(*keys, F.posexplode("predictions").alias("i", "s")).select(
+    return df.select(*keys, F.posexplode_outer("predictions").alias("i", "s")).select(
         *keys, (F.col("i") + 1).alias("rnk"), F.col("s.name").alias("name"), F.round("s.confidence", 4).alias("confidence"))
 
 
-def _scored(spark, sf):
-    v = vectors(spark, sf)
-    return scoring.score(v, model_a(v), "embedding")
-
-
 @query("w4_top_k", f"""WITH {VECTORS_SQL}, {probs_sql('a')}, {_TOP.format(m='a')}
 SELECT vec_id, rnk::INT AS rnk, name, round(confidence, 4) AS confidence FROM top_a""")
 def top_k(spark, sf):
-    return _ranks(_scored(spark, sf), "vec_id")
+    v = vectors(spark, sf)
+    model = model_a(v)
+    ranked = scoring.top_k(F.col("p"), model.names)
+    return _ranks(model(v, "embedding", "p").withColumn("predictions", ranked), "vec_id")
 
 
 @query("m2_score", f"""WITH {VECTORS_SQL}, {probs_sql('a')}

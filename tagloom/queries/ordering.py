@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from tagloom.operators import ranking
 from tagloom.operators.catalogue import ingest_pages
 from tagloom.operators.evaluation import early_stop
+from tagloom.operators.sizing import settle
 from tagloom.queries.registry import query, table
 from tagloom.queries.shared import DOCUMENTS_SQL, documents
 
 
 def order_pages(spark, sf):
-    """Orders cut in catalogue pages of 100 keys; the array of a page is bounded."""
+    """Orders landed as catalogue pages of 100 keys; the array of a page is bounded."""
     size = 100
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     last = orders.agg((F.floor(F.max("o_orderkey") / size) + 1).cast("int")).scalar()
-    return (
+    return settle(
         orders.groupBy((F.floor(F.col("o_orderkey") / size) + 1).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderpriority"))).alias("data"))
         .withColumn("last_page", last)

@@ -23,12 +23,12 @@ def item_name(id_col: str) -> Column:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as labelled items with a provenance key and a fingerprint."""
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select(
         "doc_id", "lang", "source", item_name("doc_id").alias("file_name"), text_fingerprint(F.col("text")).alias("fp"))
 
 
 DOCUMENTS_SQL = f"""docs AS (
-  SELECT doc_id, lang, source, {NAME_SQL.format(id='doc_id')} AS file_name, {FINGERPRINT_SQL} AS fp FROM documents)"""
+  SELECT doc_id, lang, source, {NAME_SQL.format(id='doc_id')} AS file_name, {FINGERPRINT_SQL} AS fp FROM documents WHERE text IS NOT NULL)"""
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tagloom.queries.shared import NAME_SQL, UNIT, VECTORS_SQL, first_vectors, l
 
 def _long(df, value: str, digits: int = 4):
     """(vec_id, pos, value) with the value rounded."""
-    return df.select("vec_id", F.posexplode(value).alias("pos", "x")).select(
+    return df.select("vec_id", F.posexplode_outer(value).alias("pos", "x")).select(
         "vec_id", "pos", F.round("x", digits).alias("value"))
 
 
@@ -41,7 +41,7 @@ def similarity(spark, sf):
     protos = first_vectors(v).orderBy("cls").collect()
     p = fn.matrix_softmax(F.col("embedding"), [r["vec"] for r in protos], scale=fixed.SIMILARITY_SCALE, unit=True)
     names = F.array(*[F.lit(r["cls"]) for r in protos])
-    return v.select("vec_id", F.posexplode(p).alias("i", "p")).select(
+    return v.select("vec_id", F.posexplode_outer(p).alias("i", "p")).select(
         "vec_id", F.get(names, F.col("i")).alias("cls"), F.round("p", 4).alias("p"))
 
 
@@ -90,7 +90,7 @@ def prototype_match(spark, sf):
     own = rows.filter("kind = 'target'").select(F.col("class_name").alias("cls"), F.col("vec").alias("own"))
     joined = lookup_join(v.select("vec_id", "cls", "embedding"), own, ["cls"])
     p = fn.gate_softmax(F.col("embedding"), F.col("own"), shared)
-    return joined.select("vec_id", F.posexplode(p).alias("slot", "p")).withColumn("p", F.round("p", 4))
+    return joined.select("vec_id", F.posexplode_outer(p).alias("slot", "p")).withColumn("p", F.round("p", 4))
 
 
 @query("v4_argmax", """SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings""")
@@ -118,7 +118,7 @@ FROM (SELECT vec_id, a, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT vec_id,
 def channel_normalise(spark, sf):
     e = F.col("embedding")
     both = F.arrays_zip(fn.channel_normalise(e).alias("n"), fn.channel_restore(e).alias("r"))
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(both).alias("pos", "b")).select(
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode_outer(both).alias("pos", "b")).select(
         "vec_id", "pos", F.round("b.n", 6).alias("value"), F.round("b.r", 6).alias("restored"))
 
 
