@@ -71,7 +71,7 @@ def lookup_join(
     else:
         spread = [F.col(f"`{f.name}`") for f in facts.schema if _can_salt(f.dataType)]
         left = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-        right = renamed.withColumn("__r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        right = renamed.withColumn("__r_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         extra = ["salt"]
     test = F.lit(True)
     for k in on:
