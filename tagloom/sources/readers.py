@@ -10,8 +10,10 @@ from tagloom.operators.ranking import number_in_order
 
 
 def _decoded(origin: Column) -> Column:
-    """Undo percent encoding; a plus sign is a plus sign."""
-    return F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+    """Undo percent encoding; a plus sign is a plus sign. Local paths are written
+    the way the other file sources write them."""
+    decoded = F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:///", "file:/")
 
 
 def _place(path: Column) -> list[Column]:
