@@ -12,48 +12,76 @@ from tagloom.operators.ranking import number_in_order
 from tagloom.operators.sizing import lookup_join, settle
 
 _HASH, _BUCKET = "__h", "__bucket"
-BUCKET_DIGITS = 3  # 4096 buckets per class
+HEX = 13  # hex digits used to place a hash in [0, 1)
+SIGMAS = 6  # half width of the first search interval around a wanted rank
+BUCKET_ROWS = 4096  # rows of a class that share a bucket when all rows are numbered
+MAX_BUCKET_DIGITS = 5
 TARGET_COPIES = 10_000  # draws of one row handled by one task
 
 
-def _with_bucket(df: DataFrame, id_col: str, seed: int | str) -> DataFrame:
-    return df.withColumn(_HASH, seeded_hash(seed, F.col(id_col))).withColumn(
-        _BUCKET, F.substring(_HASH, 1, BUCKET_DIGITS))
+def class_totals(df: DataFrame, group: list[str]) -> DataFrame:
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
 
 
-def _bucket_sizes(hashed: DataFrame, group: list[str]) -> DataFrame:
-    """Rows per (group, bucket) with the rows before the bucket and in the group.
-    At most 16**BUCKET_DIGITS rows per group meet in one window."""
-    sizes = hashed.groupBy(*group, _BUCKET).agg(F.count(F.lit(1)).alias("__c"))
-    part = [F.col(g) for g in group] or [F.lit(0)]
-    running = W.partitionBy(*part).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, 0)
-    return sizes.withColumn("__upto", F.sum("__c").over(running)).withColumn(
-        "__n", F.sum("__c").over(W.partitionBy(*part)))
+def _hex_place(fraction: Column) -> Column:
+    """Fraction in [0, 1] as a prefix that compares with md5 digits; 1 is above all."""
+    digits = F.lpad(F.lower(F.hex(F.floor(fraction * F.lit(float(16**HEX))))), HEX, "0")
+    return F.when(fraction >= 1, "g").otherwise(digits)
 
 
 def _hash_cuts(hashed: DataFrame, group: list[str], id_col: str, targets: dict[str, Column]) -> DataFrame:
     """Per group, the (hash, id) of the row with the wanted rank in hash order.
 
-    ``targets`` are ranks as expressions over the group size ``__n``. Only rows of
-    the one bucket that holds a wanted rank are ever ranked, so the table itself
-    is never shuffled or sorted."""
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("cut"), t.cast("bigint").alias("rank")) for k, t in targets.items()]))
-    edges = settle(
-        _bucket_sizes(hashed, group)
-        .select(*group, _BUCKET, "__c", "__upto", wanted.alias("w"))
-        .filter("w.rank > __upto - __c AND w.rank <= __upto")
-        .select(*group, _BUCKET, F.col("w.cut").alias("__cut"), (F.expr("w.rank - __upto + __c")).alias("__at"))
+    ``targets`` are ranks as expressions over the group size ``__n``; no cut where
+    the rank is 0. Hashes are uniform, so a rank is almost surely close to its
+    share of [0, 1): one aggregation counts the rows outside a narrow interval and
+    keeps those inside, about ``SIGMAS * sqrt(n)`` per group. The count proves that
+    the cut is inside; if it is not, the intervals are widened and the pass is
+    repeated. The table itself is neither shuffled nor sorted."""
+    totals = settle(class_totals(hashed, group).filter("__n > 0").select(
+        *group, "__n", *[t.cast("bigint").alias(f"__t_{k}") for k, t in targets.items()]))
+    width = float(SIGMAS)
+    while True:
+        found, missing = _cuts_within(hashed, group, id_col, list(targets), totals, width)
+        if not missing:
+            return found
+        width *= 16
+
+
+def _cuts_within(hashed, group, id_col, names, totals, width) -> tuple[DataFrame, int]:
+    """Cuts of the named targets (ascending ranks) and how many were not inside
+    their interval of ``width`` standard deviations."""
+    n = F.col("__n").cast("double")
+    bounds = totals
+    for k in names:
+        t = F.col(f"__t_{k}").cast("double")
+        reach = F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
+        bounds = bounds.withColumn(f"__lo_{k}", _hex_place(F.greatest(F.lit(0.0), (t - reach) / n))).withColumn(
+            f"__hi_{k}", _hex_place(F.least(F.lit(1.0), (t + reach) / n)))
+    bounds = settle(bounds)
+    h = F.col(_HASH)
+    inside, passed = F.lit(False), F.lit(0)
+    for k in names:
+        inside = inside | ((h >= F.col(f"__lo_{k}")) & (h < F.col(f"__hi_{k}")))
+        passed = passed + (h >= F.col(f"__hi_{k}")).cast("int")
+    placed = lookup_join(hashed.select(*group, _HASH, id_col), bounds, group, how="inner", null_safe=True)
+    counted = placed.groupBy(
+        *group, F.when(inside, h).alias("h"), F.when(inside, F.col(id_col)).alias("id"), passed.alias("__passed"),
+    ).agg(F.count(F.lit(1)).alias("__c"))
+    # a counted stretch stands right after the last interval below it
+    edges = F.array(F.lit(""), *[F.col(f"__hi_{k}") for k in names])
+    ranked = (
+        lookup_join(counted, bounds, group, how="inner", null_safe=True)
+        .withColumn("__key", F.coalesce("h", F.get(edges, F.col("__passed"))))
+        .withColumn("__upto", F.sum("__c").over(
+            W.partitionBy(*group).orderBy("__key", "id").rowsBetween(W.unboundedPreceding, 0)))
     )
-    near = lookup_join(
-        hashed.select(*group, _BUCKET, _HASH, id_col), edges, [*group, _BUCKET], how="inner", null_safe=True)
-    ranked = near.withColumn(
-        "__rn", F.row_number().over(W.partitionBy(*group, "__cut", _BUCKET).orderBy(_HASH, id_col)))
-    at = ranked.filter("__rn = __at")
-    return at.groupBy(*group).agg(*[
-        F.max(F.when(F.col("__cut") == k, F.struct(F.col(_HASH).alias("h"), F.col(id_col).alias("id")))).alias(f"__{k}")
-        for k in targets
-    ])
+    here = F.when(F.col("id").isNotNull(), F.struct("h", "id"))
+    hits = {k: (F.col(f"__t_{k}") > F.col("__upto") - F.col("__c")) & (F.col(f"__t_{k}") <= F.col("__upto")) for k in names}
+    cuts = settle(ranked.groupBy(*group).agg(
+        *[F.max(F.when(hit, here)).alias(f"__{k}") for k, hit in hits.items()],
+        sum((F.count_if(hit & F.col("id").isNull()) for hit in hits.values()), F.lit(0)).alias("__missing")))
+    return cuts.drop("__missing"), cuts.agg(F.coalesce(F.sum("__missing"), F.lit(0))).first()[0]
 
 
 def _upto(cut: str, id_col: str) -> Column:
@@ -70,6 +98,7 @@ def stratified_split(
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """Add ``split``: per class, in hash order, first test, then val, rest train.
+    ``id_col`` must be unique.
 
     Sizes: ``max(1, round(n*f))``, halves to even; no test rows for n <= 2, no
     val rows for n <= 3."""
@@ -79,14 +108,14 @@ def stratified_split(
         share = F.bround(n.cast("double") * F.lit(float(fraction)), 0).cast("bigint")
         return F.when(n > least, F.greatest(F.lit(1).cast("bigint"), share)).otherwise(F.lit(0).cast("bigint"))
 
-    hashed = _with_bucket(df, id_col, seed)
+    hashed = df.withColumn(_HASH, seeded_hash(seed, F.col(id_col)))
     n_test = size(test, 2)
-    cuts = settle(_hash_cuts(hashed, [label], id_col, {"test": n_test, "val": n_test + size(val, 3)}))
+    cuts = _hash_cuts(hashed, [label], id_col, {"test": n_test, "val": n_test + size(val, 3)})
     split = F.when(_upto("__test", id_col), "test").when(_upto("__val", id_col), "val").otherwise("train")
     return (
         lookup_join(hashed, cuts, [label], how="left", null_safe=True)
         .withColumn("split", split)
-        .drop(_HASH, _BUCKET, "__test", "__val")
+        .drop(_HASH, "__test", "__val")
     )
 
 
@@ -94,22 +123,18 @@ def random_split_exact(
     df: DataFrame, id_col: str, frac: float = fixed.PLAIN_TRAIN_FRACTION, seed: int = fixed.SEED
 ) -> DataFrame:
     """Add ``split``: exactly ``int(frac * N)`` rows train, the rest val, no strata."""
-    hashed = _with_bucket(df, id_col, seed)
+    hashed = df.withColumn(_HASH, seeded_hash(seed, F.col(id_col)))
     n_train = F.floor(F.lit(float(frac)) * F.col("__n").cast("double"))
-    cut = settle(_hash_cuts(hashed, [], id_col, {"train": n_train}))  # one row
+    cut = _hash_cuts(hashed.withColumn("__all", F.lit(0)), ["__all"], id_col, {"train": n_train})  # one row
     here = F.struct(F.col(_HASH).alias("h"), F.col(id_col).alias("id"))
     is_train = F.coalesce(here <= cut.select("__train").scalar(), F.lit(False))
-    return hashed.withColumn("split", F.when(is_train, "train").otherwise("val")).drop(_HASH, _BUCKET)
+    return hashed.withColumn("split", F.when(is_train, "train").otherwise("val")).drop(_HASH)
 
 
 def select_split(df: DataFrame, name: str) -> DataFrame:
     return df.filter(F.col("split") == name).drop("split")
 
 
-def class_totals(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-
-
 def balanced_resample(
     df: DataFrame, label: str, id_col: str, n: int | None = None, seed: int = fixed.SEED
 ) -> DataFrame:
@@ -118,24 +143,30 @@ def balanced_resample(
     One draw per row of ``df`` (``draw`` = that row's id) unless ``n`` is given.
     Returns (draw, label, id). Rows of small classes are drawn many times; such
     rows are repeated over salts so that no key gathers all its draws."""
-    hashed = _with_bucket(df.filter(F.col(label).isNotNull()).select(label, id_col), id_col, f"{seed}:row")
-    sizes = settle(_bucket_sizes(hashed, [label]))
-    classes = settle(number_in_order(
-        sizes.groupBy(label).agg(F.max("__n").alias("__n")), [label], "__class_no"))
+    keyed = df.filter(F.col(label).isNotNull()).select(label, id_col)
+    classes = settle(number_in_order(class_totals(keyed, [label]), [label], "__class_no"))
     k, total = classes.agg(F.count(F.lit(1)), F.sum("__n")).first()
     if not k:
         return df.select(F.col(id_col).alias("draw"), label, id_col).limit(0)
     per_row = F.lit(float(n if n is not None else total)) / (F.lit(float(k)) * F.col("__n"))
-    classes = settle(classes.withColumn("__copies", F.greatest(F.lit(1), F.ceil(per_row / TARGET_COPIES)).cast("int")))
-
-    offsets = sizes.select(label, _BUCKET, (F.col("__upto") - F.col("__c")).alias("__before"))
+    digits = F.ceil(F.log2(F.col("__n") / BUCKET_ROWS) / 4)
+    classes = settle(classes.withColumn("__copies", F.greatest(F.lit(1), F.ceil(per_row / TARGET_COPIES)).cast("int"))
+                     .withColumn("__digits", F.least(F.greatest(digits, F.lit(0)), F.lit(MAX_BUCKET_DIGITS)).cast("int")))
+
+    # number the rows of a class: place in its hash bucket + rows of the buckets before
+    hashed = lookup_join(keyed, classes, [label], how="inner").withColumn(
+        _HASH, seeded_hash(f"{seed}:row", F.col(id_col))).withColumn(
+        _BUCKET, F.substring(F.col(_HASH), F.lit(1), F.col("__digits")))
+    before = W.partitionBy(label).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    offsets = settle(
+        hashed.groupBy(label, _BUCKET).agg(F.count(F.lit(1)).alias("__c"))
+        .select(label, _BUCKET, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")))
     in_bucket = F.row_number().over(W.partitionBy(label, _BUCKET).orderBy(_HASH, id_col)) - 1
-    numbered = hashed.join(offsets, [label, _BUCKET]).withColumn("__row_no", F.col("__before") + in_bucket)
-    rows = lookup_join(numbered, classes, [label], how="inner").select(
-        label, id_col, "__class_no", "__row_no",
+    rows = lookup_join(hashed.withColumn("__at", in_bucket), offsets, [label, _BUCKET], how="inner").select(
+        label, id_col, "__class_no", (F.col("__before") + F.col("__at")).alias("__row_no"),
         F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__salt"))
 
-    tickets = df.sparkSession.range(n).toDF("draw") if n is not None else hashed.select(F.col(id_col).alias("draw"))
+    tickets = df.sparkSession.range(n).toDF("draw") if n is not None else keyed.select(F.col(id_col).alias("draw"))
     picked = tickets.withColumn(
         "__class_no", F.floor(uniform(f"{seed}:class", F.col("draw")) * F.lit(float(k))))
     picked = lookup_join(picked, classes.select("__class_no", "__n", "__copies"), ["__class_no"], how="inner").select(

@@ -65,9 +65,11 @@ def test_stratified_sizes(spark, items):
     assert sizes[("f25", "test")] == 2 and sizes[("f35", "val")] == 4 and sizes[("f15", "test")] == 2
 
 
-def test_stratified_null_label_and_few_buckets(spark, items, monkeypatch):
+@pytest.mark.parametrize("sigmas", [0.01, 1, 1000])
+def test_stratified_null_label_and_interval_widths(spark, items, monkeypatch, sigmas):
+    """Intervals that miss the cut are widened; intervals that hold all rows work too."""
     data, df = items
-    monkeypatch.setattr(sampling, "BUCKET_DIGITS", 1)
+    monkeypatch.setattr(sampling, "SIGMAS", sigmas)
     got = sampling.stratified_split(df.withColumn("label", F.when(F.col("label") != "hot", F.col("label"))), "label", "id")
     want = split_reference([(i, None if x == "hot" else x) for i, x in data], 42)
     assert {r["id"]: r["split"] for r in got.collect()} == want
@@ -106,6 +108,7 @@ def test_resample(spark, items, monkeypatch, copies):
     """With few copies per task the row of the smallest class is spread over salts."""
     data, df = items
     monkeypatch.setattr(sampling, "TARGET_COPIES", copies)
+    monkeypatch.setattr(sampling, "BUCKET_ROWS", copies)
     got = sampling.balanced_resample(df, "label", "id")
     assert rows(got) == sorted(resample_reference(data, [i for i, _ in data]), key=lambda r: tuple((False, str(x)) for x in r))
 
