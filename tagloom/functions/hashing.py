@@ -14,9 +14,11 @@ def seeded_hash(seed: int | str, *parts: Column) -> Column:
 
 
 def uniform(seed: int | str, *parts: Column) -> Column:
-    """A double in [0, 1)."""
+    """A double in [0, 1), never NULL: declared so, or joins on values made from it
+    would compute it once more for a test."""
     head = F.substring(seeded_hash(seed, *parts), 1, _HEX_DIGITS)
-    return F.conv(head, 16, 10).cast("bigint").cast("double") / F.lit(float(16**_HEX_DIGITS))
+    value = F.conv(head, 16, 10).cast("bigint").cast("double") / F.lit(float(16**_HEX_DIGITS))
+    return F.coalesce(value, F.lit(0.0))
 
 
 def uniform_between(lo: float, hi: float, u: Column) -> Column:

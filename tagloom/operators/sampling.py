@@ -171,7 +171,7 @@ def balanced_resample(
         "__class_no", F.floor(uniform(f"{seed}:class", F.col("draw")) * F.lit(float(k))))
     picked = lookup_join(picked, classes.select("__class_no", "__n", "__copies"), ["__class_no"], how="inner").select(
         "draw", "__class_no",
-        F.floor(uniform(f"{seed}:pick", F.col("draw")) * F.col("__n").cast("double")).alias("__row_no"),
+        F.coalesce(F.floor(uniform(f"{seed}:pick", F.col("draw")) * F.col("__n").cast("double")), F.lit(0)).alias("__row_no"),
         F.pmod(F.xxhash64("draw"), F.col("__copies")).cast("int").alias("__salt"))
     return picked.join(rows, ["__class_no", "__row_no", "__salt"]).select("draw", label, id_col)
 
