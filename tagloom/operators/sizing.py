@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,12 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, which all executors can reach."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a derived table to the checkpoint folder once, so that later uses
     read it instead of computing it again; it survives the loss of executors."""

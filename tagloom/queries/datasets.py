@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tagloom.functions import fixed
 from tagloom.functions.vectors import median_bits
-from tagloom.operators.labels import union_sources
 from tagloom.operators.ranking import dedup_first
 from tagloom.operators.sampling import stratified_split
-from tagloom.operators.sizing import _checkpoint_folder, settle
+from tagloom.operators.sizing import scratch_path, settle
 from tagloom.plans.curation import catalogue_items, curate
 from tagloom.plans.training import prepare, second_phase
 from tagloom.queries.ordering import ORDER_PAGES_SQL, order_pages
@@ -110,7 +107,6 @@ def catalogue(spark, sf):
 def manifest(spark, sf):
     """Written under the checkpoint folder, partitioned by split, and read back."""
     unique = settle(dedup_first(documents(spark, sf), ["lang"], "fp", "file_name").select("doc_id", "source", "file_name"))
-    _checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/manifest-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "manifest")
     write_manifest(stratified_split(unique, "source", "doc_id"), path, "split")
     return spark.read.parquet(path)

@@ -88,7 +88,7 @@ per AS (SELECT idx AS class_idx, cls AS class_name, coalesce(t, 0)::BIGINT AS te
   FROM proto_a LEFT JOIN (SELECT "true" AS cls, sum(n)::DOUBLE AS t, sum(CASE WHEN "true" = pred THEN n ELSE 0 END)::DOUBLE AS c FROM cm GROUP BY 1) USING (cls))"""
 
 
-def _confusion(spark, sf):
+def confusion_inputs(spark, sf):
     v = vectors(spark, sf)
     model = model_a(v)
     names = F.array(*[F.lit(n) for n in model.names])
@@ -98,32 +98,32 @@ def _confusion(spark, sf):
 
 @query("a3_confusion", f"WITH {PRED_SQL} SELECT * FROM cm")
 def confusion(spark, sf):
-    return _confusion(spark, sf)[0]
+    return confusion_inputs(spark, sf)[0]
 
 
 @query("a4_confusion_wide", f"WITH {PRED_SQL} SELECT idx AS class_idx, a.cls AS class_name, "
        + ", ".join(f"coalesce(sum(CASE WHEN pred = 'c{i}' THEN n END), 0)::BIGINT AS c{i}" for i in range(10))
        + ' FROM proto_a a LEFT JOIN cm ON cm."true" = a.cls GROUP BY 1, 2')
 def confusion_wide(spark, sf):
-    cm, vocab = _confusion(spark, sf)
+    cm, vocab = confusion_inputs(spark, sf)
     return evaluation.confusion_wide(cm, vocab)
 
 
 @query("a5_per_class_accuracy", f"WITH {PRED_SQL} SELECT * REPLACE (round(accuracy, 6) AS accuracy) FROM per")
 def per_class_accuracy(spark, sf):
-    cm, vocab = _confusion(spark, sf)
+    cm, vocab = confusion_inputs(spark, sf)
     return evaluation.worst_first(evaluation.per_class_accuracy(cm, vocab)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("a6_top1_accuracy", f"""WITH {PRED_SQL} SELECT sum(CASE WHEN "true" = pred THEN n ELSE 0 END)::BIGINT AS correct, sum(n)::BIGINT AS total,
 round(sum(CASE WHEN "true" = pred THEN n ELSE 0 END)::DOUBLE / greatest(sum(n), 1), 6) AS accuracy FROM cm""")
 def top1_accuracy(spark, sf):
-    return evaluation.top1_accuracy(_confusion(spark, sf)[0]).withColumn("accuracy", F.round("accuracy", 6))
+    return evaluation.top1_accuracy(confusion_inputs(spark, sf)[0]).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("w7_weakest", f"WITH {PRED_SQL} SELECT class_name, test_samples, round(accuracy, 6) AS accuracy FROM per ORDER BY per.accuracy, class_idx LIMIT 4")
 def weakest(spark, sf):
-    cm, vocab = _confusion(spark, sf)
+    cm, vocab = confusion_inputs(spark, sf)
     return evaluation.weakest(evaluation.per_class_accuracy(cm, vocab), 4).select(
         "class_name", "test_samples", F.round("accuracy", 6).alias("accuracy"))
 

@@ -32,4 +32,4 @@ def test_query(spark, db, name):
 
 def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"m1_fit_head"}
+    assert set(QUERIES) - set(SQL) == {"m1_fit_head", "i2_phash", "i3_augment"}
