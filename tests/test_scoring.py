@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tagloom.functions import fixed, vectors as fn
 from tagloom.operators import gate, scoring
-from tagloom.operators.head import fit_head, smoothed_rows
+from tagloom.operators.head import fit_head
 
 RNG = np.random.default_rng(3)
 
@@ -198,19 +198,59 @@ def test_prompt_rows(spark):
     assert got[0]["prompt"] == "a picture of Abra, a Pokemon"
 
 
-def test_head(spark):
-    centres = RNG.normal(size=(3, 6)) * 4
-    y = RNG.integers(0, 3, 400)
-    x = centres[y] + RNG.normal(size=(400, 6))
-    df = table(spark, x, y).withColumn("cls", F.concat(F.lit("c"), F.col("label")))
-    model = fit_head(df, "vec", "cls", max_iter=15)
-    assert list(model.names) == ["c0", "c1", "c2"]
-    best = scoring.score(df, model, "vec", k=1).select("cls", F.get("predictions", F.lit(0))["name"].alias("p"))
-    assert best.filter("cls = p").count() > 380
-
-
-def test_smoothing_weights(spark):
-    df = spark.createDataFrame([([1.0], 1.0, 2.0)], "features array<double>, label double, weight double")
-    got = {r["label"]: r["weight"] for r in smoothed_rows(df, 4, 0.1).collect()}
-    assert got == {0.0: 0.05, 1.0: pytest.approx(1.85), 2.0: 0.05, 3.0: 0.05}
-    assert smoothed_rows(df, 4, 0).count() == 1
+@pytest.fixture(scope="module")
+def clusters(spark):
+    centres = RNG.normal(size=(3, 6))
+    y = np.concatenate([RNG.integers(0, 3, 300), np.zeros(200, dtype=int)])
+    x = (centres[y] + RNG.normal(size=(500, 6))) * [1, 1, 5, 1, 1, 0.1] + 3
+    return x, y, table(spark, x, y).withColumn("cls", F.concat(F.lit("c"), F.col("label"))).repartition(5)
+
+
+def objective(model, x, y, eps, reg, balanced):
+    w, b = np.array(model.weights), np.array(model.bias)
+    logp = np.log(soft(x @ w.T + b))
+    each = -(1 - eps) * logp[np.arange(len(y)), y] - eps * logp.mean(axis=1)
+    c = 1 / np.bincount(y)[y] if balanced else np.ones(len(y))
+    mean = (c[:, None] * x).sum(axis=0) / c.sum()
+    std = np.sqrt((c[:, None] * (x - mean) ** 2).sum(axis=0) / c.sum())
+    return (c * each).sum() / c.sum() + reg / 2 * ((w * std) ** 2).sum()
+
+
+def test_head_agrees_with_exploded_weighted_rows(spark, clusters):
+    """Same optimum as the built-in estimator on one weighted row per class."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    x, y, df = clusters
+    x = x.astype(np.float32).astype(float)
+    eps, reg = 0.1, 0.05
+    model = fit_head(df, "vec", "cls", eps, reg, balanced=False, max_iter=100, tol=1e-12)
+    copies = df.select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"), F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(
+            k.cast("double").alias("label"), F.when(k == F.col("label"), 1 - eps + eps / 3).otherwise(eps / 3).alias("w")))).alias("s"))
+    built_in = LogisticRegression(family="multinomial", weightCol="w", regParam=reg, maxIter=200, tol=1e-12).fit(
+        copies.select("features", "s.label", "s.w"))
+    p = soft(x @ np.array(model.weights).T + np.array(model.bias))
+    q = soft(x @ built_in.coefficientMatrix.toArray().T + built_in.interceptVector.toArray())
+    np.testing.assert_allclose(p, q, atol=2e-3)
+
+
+def test_head_optimum_warm_start_and_merge(spark, clusters, monkeypatch):
+    x, y, df = clusters
+    x = x.astype(np.float32).astype(float)
+    model = fit_head(df, "vec", "cls", max_iter=100, tol=1e-12)
+    assert model.names == ["c0", "c1", "c2"]
+    best = objective(model, x, y, 0.1, 0.05, True)
+    for _ in range(30):  # no nearby head is better
+        near = scoring.LinearScorer(
+            model.names, np.array(model.weights) + RNG.normal(size=(3, 6)) * 0.02, np.array(model.bias) + RNG.normal(size=3) * 0.02)
+        assert objective(near, x, y, 0.1, 0.05, True) >= best - 1e-9
+    monkeypatch.setattr("tagloom.operators.head.FAN_IN", 2)
+    again = fit_head(df, "vec", "cls", max_iter=1, start=model)
+    assert objective(again, x, y, 0.1, 0.05, True) <= best + 1e-9
+    cold = fit_head(df, "vec", "cls", max_iter=1)
+    assert objective(cold, x, y, 0.1, 0.05, True) > best + 1e-3
+    fewer = scoring.LinearScorer(["c1", "zz"], [model.weights[1], model.weights[0]], [model.bias[1], 0.0])
+    assert fit_head(df, "vec", "cls", max_iter=0, start=fewer).weights[0] == [0.0] * 6
+    hits = scoring.score(df, model, "vec", k=1).select("cls", F.get("predictions", F.lit(0))["name"].alias("p"))
+    assert hits.filter("cls = p").count() > 330
