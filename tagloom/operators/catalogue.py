@@ -77,8 +77,9 @@ def bucket_catalogue(
 
 
 def pending(targets: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Targets not stored yet; both sides are keyed by item, so no key is hot."""
-    return targets.join(existing.select(*keys), keys, "left_anti")
+    """Targets not stored yet. The stored keys are made distinct first, on the map
+    side too, so a key stored many times is one row when the sides meet."""
+    return targets.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def _leaves(node, skip: frozenset, out: list) -> None:

@@ -24,13 +24,17 @@ def answer(
 def stream_score(
     spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, *,
     keys: Sequence[str], features: str, first: Scorer, second: Scorer, members: Sequence[str],
-    files_per_batch: int = 1000, **options,
+    files_per_batch: int = 1000, every: str | None = None, **options,
 ) -> StreamingQuery:
-    """Start a query over a folder of parquet files; state is the file log only."""
+    """Start a query over a folder of parquet files; state is the file log only.
+
+    With ``every`` ("10 seconds") it goes on, otherwise it ends when all files that
+    are there have been answered."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     answered = answer(items, features, first, second, members, **options)
     return (
         answered.select(*keys, "model", "top_name", "top_confidence", "verdict", "response")
         .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**trigger).start()
     )
