@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,6 +206,7 @@ def gate_softmax(features: Column, target: Column, shared, scale: float = fixed.
     return kernel(features, target)
 
 
+@lru_cache(maxsize=256)
 def lanczos_weights(size_in: int, size_out: int) -> np.ndarray:
     """Rows of a Lanczos (a=3) resampling matrix with antialiasing."""
     ratio = size_in / size_out
@@ -220,6 +222,7 @@ def lanczos_weights(size_in: int, size_out: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
 def dct_matrix(n: int) -> np.ndarray:
     k = np.arange(n)[:, None]
     return 2.0 * np.cos(math.pi * k * (2 * np.arange(n)[None, :] + 1) / (2 * n))

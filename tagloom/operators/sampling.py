@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tagloom.functions import fixed
 from tagloom.functions.hashing import choice, seeded_hash, uniform, uniform_between, uniform_int
 from tagloom.operators.ranking import number_in_order
-from tagloom.operators.sizing import lookup_join, settle
+from tagloom.operators.sizing import fits_broadcast, lookup_join, settle
 
 _HASH, _BUCKET = "__h", "__bucket"
 HEX = 13  # hex digits used to place a hash in [0, 1)
@@ -38,40 +38,45 @@ def _hash_cuts(hashed: DataFrame, group: list[str], id_col: str, targets: dict[s
     keeps those inside, about ``SIGMAS * sqrt(n)`` per group. The count proves that
     the cut is inside; if it is not, the intervals are widened and the pass is
     repeated. The table itself is neither shuffled nor sorted."""
-    totals = settle(class_totals(hashed, group).filter("__n > 0").select(
-        *group, "__n", *[t.cast("bigint").alias(f"__t_{k}") for k, t in targets.items()]))
+    totals = class_totals(hashed, group).filter("__n > 0").select(
+        *group, "__n", *[t.cast("bigint").alias(f"__t_{k}") for k, t in targets.items()])
     width = float(SIGMAS)
     while True:
-        found, missing = _cuts_within(hashed, group, id_col, list(targets), totals, width)
+        bounds = settle(_bounds(totals, list(targets), width))
+        found, missing = _cuts_within(hashed, group, id_col, list(targets), bounds)
         if not missing:
             return found
-        width *= 16
+        totals, width = bounds.select(*totals.columns), width * 16
 
 
-def _cuts_within(hashed, group, id_col, names, totals, width) -> tuple[DataFrame, int]:
-    """Cuts of the named targets (ascending ranks) and how many were not inside
-    their interval of ``width`` standard deviations."""
+def _bounds(totals: DataFrame, names: list[str], width: float) -> DataFrame:
+    """Intervals of ``width`` standard deviations around the wanted ranks."""
     n = F.col("__n").cast("double")
-    bounds = totals
     for k in names:
         t = F.col(f"__t_{k}").cast("double")
         reach = F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
-        bounds = bounds.withColumn(f"__lo_{k}", _hex_place(F.greatest(F.lit(0.0), (t - reach) / n))).withColumn(
+        totals = totals.withColumn(f"__lo_{k}", _hex_place(F.greatest(F.lit(0.0), (t - reach) / n))).withColumn(
             f"__hi_{k}", _hex_place(F.least(F.lit(1.0), (t + reach) / n)))
-    bounds = settle(bounds)
+    return totals
+
+
+def _cuts_within(hashed, group, id_col, names, bounds) -> tuple[DataFrame, int]:
+    """Cuts of the named targets (ascending ranks) and how many were not inside
+    their interval."""
+    small = fits_broadcast(bounds)
     h = F.col(_HASH)
     inside, passed = F.lit(False), F.lit(0)
     for k in names:
         inside = inside | ((h >= F.col(f"__lo_{k}")) & (h < F.col(f"__hi_{k}")))
         passed = passed + (h >= F.col(f"__hi_{k}")).cast("int")
-    placed = lookup_join(hashed.select(*group, _HASH, id_col), bounds, group, how="inner", null_safe=True)
+    placed = lookup_join(hashed.select(*group, _HASH, id_col), bounds, group, how="inner", null_safe=True, small=small)
     counted = placed.groupBy(
         *group, F.when(inside, h).alias("h"), F.when(inside, F.col(id_col)).alias("id"), passed.alias("__passed"),
     ).agg(F.count(F.lit(1)).alias("__c"))
     # a counted stretch stands right after the last interval below it
     edges = F.array(F.lit(""), *[F.col(f"__hi_{k}") for k in names])
     ranked = (
-        lookup_join(counted, bounds, group, how="inner", null_safe=True)
+        lookup_join(counted, bounds, group, how="inner", null_safe=True, small=small)
         .withColumn("__key", F.coalesce("h", F.get(edges, F.col("__passed"))))
         .withColumn("__upto", F.sum("__c").over(
             W.partitionBy(*group).orderBy("__key", "id").rowsBetween(W.unboundedPreceding, 0)))

@@ -61,19 +61,20 @@ def lookup_join(
     how: str = "left",
     max_rows: int | None = None,
     null_safe: bool = False,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join ``facts`` with a keyed table that is usually small.
 
     A measured small table is broadcast: the facts are not shuffled and a key
-    that holds a third of them costs nothing. Beyond the limits the table is
+    that holds a third of them costs nothing (``small`` passes on a measurement the
+    caller has made). Beyond the limits the table is
     repeated once per salt and the facts spread over the salts, so that a hot key
     is shared by ``SALTS`` tasks. ``how`` is inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
     renamed = lookup.withColumnsRenamed({k: f"__r_{k}" for k in on})
-    small = fits_broadcast(lookup, max_rows)
-    if small:
+    if fits_broadcast(lookup, max_rows) if small is None else small:
         left, right, extra = facts, F.broadcast(renamed), []
     else:
         spread = [F.col(f"`{f.name}`") for f in facts.schema if _can_salt(f.dataType)]

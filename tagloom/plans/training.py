@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagloom.functions import fixed
 from tagloom.operators.evaluation import class_counts, class_weights
+from tagloom.operators.head import fit_head
 from tagloom.operators.ranking import class_index, class_vocabulary
 from tagloom.operators.sampling import balanced_resample, draw_recipes, select_split, stratified_split
+from tagloom.operators.scoring import LinearScorer
 from tagloom.operators.sizing import settle
 
 
@@ -33,6 +35,15 @@ def prepare(df: DataFrame, label: str, id_col: str, seed: int = fixed.SEED, n: i
         class_weights(train, label), balanced_resample(train, label, id_col, n, seed))
 
 
+def two_phase_heads(
+    clear: DataFrame, drawn: DataFrame, features: str, label: str, **options,
+) -> tuple[LinearScorer, LinearScorer]:
+    """Head on the features of the clear items, then, starting from it, the head on
+    the features of their drawn copies."""
+    first = fit_head(clear, features, label, **options)
+    return first, fit_head(drawn, features, label, start=first, **options)
+
+
 def second_phase(items: DataFrame, id_col: str, seed: int = fixed.SEED, variants: int = 1) -> DataFrame:
     """Recipes of the drawn-style phase on the split of the first phase.
 

@@ -25,7 +25,9 @@ def read_labelled_images(spark: SparkSession, root: str, decode: bool = True) ->
     """(class_name, file_name, path, image): label = the parent directory.
 
     ``image`` is Spark's image struct, or with ``decode=False`` the raw bytes.
-    Sort by (class_name, file_name) where the order of the folder matters."""
+    Sort by (class_name, file_name) where the order of the folder matters. A folder
+    of very many small files is best read once with ``decode=False`` and written as
+    parquet; later jobs then read few large files."""
     if decode:
         src = spark.read.format("image").option("recursiveFileLookup", True).load(root)
         return src.select(*_place(_decoded(F.col("image.origin"))), "image")

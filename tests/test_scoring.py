@@ -9,6 +9,7 @@ from conftest import rows
 from tagloom.functions import fixed, vectors as fn
 from tagloom.operators import gate, scoring
 from tagloom.operators.head import fit_head
+from tagloom.plans.training import two_phase_heads
 
 RNG = np.random.default_rng(3)
 
@@ -250,6 +251,8 @@ def test_head_optimum_warm_start_and_merge(spark, clusters, monkeypatch):
     assert objective(again, x, y, 0.1, 0.05, True) <= best + 1e-9
     cold = fit_head(df, "vec", "cls", max_iter=1)
     assert objective(cold, x, y, 0.1, 0.05, True) > best + 1e-3
+    first, second = two_phase_heads(df, df.withColumn("vec", F.transform("vec", lambda v: v * 0.9)), "vec", "cls", max_iter=5)
+    assert first.names == second.names and first.weights != second.weights
     fewer = scoring.LinearScorer(["c1", "zz"], [model.weights[1], model.weights[0]], [model.bias[1], 0.0])
     assert fit_head(df, "vec", "cls", max_iter=0, start=fewer).weights[0] == [0.0] * 6
     hits = scoring.score(df, model, "vec", k=1).select("cls", F.get("predictions", F.lit(0))["name"].alias("p"))
