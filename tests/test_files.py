@@ -234,3 +234,55 @@ def test_stream_matches_batch(spark, tmp_path):
     items.filter("vec_id > 250").write.mode("append").parquet(str(tmp_path / "in"))
     got = run()
     assert rows(got) == rows(batch())
+
+
+def naive_hash(gray, n=8):
+    """Direct double sums; the image is 32 x 32, so no resampling is involved."""
+    side = len(gray)
+    c = lambda k, i: np.cos(np.pi * k * (2 * i + 1) / (2 * side))
+    low = [[sum(gray[y][x] * c(u, y) * c(v, x) for y in range(side) for x in range(side)) for v in range(n)] for u in range(n)]
+    flat = [x for row in low for x in row]
+    middle = sorted(flat)
+    middle = (middle[31] + middle[32]) / 2
+    return f"{int(''.join('1' if x > middle else '0' for x in flat), 2):016x}"
+
+
+def naive_pencil(gray, radius, alpha):
+    h, w = gray.shape
+    reach = int(3 * radius + 0.5)
+    taps = {d: np.exp(-0.5 * (d / radius) ** 2) for d in range(-reach, reach + 1)}
+    total = sum(taps.values())
+    out = np.zeros((h, w), np.uint8)
+    for y in range(h):
+        for x in range(w):
+            blurred = sum(
+                t * s * (255 - int(gray[min(max(y + dy, 0), h - 1), min(max(x + dx, 0), w - 1)]))
+                for dy, t in taps.items() for dx, s in taps.items()) / total**2
+            dodged = 255 - int(np.rint(blurred))
+            out[y, x] = int(gray[y, x] + alpha * (dodged - int(gray[y, x])))
+    return out
+
+
+def test_hash_and_pencil_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pictures = [rng.integers(0, 256, (32, 32), dtype=np.uint8) for _ in range(3)]
+    df = spark.createDataFrame(
+        [(i, (f"f{i}", 32, 32, 1, 0, p.tobytes())) for i, p in enumerate(pictures)], f"id int, image {images.IMAGE_TYPE}")
+    got = {r["id"]: r["fingerprint"] for r in images.phash(df).collect()}
+    assert got == {i: naive_hash(p.tolist()) for i, p in enumerate(pictures)}
+
+    small = rng.integers(0, 256, (7, 9), dtype=np.uint8)
+    diff = images._pencil(small, 2.0, 0.6).astype(int) - naive_pencil(small, 2.0, 0.6)
+    assert abs(diff).max() <= 1 and (diff != 0).mean() < 0.05
+
+
+def test_registered_image_queries_use_the_same_kernels(spark):
+    """The whole smallest table, row by row in plain Python."""
+    from tagloom.queries import QUERIES
+
+    vecs = {r["vec_id"]: np.array(r["embedding"], dtype=np.float32).astype(float)
+            for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    gray = {i: np.floor((v * 0.5 + 0.5) * 255).astype(np.uint8).reshape(8, 8) for i, v in vecs.items()}
+    got = {r["vec_id"]: r["fingerprint"] for r in QUERIES["i2_phash"](spark, SF).collect()}
+    assert got == {i: images._fingerprint(g, 8) for i, g in gray.items()}
+    assert QUERIES["i3_augment"](spark, SF).count() == 2 * len(gray)
