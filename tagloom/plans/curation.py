@@ -17,7 +17,10 @@ from tagloom.operators.ranking import cap_per_group, dedup_first
 @dataclass
 class Curated:
     """``manifest``: survivors of the duplicate drop with their decision;
-    ``items``: the rows that stay; ``report``: counts per class and in total."""
+    ``items``: the rows that stay; ``report``: counts per class and in total.
+
+    All three are lazy. To use more than one, write the manifest first and take
+    the items from what was written."""
 
     manifest: DataFrame
     items: DataFrame

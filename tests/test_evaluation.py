@@ -50,16 +50,13 @@ def test_stage_report(spark):
         ("a", 0, 2, 1, 1, 1), ("b", 0, 1, 1, 0, 0), (None, 1, 3, 2, 1, 1)]
 
 
-def stop_reference(values, patience):
-    best, wait, best_epoch = 0.0, 0, -1
-    for e, v in enumerate(values):
-        if v > best:
-            best, wait, best_epoch = v, 0, e
-        else:
-            wait += 1
-            if wait >= patience:
-                return e, best_epoch, best
-    return None, best_epoch, best
+def stop_by_definition(values, patience):
+    """Each epoch is judged from the whole history before it."""
+    history = [[0.0] + [v for v in values[:e] if v == v] for e in range(len(values) + 1)]
+    up = [v > max(history[e]) for e, v in enumerate(values)]
+    quiet = [e for e in range(patience - 1, len(values)) if not any(up[e - patience + 1: e + 1])]
+    seen = range(quiet[0] + 1 if quiet else len(values))
+    return quiet[0] if quiet else None, max([e for e in seen if up[e]], default=-1), max(history[len(seen)])
 
 
 @pytest.mark.parametrize("patience, chunk", [(6, 65_536), (6, 4), (3, 1), (1, 5), (2, 7)])
@@ -81,4 +78,4 @@ def test_early_stop(spark, patience, chunk):
     rng.shuffle(data)
     df = spark.createDataFrame(data, "run string, epoch int, acc double")
     got = {r["run"]: tuple(r)[1:] for r in ev.early_stop(df, "run", "epoch", "acc", patience, chunk).collect()}
-    assert got == {r: stop_reference(vs, patience) for r, vs in runs.items()}
+    assert got == {r: stop_by_definition(vs, patience) for r, vs in runs.items()}

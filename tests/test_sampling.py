@@ -33,18 +33,19 @@ def items(spark):
     return data, spark.createDataFrame(data, "id long, label string")
 
 
-def split_reference(data, seed):
+# class size -> rows of (test, val)
+HELD = {1: (0, 0), 2: (0, 0), 3: (1, 0), 4: (1, 1), 15: (2, 2), 25: (2, 2), 35: (4, 4), 3000: (300, 300)}
+
+
+def expected_split(data, seed):
     groups = collections.defaultdict(list)
     for i, label in data:
         groups[label].append(i)
     out = {}
     for ids in groups.values():
-        ids.sort(key=lambda i: (md5(seed, i), i))
-        n = len(ids)
-        n_test = max(1, round(n * 0.1)) if n > 2 else 0
-        n_val = max(1, round(n * 0.1)) if n > 3 else 0
-        for k, i in enumerate(ids):
-            out[i] = "test" if k < n_test else "val" if k < n_test + n_val else "train"
+        test, val = HELD[len(ids)]
+        kinds = ["test"] * test + ["val"] * val + ["train"] * (len(ids) - test - val)
+        out.update(zip(sorted(ids, key=lambda i: (md5(seed, i), i)), kinds))
     return out
 
 
@@ -53,7 +54,7 @@ def test_stratified(spark, items, parts):
     data, df = items
     got = sampling.stratified_split(df.orderBy(F.xxhash64("id")).repartition(parts), "label", "id")
     assert got.columns == ["id", "label", "split"]
-    assert {r["id"]: r["split"] for r in got.collect()} == split_reference(data, 42)
+    assert {r["id"]: r["split"] for r in got.collect()} == expected_split(data, 42)
 
 
 def test_stratified_sizes(spark, items):
@@ -71,7 +72,7 @@ def test_stratified_null_label_and_interval_widths(spark, items, monkeypatch, si
     data, df = items
     monkeypatch.setattr(sampling, "SIGMAS", sigmas)
     got = sampling.stratified_split(df.withColumn("label", F.when(F.col("label") != "hot", F.col("label"))), "label", "id")
-    want = split_reference([(i, None if x == "hot" else x) for i, x in data], 42)
+    want = expected_split([(i, None if x == "hot" else x) for i, x in data], 42)
     assert {r["id"]: r["split"] for r in got.collect()} == want
 
 
@@ -88,7 +89,7 @@ def test_plain_split(spark, n):
     assert got == {i: "train" if k < int(0.8 * n) else "val" for k, i in enumerate(order)}
 
 
-def resample_reference(data, draws, seed=42):
+def expected_draws(data, draws, seed=42):
     groups = collections.defaultdict(list)
     for i, label in data:
         groups[label].append(i)
@@ -110,7 +111,7 @@ def test_resample(spark, items, monkeypatch, copies):
     monkeypatch.setattr(sampling, "TARGET_COPIES", copies)
     monkeypatch.setattr(sampling, "BUCKET_ROWS", copies)
     got = sampling.balanced_resample(df, "label", "id")
-    assert rows(got) == sorted(resample_reference(data, [i for i, _ in data]), key=lambda r: tuple((False, str(x)) for x in r))
+    assert rows(got) == sorted(expected_draws(data, [i for i, _ in data]), key=lambda r: tuple((False, str(x)) for x in r))
 
 
 def test_resample_given_size_is_balanced(spark, items):
@@ -166,7 +167,7 @@ def test_preview(spark):
 def test_prepare_and_second_phase(spark, items):
     data, df = items
     out = prepare(df, "label", "id")
-    split = split_reference(data, 42)
+    split = expected_split(data, 42)
     train = [(i, x) for i, x in data if split[i] == "train"]
     assert {r["id"]: r["split"] for r in out.items.collect()} == split
     assert out.draws.count() == len(train)

@@ -152,7 +152,7 @@ def test_verdict_and_response(spark):
         "model": "m", "predictions": [{"name": "A", "confidence": 59.99}, {"name": "B", "confidence": 1.0}]}
 
 
-def gate_reference(x, own, shared, explicit_n, name):
+def expected_decision(x, own, shared, explicit_n, name):
     if name.startswith("seed_"):
         return "trusted"
     if x is None:
@@ -178,7 +178,7 @@ def test_gate(spark):
     df = spark.createDataFrame(items, "id int, cls string, f string, vec array<double>")
     pr = spark.createDataFrame(prompts, "class_name string, slot int, kind string, vec array<double>")
     got = {r["id"]: r["decision"] for r in gate.relevance_gate(df, pr, "cls", "vec", "f").collect()}
-    want = {i: gate_reference(None if v is None else np.array(v), own[c], shared, 3, f) for i, c, f, v in items}
+    want = {i: expected_decision(None if v is None else np.array(v), own[c], shared, 3, f) for i, c, f, v in items}
     assert got == want
     assert set(want.values()) == {"trusted", "unreadable", "explicit", "off_topic", "keep"}
     assert gate.kept(gate.relevance_gate(df, pr, "cls", "vec", "f")).count() == sum(
