@@ -34,3 +34,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), {"doc_id": F.col("doc_id")})
+
+
+@query()
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.quality import quality_rules
+
+    return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
