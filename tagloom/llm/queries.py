@@ -41,3 +41,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.quality import quality_rules
 
     return quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.pii import pii_digest
+
+    return pii_digest(table(spark, folder, "documents"))
