@@ -48,3 +48,46 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.pii import pii_digest
 
     return pii_digest(table(spark, folder, "documents"))
+
+
+MIX_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight,
+         (3 * source_size)::DOUBLE AS stop FROM sums),
+shared AS (
+  SELECT *, row_number() OVER (ORDER BY stop / weight, source NULLS LAST) AS nr,
+         (sum(source_size) OVER () - coalesce(sum(stop) OVER (ORDER BY stop / weight, source NULLS LAST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM weighted),
+firsts AS (SELECT min(nr) AS f, arg_min(share, nr) AS rest FROM shared WHERE share < stop / weight),
+plan AS (
+  SELECT source, source_size, CASE WHEN f IS NULL OR nr < f THEN stop ELSE weight * rest END AS target
+  FROM shared LEFT JOIN firsts ON true),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM plan),
+places AS (
+  SELECT source, place, sum(size)::BIGINT AS words FROM sized GROUP BY ALL),
+run AS (
+  SELECT p.*, sum(words) OVER (PARTITION BY p.source ORDER BY place) AS upto, b.target - b.copies * b.source_size AS budget
+  FROM places p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source),
+edge AS (SELECT source, min(place) AS least, arg_min(upto, place) AS upto, arg_min(words, place) AS words, any_value(budget) AS budget
+         FROM run WHERE upto > budget GROUP BY source),
+cuts AS (SELECT source, least + CASE WHEN words - (budget - (upto - words)) < budget - (upto - words) THEN 1 ELSE 0 END AS cut FROM edge)
+SELECT s.doc_id, s.size, b.source_size, b.target,
+       s.size * (b.copies + CASE WHEN s.place < coalesce(c.cut, 0) THEN 1 ELSE 0 END) AS taken
+FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
+"""
+
+
+@query(MIX_SQL)
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, folder, "documents"))
