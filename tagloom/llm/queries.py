@@ -91,3 +91,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.mixing import mix_plan
 
     return mix_plan(table(spark, folder, "documents"))
+
+
+@query()
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, folder, "documents")).drop("group")
