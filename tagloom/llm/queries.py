@@ -98,3 +98,10 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, folder, "documents")).drop("group")
+
+
+@query()
+def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.substrings import drop_substrings
+
+    return drop_substrings(table(spark, folder, "documents"), kept_text=False)

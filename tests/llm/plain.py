@@ -54,3 +54,18 @@ def quality_base(text):
     lines = [x for x in (text or "").split("\n") if split(x)]
     return (len(ws), sum(map(len, ws)), sum((text or "").count(c) for c in "#*$%&|<>"),
             len(lines) - len(set(lines)), len(covered))
+
+
+def repeated(texts, window=35):
+    """Per text: number of words and the words left after repeated windows went."""
+    places = {}
+    parts = [split(t) for t in texts]
+    for d, ws in enumerate(parts):
+        for i in range(len(ws) - window + 1):
+            places.setdefault(tuple(ws[i:i + window]), []).append((d, i))
+    gone = [set() for _ in texts]
+    for found in places.values():
+        if len(found) > 1:
+            for d, i in found:
+                gone[d].update(range(i, i + window))
+    return [(len(ws), [w for i, w in enumerate(ws) if i not in g]) for ws, g in zip(parts, gone)]
