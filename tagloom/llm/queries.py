@@ -105,3 +105,10 @@ def op9_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.substrings import drop_substrings
 
     return drop_substrings(table(spark, folder, "documents"), kept_text=False)
+
+
+@query()
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.rabitq import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"))
