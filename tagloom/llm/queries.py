@@ -112,3 +112,10 @@ def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.rabitq import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query()
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.language import identify_languages
+
+    return identify_languages(table(spark, folder, "documents"))
