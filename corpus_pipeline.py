@@ -1,22 +1,63 @@
-"""From documents to encoded training text: the stages of one corpus run."""
+"""From documents to encoded training text: the stages of one corpus run.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the last return the columns
+of documents. Nulls, empty texts, repeated rows and extra columns are handled as the operators' doc-strings say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tagloom.llm.batches import table, written
+from tagloom.llm.mixing import mix
+from tagloom.llm.pieces import encode_pieces
+from tagloom.llm.pii import mask_pii
+from tagloom.llm.quality import keep_good
+from tagloom.llm.simhash import keep_one
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or a promised cutoff reject go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return keep_one(docs)
+
 
-STAGES: list = []
+def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to the name of their kind."""
+    return mask_pii(docs)
 
-#: Two stages (thresholds learnt from labels, piece ids) have no SQL form; tests compare with plain Python.
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken none, one, two or three times, so that sources come near their target weights."""
+    return mix(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and digests of the ids and of the decoded text."""
+    keep = {c: F.col(c) for c in ("doc_id", "lang", "source")}
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep).drop("decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("pii_masking", pii_masking),
+    ("source_mixing", source_mixing),
+    ("encoding", encoding),
+]
+
+#: Fingerprints, exact binomial bounds and piece ids have no SQL form; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order; each one's rows are written and read back before the next."""
-    from tagloom.llm.batches import table, written
-
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -119,3 +119,10 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     from tagloom.llm.language import identify_languages
 
     return identify_languages(table(spark, folder, "documents"))
+
+
+@query()
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from tagloom.llm.licenses import license_digest
+
+    return license_digest(table(spark, folder, "documents"))
