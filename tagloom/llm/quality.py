@@ -197,7 +197,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Data
     gone = (verdict.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("__kept"))
             .where(~F.col("__kept")).select(F.col("doc_id").alias("__gone")))
     with_id = docs.where(F.col("doc_id").isNotNull())
-    kept = with_id.join(gone, with_id["doc_id"] == F.col("__gone"), "left_anti")
+    # a merge join at every size: what moves grows in proportion, and no broadcast depends on how many are rejected
+    kept = with_id.join(gone.hint("merge"), with_id["doc_id"] == F.col("__gone"), "left_anti")
     without = docs.where(F.col("doc_id").isNull())
     name = "__row"
     while name in docs.columns:
