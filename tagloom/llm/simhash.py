@@ -136,7 +136,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     often = written(often, "stays")
     once = often.where((F.col("n") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__once"))
     several = often.where((F.col("n") > 1) | F.col("doc_id").isNull())
-    alone = docs.join(once, docs["doc_id"] == F.col("__once"), "left_semi")
+    alone = docs.join(once.hint("merge"), docs["doc_id"] == F.col("__once"), "left_semi")
     if several.isEmpty():
         return alone
     name = "__row"
