@@ -55,9 +55,11 @@ def url_authority(url: Column) -> Column:
 
 
 def is_blocked(url: Column, terms: Sequence[str] = fixed.BLOCKED_HOST_TERMS) -> Column:
-    """True for NULL or empty URLs and for those with a blocked authority."""
+    """True for NULL or empty URLs and for those with a blocked authority. An authority with
+    only one of the two brackets cannot be parsed and blocks nothing."""
     pattern = "|".join(re.escape(t) for t in terms)
-    return url.isNull() | (url == "") | url_authority(url).rlike(pattern)
+    host = url_authority(url)
+    return url.isNull() | (url == "") | (host.rlike(pattern) & (host.contains("[") == host.contains("]")))
 
 
 def url_extension(

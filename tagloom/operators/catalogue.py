@@ -105,7 +105,7 @@ def string_leaves(json_col: Column, skip: Sequence[str] = ("versions",)) -> Colu
             if doc is not None:
                 try:
                     _leaves(json.loads(doc), skipped, found)
-                except ValueError:
+                except (ValueError, RecursionError):  # deeper than a reader can follow
                     pass
             result.append(found)
         return pa.array(result, type=pa.list_(pa.string()))

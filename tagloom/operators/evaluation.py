@@ -8,7 +8,6 @@ from tagloom.functions import fixed
 from tagloom.functions.vectors import argmax
 from tagloom.operators.sizing import lookup_join, settle
 
-MAX_WIDE = 10_000  # columns of the wide confusion matrix
 EPOCHS_PER_CHUNK = 65_536
 
 
@@ -31,16 +30,14 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("true"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary_names(vocab: DataFrame, limit: int) -> list[str]:
-    rows = vocab.orderBy("class_idx").limit(limit + 1).select("class_name").collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} classes: use the long form")
-    return [r["class_name"] for r in rows]
+def vocabulary_names(vocab: DataFrame) -> list[str]:
+    """Class names in class order: column names or a model's rows, so as many as those may be."""
+    return [r["class_name"] for r in vocab.orderBy("class_idx").select("class_name").collect()]
 
 
 def confusion_wide(cm: DataFrame, vocab: DataFrame) -> DataFrame:
     """class_idx, class_name and one column per class; all cells, 0 if unseen."""
-    names = vocabulary_names(vocab, MAX_WIDE)
+    names = vocabulary_names(vocab)
     cells = cm.groupBy(F.col("true").alias("class_name")).pivot("pred", names).agg(F.sum("n"))
     return vocab.join(cells, "class_name", "left").select(
         "class_idx", "class_name",

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import fixed
 from tagloom.functions.vectors import argmax, array_total, gate_softmax
-from tagloom.operators.sizing import lookup_join
-
-MAX_SHARED = 256
+from tagloom.operators.sizing import fits_broadcast, lookup_join
 
 
 def prompt_rows(classes: DataFrame, name_col: str) -> DataFrame:
@@ -26,12 +24,12 @@ def prompt_rows(classes: DataFrame, name_col: str) -> DataFrame:
 
 def shared_vectors(prompts: DataFrame) -> tuple[list[list[float]], int]:
     """(distractor vectors in slot order, how many of them are explicit)."""
-    rows = (
-        prompts.filter("kind <> 'target'").select("slot", "kind", "vec").distinct()
-        .orderBy("slot").limit(MAX_SHARED + 1).collect()
-    )
-    if len(rows) > MAX_SHARED or len({r["slot"] for r in rows}) != len(rows):
-        raise ValueError("the distractors must be one short list shared by all classes")
+    listed = prompts.filter("kind <> 'target'").select("slot", "kind", "vec").distinct()
+    if not fits_broadcast(listed):  # by bytes: they travel with the function
+        raise ValueError("the distractors do not fit in a worker")
+    rows = listed.orderBy("slot").collect()
+    if len({r["slot"] for r in rows}) != len(rows):
+        raise ValueError("the distractors must be one list shared by all classes")
     kinds = [r["kind"] for r in rows]
     if kinds != sorted(kinds, key=lambda k: k == "explicit"):
         raise ValueError("explicit distractors must come last")
@@ -53,7 +51,7 @@ def relevance_gate(
     threshold: float = fixed.KEEP_THRESHOLD, explicit: float = fixed.EXPLICIT_THRESHOLD,
     trusted: Sequence[str] = ("seed_",), scale: float = fixed.SIMILARITY_SCALE,
 ) -> DataFrame:
-    """Add ``p_target``, ``p_explicit`` and ``decision``.
+    """Add ``p_target``, ``p_explicit`` and ``decision``; a class without a target prompt gives ``no_prompt``.
 
     ``prompts`` is (class_name, slot, kind, vec). The distractors are one short
     list and travel with the function; the target vector of a class comes by a
@@ -73,7 +71,8 @@ def relevance_gate(
         *items.columns,
         F.get(p, F.lit(0)).alias("p_target"),
         (array_total(F.slice(p, F.size(p) - (n_explicit - 1), n_explicit)) if n_explicit else F.lit(0.0)).alias("p_explicit"),
-        F.when(is_trusted, "trusted").when(p.isNull(), "unreadable")
+        F.when(is_trusted, "trusted").when(F.col(vec_col).isNotNull() & F.col("__target").isNull(), "no_prompt")
+        .when(p.isNull(), "unreadable")
         .otherwise(decide(p, n_explicit, threshold, explicit)).alias("decision"),
     )
 

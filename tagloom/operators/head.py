@@ -21,7 +21,6 @@ from tagloom.operators.ranking import class_index, class_vocabulary
 from tagloom.operators.scoring import LinearScorer
 from tagloom.operators.sizing import settle
 
-MAX_CLASSES = 100_000
 FAN_IN = 64  # partial sums that reach the driver
 MEMORY = 8  # past steps used to shape the next one
 Add = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -133,7 +132,7 @@ def fit_head(
     ``start`` warm-starts from another head: classes it knows take its weights, new
     classes begin at zero."""
     vocab = settle(class_vocabulary(df, label))
-    names = [str(n) for n in vocabulary_names(vocab, MAX_CLASSES)]
+    names = [str(n) for n in vocabulary_names(vocab)]
     indexed = class_index(df.filter(F.col(features).isNotNull()).select(features, label), label, vocab)
     weighted = class_weights(indexed, label) if balanced else indexed.withColumn("weight", F.lit(1.0))
     rows = weighted.select(
@@ -155,10 +154,11 @@ def fit_head(
         if start is not None:
             known = {n: i for i, n in enumerate(start.names)}
             w, b = np.asarray(start.weights, dtype=float), np.asarray(start.bias, dtype=float)
-            if w.shape[1] == width:
-                for k, n in enumerate(names):
-                    if n in known:
-                        theta[k, :-1], theta[k, -1] = w[known[n]] * spread, b[known[n]] + w[known[n]] @ centre
+            if w.shape[1] != width:
+                raise ValueError(f"start has {w.shape[1]} features, the rows have {width}")
+            for k, n in enumerate(names):
+                if n in known:
+                    theta[k, :-1], theta[k, -1] = w[known[n]] * spread, b[known[n]] + w[known[n]] @ centre
         theta = _minimise(value, theta.ravel(), max_iter, tol).reshape(theta.shape)
     finally:
         rows.unpersist()

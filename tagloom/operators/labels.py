@@ -67,11 +67,15 @@ def plan_quota(
     df: DataFrame, group: str, file_name: str,
     per_class: int = fixed.PER_CLASS_TARGET,
     n_engines: int = len(fixed.SEARCH_ENGINES), n_templates: int = len(fixed.SEARCH_TEMPLATES),
+    classes: DataFrame | None = None,
 ) -> DataFrame:
     """Rows to ask for per query, for classes below ``per_class``.
 
-    Everything but seeds counts as existing, cards too."""
+    Everything but seeds counts as existing, cards too. ``classes`` (with the column ``group``) lists all
+    classes; those without any item have 0 and get the largest quota."""
     have = df.groupBy(group).agg(F.count_if(~F.col(file_name).startswith("seed_")).alias("existing"))
+    if classes is not None:
+        have = classes.select(group).distinct().join(have, group, "left").fillna(0, ["existing"])
     remaining = F.lit(per_class) - F.col("existing")
     per_query = F.greatest(F.lit(1), F.floor(remaining / F.lit(n_engines * n_templates)) + 1)
     return have.filter(F.col("existing") < per_class).withColumn("per_query", per_query.cast("bigint"))

@@ -50,7 +50,7 @@ def number_in_order(df: DataFrame, order: list[str], name: str, start: int = 0)
 
 
 def dedup_first(df: DataFrame, group: list[str], fingerprint: str, order: str) -> DataFrame:
-    """Per group, keep the smallest ``order`` of the rows with an equal fingerprint.
+    """Per group, keep the smallest ``order`` of the rows with an equal fingerprint; NULL is the largest.
 
     Rows without a fingerprint (unreadable) are dropped. Copies are cut down on
     the map side, so a fingerprint shared by a third of the rows sends one row
@@ -59,7 +59,7 @@ def dedup_first(df: DataFrame, group: list[str], fingerprint: str, order: str) -
     keys = [*group, fingerprint]
     if set(df.columns) == {*keys, order}:
         return readable.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
-    w = W.partitionBy(*keys).orderBy(order)
+    w = W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
     return readable.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
@@ -107,6 +107,6 @@ def class_vocabulary(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_index(df: DataFrame, label: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Attach ``class_idx`` to every row."""
+    """Attach ``class_idx`` to every row; NULL for a NULL or unknown label."""
     vocab = vocab if vocab is not None else settle(class_vocabulary(df, label))
-    return lookup_join(df, vocab.withColumnRenamed("class_name", label), [label], how="inner")
+    return lookup_join(df, vocab.withColumnRenamed("class_name", label), [label], how="left")

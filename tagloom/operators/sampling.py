@@ -36,17 +36,18 @@ def _hash_cuts(hashed: DataFrame, group: list[str], id_col: str, targets: dict[s
     the rank is 0. Hashes are uniform, so a rank is almost surely close to its
     share of [0, 1): one aggregation counts the rows outside a narrow interval and
     keeps those inside, about ``SIGMAS * sqrt(n)`` per group. The count proves that
-    the cut is inside; if it is not, the intervals are widened and the pass is
-    repeated. The table itself is neither shuffled nor sorted."""
+    the cut is inside; if it is not, the intervals are widened once and then cover
+    everything, so there are three passes at most. The table itself is neither shuffled nor
+    sorted. Rows with equal ids (nulls are equal, and first) stand together at one place."""
     totals = class_totals(hashed, group).filter("__n > 0").select(
         *group, "__n", *[t.cast("bigint").alias(f"__t_{k}") for k, t in targets.items()])
-    width = float(SIGMAS)
-    while True:
+    for width in (float(SIGMAS), SIGMAS * 16.0, float("inf")):
         bounds = settle(_bounds(totals, list(targets), width))
         found, missing = _cuts_within(hashed, group, id_col, list(targets), bounds)
         if not missing:
-            return found
-        totals, width = bounds.select(*totals.columns), width * 16
+            break
+        totals = bounds.select(*totals.columns)
+    return found
 
 
 def _bounds(totals: DataFrame, names: list[str], width: float) -> DataFrame:
@@ -54,7 +55,7 @@ def _bounds(totals: DataFrame, names: list[str], width: float) -> DataFrame:
     n = F.col("__n").cast("double")
     for k in names:
         t = F.col(f"__t_{k}").cast("double")
-        reach = F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
+        reach = n if width == float("inf") else F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
         totals = totals.withColumn(f"__lo_{k}", _hex_place(F.greatest(F.lit(0.0), (t - reach) / n))).withColumn(
             f"__hi_{k}", _hex_place(F.least(F.lit(1.0), (t + reach) / n)))
     return totals
@@ -71,7 +72,7 @@ def _cuts_within(hashed, group, id_col, names, bounds) -> tuple[DataFrame, int]:
         passed = passed + (h >= F.col(f"__hi_{k}")).cast("int")
     placed = lookup_join(hashed.select(*group, _HASH, id_col), bounds, group, how="inner", null_safe=True, small=small)
     counted = placed.groupBy(
-        *group, F.when(inside, h).alias("h"), F.when(inside, F.col(id_col)).alias("id"), passed.alias("__passed"),
+        *group, inside.alias("__in"), F.when(inside, h).alias("h"), F.when(inside, F.col(id_col)).alias("id"), passed.alias("__passed"),
     ).agg(F.count(F.lit(1)).alias("__c"))
     # a counted stretch stands right after the last interval below it
     edges = F.array(F.lit(""), *[F.col(f"__hi_{k}") for k in names])
@@ -81,11 +82,11 @@ def _cuts_within(hashed, group, id_col, names, bounds) -> tuple[DataFrame, int]:
         .withColumn("__upto", F.sum("__c").over(
             W.partitionBy(*group).orderBy("__key", "id").rowsBetween(W.unboundedPreceding, 0)))
     )
-    here = F.when(F.col("id").isNotNull(), F.struct("h", "id"))
+    here = F.when(F.col("__in"), F.struct("h", "id"))
     hits = {k: (F.col(f"__t_{k}") > F.col("__upto") - F.col("__c")) & (F.col(f"__t_{k}") <= F.col("__upto")) for k in names}
     cuts = settle(ranked.groupBy(*group).agg(
         *[F.max(F.when(hit, here)).alias(f"__{k}") for k, hit in hits.items()],
-        sum((F.count_if(hit & F.col("id").isNull()) for hit in hits.values()), F.lit(0)).alias("__missing")))
+        sum((F.count_if(hit & ~F.col("__in")) for hit in hits.values()), F.lit(0)).alias("__missing")))
     return cuts.drop("__missing"), cuts.agg(F.coalesce(F.sum("__missing"), F.lit(0))).first()[0]
 
 
@@ -103,7 +104,7 @@ def stratified_split(
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """Add ``split``: per class, in hash order, first test, then val, rest train.
-    ``id_col`` must be unique.
+    Rows with equal ids (NULL is one id) get one split; with unique ids the sizes are exact.
 
     Sizes: ``max(1, round(n*f))``, halves to even; no test rows for n <= 2, no
     val rows for n <= 3."""
@@ -127,7 +128,8 @@ def stratified_split(
 def random_split_exact(
     df: DataFrame, id_col: str, frac: float = fixed.PLAIN_TRAIN_FRACTION, seed: int = fixed.SEED
 ) -> DataFrame:
-    """Add ``split``: exactly ``int(frac * N)`` rows train, the rest val, no strata."""
+    """Add ``split``: exactly ``int(frac * N)`` rows train, the rest val, no strata.
+    Rows with equal ids (NULL is one id) stay together."""
     hashed = df.withColumn(_HASH, seeded_hash(seed, F.col(id_col)))
     n_train = F.floor(F.lit(float(frac)) * F.col("__n").cast("double"))
     cut = _hash_cuts(hashed.withColumn("__all", F.lit(0)), ["__all"], id_col, {"train": n_train})  # one row

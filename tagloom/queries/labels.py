@@ -214,3 +214,15 @@ SELECT source, existing, greatest(1, floor((t.target - existing) / 8.0)::BIGINT
 FROM have, (SELECT 40 AS target) t WHERE existing < t.target""")
 def plan_quota(spark, sf):
     return ops.plan_quota(documents(spark, sf), "source", "file_name", per_class=40)
+
+
+@query("a9_plan_quota_empty", f"""WITH {DOCUMENTS_SQL}, have AS (
+SELECT source, count(CASE WHEN NOT starts_with(file_name, 'seed_') THEN 1 END) AS existing FROM docs
+WHERE source <> 'src3' GROUP BY source), classes AS (SELECT DISTINCT source FROM docs WHERE source IS NOT NULL)
+SELECT source, coalesce(existing, 0) AS existing, greatest(1, floor((t.target - coalesce(existing, 0)) / 8.0)::BIGINT + 1) AS per_query
+FROM classes LEFT JOIN have USING (source), (SELECT 40 AS target) t WHERE coalesce(existing, 0) < t.target""")
+def plan_quota_empty(spark, sf):
+    """One class has no items at all."""
+    docs = documents(spark, sf)
+    classes = docs.where("source IS NOT NULL").select("source")
+    return ops.plan_quota(docs.where("source <> 'src3'"), "source", "file_name", per_class=40, classes=classes)

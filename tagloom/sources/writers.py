@@ -14,8 +14,10 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def write_mapping(df: DataFrame, path: str, name: str = "name", value: str = "value") -> None:
-    """JSON object, one entry per line, sorted by name, non-ASCII kept."""
+    """JSON object, one entry per line, sorted by name, non-ASCII kept. A repeated
+    name keeps its largest value; a NULL name fails the job."""
     spark = df.sparkSession
+    df = df.groupBy(F.coalesce(F.col(name), F.raise_error(F.lit("a name is NULL")).cast("string")).alias(name)).agg(F.max(value).alias(value))
     entry = F.to_json(F.create_map(F.col(name), F.col(value)))
     first = df.agg(F.min(name)).scalar()
     comma = F.when(F.col(name) == first, "").otherwise(",")
@@ -29,7 +31,7 @@ def write_reports(cm: DataFrame, per_class: DataFrame, vocab: DataFrame, out: st
     """``confusion_matrix`` (first header cell empty) and ``per_class_accuracy``
     (worst first, accuracy to 4 decimals) as CSV folders under ``out``."""
     wide = confusion_wide(cm, vocab).orderBy("class_idx").drop("class_idx").withColumnRenamed("class_name", "")
-    # at most MAX_WIDE rows, checked above
+    # one row per class
     wide.coalesce(1).write.option("header", True).option("emptyValue", "").csv(f"{out}/confusion_matrix")
     worst_first(per_class).select(
         F.col("class_name").alias("class"), "test_samples", F.format_string("%.4f", "accuracy").alias("accuracy"),

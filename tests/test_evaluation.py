@@ -31,10 +31,11 @@ def test_confusion_and_reports(spark, predictions):
     assert tuple(ev.top1_accuracy(cm.limit(0)).first()) == (0, 0, 0.0)
 
 
-def test_wide_form_refuses_too_many_classes(spark, predictions, monkeypatch):
-    monkeypatch.setattr(ev, "MAX_WIDE", 3)
-    with pytest.raises(ValueError):
-        ev.confusion_wide(ev.confusion(predictions[0], "true", "pred"), predictions[1])
+def test_wide_form_has_no_limit_on_classes(spark):
+    vocab = spark.createDataFrame([(i, f"c{i:04d}") for i in range(300)], "class_idx int, class_name string")
+    cm = spark.createDataFrame([("c0000", "c0299", 5)], "true string, pred string, n bigint")
+    wide = ev.confusion_wide(cm, vocab)
+    assert len(wide.columns) == 302 and wide.filter("class_idx = 0").first()["c0299"] == 5
 
 
 def test_epoch_metrics(spark):
