@@ -9,7 +9,8 @@ whole batch without copying row by row.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -169,6 +170,75 @@ def matrix_softmax(features: Column, weights, bias=None, scale: float = 1.0, uni
     return kernel(features)
 
 
+BLOCK_ROWS = 256  # rows whose probabilities of all classes are held at once
+_PAIR = pa.struct([("idx", pa.int32()), ("p", pa.float64())])
+_MODELS: dict = {}  # models of this Python worker
+MODELS_KEPT = 8
+
+
+def _best(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the k largest per row, the lower position first on a tie; ``p`` is overwritten."""
+    at = np.arange(len(p))
+    idx = np.empty((len(p), k), dtype=np.int32)
+    val = np.empty((len(p), k))
+    for j in range(k):
+        idx[:, j] = p.argmax(axis=1)
+        val[:, j] = p[at, idx[:, j]]
+        p[at, idx[:, j]] = -np.inf
+    return idx, val
+
+
+def matrix_top(features: Column, weights, k: int, bias=None, scale: float = 1.0, unit: bool = False) -> Column:
+    """array<struct<idx, p>>: the ``k`` most likely classes of :func:`matrix_softmax`.
+
+    Product, softmax and ranking go block by block, so that a worker holds ``BLOCK_ROWS`` rows of
+    probabilities however many classes there are."""
+    w = np.asarray(weights, dtype=np.float64)
+    w = _unit(w) if unit else w
+    b = np.zeros(len(w)) if bias is None else np.asarray(bias, dtype=np.float64)
+    width = min(k, len(w))
+
+    @F.arrow_udf("array<struct<idx:int,p:double>>")
+    def kernel(vec: pa.Array) -> pa.Array:
+        present, x = _to_matrix(vec)
+        idx, val = np.empty((len(x), width), dtype=np.int32), np.empty((len(x), width))
+        for a in range(0, len(x), BLOCK_ROWS):
+            rows = slice(a, a + BLOCK_ROWS)
+            block = _unit(x[rows]) if unit else x[rows]
+            idx[rows], val[rows] = _best(_softmax_rows(scale * (block @ w.T) + b), width)
+        pairs = pa.StructArray.from_arrays([pa.array(idx.ravel()), pa.array(val.ravel())], fields=list(_PAIR))
+        return pa.ListArray.from_arrays(_offsets(present, width), pairs)
+
+    return kernel(features)
+
+
+def loaded(key: str, make: Callable):
+    """The model of ``key``, made once per Python worker as long as few models are in use."""
+    if key not in _MODELS:
+        if len(_MODELS) >= MODELS_KEPT:
+            _MODELS.clear()
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
+def model_probs(features: Column, make_predict: Callable, width: int, batch_size: int) -> Column:
+    """array<double> from any model; rows with NULL features get NULL and do not reach it."""
+    key = uuid.uuid4().hex
+
+    @F.arrow_udf(_DOUBLES)
+    def kernel(vec: pa.Array) -> pa.Array:
+        present, x = _to_matrix(vec)
+        if not present.any():
+            return _to_lists(np.zeros((0, 0)), present)
+        if x.shape[1] != width:
+            raise ValueError(f"the model takes {width} features, the rows have {x.shape[1]}")
+        predict = loaded(key, make_predict)
+        out = [np.asarray(predict(x[a:a + batch_size]), dtype=np.float64) for a in range(0, len(x), batch_size)]
+        return _to_lists(np.concatenate(out), present)
+
+    return kernel(features)
+
+
 def ranked_pairs(probs: Column, k: int) -> Column:
     """array<struct<idx, p>>: the k largest values, the lower position first on a
     tie. Chained behind another Arrow function it runs in the same Python pass, so
@@ -198,7 +268,7 @@ def gate_softmax(features: Column, target: Column, shared, scale: float = fixed.
         if not both.any():
             return _to_lists(np.zeros((0, len(d) + 1)), both)
         if not both.all():
-                    vec, own = vec.filter(pa.array(both)), own.filter(pa.array(both))
+            vec, own = vec.filter(pa.array(both)), own.filter(pa.array(both))
         x, t = _unit(_to_matrix(vec)[1]), _unit(_to_matrix(own)[1])
         z = np.concatenate([(x * t).sum(axis=1, keepdims=True), x @ d.T], axis=1)
         return _to_lists(_softmax_rows(scale * z), both)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tagloom.functions import fixed
-from tagloom.functions.vectors import argmax
-from tagloom.operators.sizing import lookup_join, settle
+from tagloom.operators.scoring import best_of
+from tagloom.operators.sizing import fits_broadcast, lookup_join, settle
 
 EPOCHS_PER_CHUNK = 65_536
 
@@ -35,8 +35,29 @@ def vocabulary_names(vocab: DataFrame) -> list[str]:
     return [r["class_name"] for r in vocab.orderBy("class_idx").select("class_name").collect()]
 
 
-def confusion_wide(cm: DataFrame, vocab: DataFrame) -> DataFrame:
-    """class_idx, class_name and one column per class; all cells, 0 if unseen."""
+def within(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts and vocabulary for the reports, so that no row is lost in them.
+
+    Classes outside the vocabulary (NULL too) are counted as ``other``, a last class
+    of its own that must not be in the vocabulary; without ``other`` they fail the job."""
+    known = vocab.select("class_name")
+    small = fits_broadcast(known)
+    for side in ("true", "pred"):
+        marked = known.select(F.col("class_name").alias(side), F.lit(True).alias("__known"))
+        outside = F.lit(other) if other is not None else F.raise_error(F.concat(
+            F.lit(f"not in the vocabulary, column {side}: "), F.coalesce(F.col(side), F.lit("NULL")))).cast("string")
+        cm = lookup_join(cm, marked, [side], small=small).withColumn(
+            side, F.when(F.col("__known"), F.col(side)).otherwise(outside)).drop("__known")
+    if other is None:
+        return cm, vocab
+    last = vocab.agg((F.coalesce(F.max("class_idx"), F.lit(-1)) + 1).cast(vocab.schema["class_idx"].dataType).alias("class_idx"))
+    return (cm.groupBy("true", "pred").agg(F.sum("n").alias("n")),
+            vocab.unionByName(last.select("class_idx", F.lit(other).alias("class_name"))))
+
+
+def confusion_wide(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """class_idx, class_name and one column per class; all cells, 0 if unseen. ``other`` as in :func:`within`."""
+    cm, vocab = within(cm, vocab, other)
     names = vocabulary_names(vocab)
     cells = cm.groupBy(F.col("true").alias("class_name")).pivot("pred", names).agg(F.sum("n"))
     return vocab.join(cells, "class_name", "left").select(
@@ -44,11 +65,14 @@ def confusion_wide(cm: DataFrame, vocab: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(f"`{n}`"), F.lit(0).cast("bigint")).alias(n) for n in names])
 
 
-def per_class_accuracy(cm: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(class_idx, class_name, test_samples, correct, accuracy); 0.0 without rows."""
+def per_class_accuracy(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """(class_idx, class_name, test_samples, correct, accuracy); 0.0 without rows. ``other``
+    as in :func:`within`; a hit counts as correct only in a class of the vocabulary."""
+    known = F.lit(True) if other is None else F.col("true") != other
+    cm, vocab = within(cm, vocab, other)
     per = cm.groupBy(F.col("true").alias("class_name")).agg(
         F.sum("n").alias("test_samples"),
-        F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(F.lit(0))).alias("correct"))
+        F.sum(F.when((F.col("true") == F.col("pred")) & known, F.col("n")).otherwise(F.lit(0))).alias("correct"))
     zero = F.lit(0).cast("bigint")
     return vocab.join(per, "class_name", "left").select(
         "class_idx", "class_name",
@@ -144,12 +168,11 @@ def early_stop(
         F.coalesce(F.col("s.b"), F.col("b")).alias("best"))
 
 
-def evaluate(df: DataFrame, scorer, features: str, truth: str, vocab: DataFrame):
-    """(confusion, per class, overall) of the scorer's best class against ``truth``.
+def evaluate(df: DataFrame, scorer, features: str, truth: str, vocab: DataFrame, other: str | None = None):
+    """(confusion, per class, overall) of the scorer's best class against ``truth``; ``other`` as in :func:`within`.
 
     The confusion counts are written once and shared by the reports."""
-    names = F.array(*[F.lit(n) for n in scorer.names])
-    predicted = scorer(df, features, "__p").select(
-        F.col(truth).cast("string").alias("true"), F.get(names, argmax(F.col("__p"))).alias("pred"))
+    predicted = best_of(df, scorer, features, 1, "__best").select(
+        F.col(truth).cast("string").alias("true"), F.get("__best", F.lit(0))["name"].alias("pred"))
     cm = settle(confusion(predicted, "true", "pred"))
-    return cm, per_class_accuracy(cm, vocab), top1_accuracy(cm)
+    return cm, per_class_accuracy(cm, vocab, other), top1_accuracy(cm)

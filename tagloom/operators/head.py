@@ -21,14 +21,14 @@ from tagloom.operators.ranking import class_index, class_vocabulary
 from tagloom.operators.scoring import LinearScorer
 from tagloom.operators.sizing import settle
 
-FAN_IN = 64  # partial sums that reach the driver
+FAN_IN = 64  # tasks that merge the partial sums
 MEMORY = 8  # past steps used to shape the next one
 Add = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def _total(rows: DataFrame, add: Add) -> np.ndarray:
+def _total(rows: DataFrame, add: Add, n_parts: int) -> np.ndarray:
     """Sum of ``add(x, y, weight)`` over all batches: one vector per task, merged
-    by ``FAN_IN`` tasks, then on the driver. The vector has the model's size."""
+    by ``FAN_IN`` tasks, then by one; a single vector, of the model's size, reaches the driver."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -49,10 +49,12 @@ def _total(rows: DataFrame, add: Add) -> np.ndarray:
             yield pa.record_batch([pa.array([total.tobytes()], type=pa.binary())], names=["v"])
 
     parts = rows.mapInArrow(partial, "v binary")
-    if rows.rdd.getNumPartitions() > FAN_IN:
+    if n_parts > FAN_IN:
         spread = parts.withColumn("k", F.spark_partition_id() % FAN_IN)
         parts = spread.repartition(FAN_IN, "k").select("v").mapInArrow(merge, "v binary")
-    return sum(np.frombuffer(r["v"]) for r in parts.collect())
+    if n_parts > 1:
+        parts = parts.repartition(1).mapInArrow(merge, "v binary")
+    return np.frombuffer(parts.first()["v"])
 
 
 def _moments(x, y, w) -> np.ndarray:
@@ -138,7 +140,8 @@ def fit_head(
     rows = weighted.select(
         doubles(F.col(features)).alias("x"), F.col("class_idx").cast("int").alias("y"), "weight").persist()
     try:
-        m = _total(rows, _moments)
+        n_parts = rows.rdd.getNumPartitions()
+        m = _total(rows, _moments, n_parts)
         weight, width = m[0], (len(m) - 1) // 2
         centre = m[1:width + 1] / weight
         spread = np.sqrt(np.maximum(m[width + 1:] / weight - centre**2, 0.0))
@@ -146,7 +149,7 @@ def fit_head(
 
         def value(flat):
             theta = flat.reshape(len(names), width + 1)
-            t = _total(rows, _step(theta, centre, spread, eps)) / weight
+            t = _total(rows, _step(theta, centre, spread, eps), n_parts) / weight
             grad = t[1:].reshape(theta.shape) + reg * np.hstack([theta[:, :-1], np.zeros((len(names), 1))])
             return t[0] + reg / 2 * (theta[:, :-1] ** 2).sum(), grad.ravel()
 

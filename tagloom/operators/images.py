@@ -8,9 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions import fixed
 from tagloom.functions.vectors import dct_matrix, lanczos_weights
@@ -102,7 +102,7 @@ def _draw(px: np.ndarray, r) -> np.ndarray:
     if r["style"] == "none":
         return px[:, :, :3] if px.shape[2] >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
     drawn = _pencil(_gray(px), r["blur_radius"], r["alpha"])
-    if r["post_blur"] is not None and not np.isnan(r["post_blur"]):
+    if r["post_blur"] is not None:
         drawn = _blur(drawn, r["post_blur"])
     return np.repeat(drawn[:, :, None], 3, axis=2)
 
@@ -135,21 +135,25 @@ def augment(
     flat = df.filter(img["height"] > 0).select(
         *keep, img["origin"].alias("__origin"), img["height"].alias("__h"), img["width"].alias("__w"),
         img["nChannels"].alias("__c"), img["data"].alias("__data"), recipes.alias("__recipes"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "image")
-    schema = f"{kept}, variant int, style string, __origin string, __h int, __w int, __data binary"
+    n_kept = len(keep)
+    schema = T.StructType([
+        *flat.schema.fields[:n_kept], T.StructField("variant", T.IntegerType()), T.StructField("style", T.StringType()),
+        *flat.schema.fields[n_kept:n_kept + 3], T.StructField("__data", T.BinaryType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the other columns stay Arrow values; one image's copies are held at a time
         for batch in batches:
-            for row in batch.to_dict("records"):
-                px = _pixels(row["__h"], row["__w"], row["__c"], row["__data"])
-                out = [
-                    {**{k: row[k] for k in keep}, "variant": v, "style": r["style"], "__origin": row["__origin"],
-                     "__h": row["__h"], "__w": row["__w"], "__data": _draw(px, r).tobytes()}
-                    for v, r in enumerate(row["__recipes"])
-                ]
-                yield pd.DataFrame(out)
-
-    drawn = flat.mapInPandas(run, schema)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                h, w, c = (row.column(n_kept + k)[0].as_py() for k in (1, 2, 3))
+                px = _pixels(h, w, c, row.column(n_kept + 4)[0].as_buffer())
+                plans = row.column(n_kept + 5)[0].as_py()
+                copies = row.select(range(n_kept + 3)).take(pa.array([0] * len(plans)))
+                yield pa.RecordBatch.from_arrays(
+                    [*copies.columns[:n_kept], pa.array(range(len(plans)), pa.int32()), pa.array([r["style"] for r in plans], pa.string()),
+                     *copies.columns[n_kept:], pa.array([_draw(px, r).tobytes() for r in plans], pa.binary())], names=schema.names)
+
+    drawn = flat.mapInArrow(run, schema)
     image = F.struct(
         F.col("__origin").alias("origin"), F.col("__h").alias("height"), F.col("__w").alias("width"),
         F.lit(3).alias("nChannels"), F.lit(BGR_MODE).alias("mode"), F.col("__data").alias("data"))

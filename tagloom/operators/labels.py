@@ -28,17 +28,18 @@ def scope_classes(
 
 def canonicalise(df: DataFrame, col: str, aliases: Mapping[str, str] | DataFrame = fixed.LABEL_ALIASES) -> DataFrame:
     """Replace aliased labels; rows are not merged. ``aliases`` is a literal table
-    or a DataFrame (alias, canonical)."""
+    or a DataFrame (alias, canonical); of a repeated alias the largest name counts."""
     if isinstance(aliases, DataFrame):
-        table = aliases.select(F.col("alias").alias(col), F.col("canonical").alias("__canonical"))
+        table = aliases.groupBy(F.col("alias").alias(col)).agg(F.max("canonical").alias("__canonical"))
         return lookup_join(df, table, [col], how="left").withColumn(
             col, F.coalesce("__canonical", col)).drop("__canonical")
     return df.withColumn(col, canonical_label(F.col(col), aliases))
 
 
 def lookup_default(df: DataFrame, table: DataFrame, on: list[str], value: str, default: Column) -> DataFrame:
-    """Left lookup of ``value``; ``default`` where the key is missing."""
-    return lookup_join(df, table.select(*on, value), on, how="left").withColumn(
+    """Left lookup of ``value``; ``default`` where the key is missing. Of a repeated key the
+    largest value counts, so that no row of ``df`` is multiplied."""
+    return lookup_join(df, table.groupBy(*on).agg(F.max(value).alias(value)), on, how="left").withColumn(
         value, F.coalesce(F.col(value), default))
 
 

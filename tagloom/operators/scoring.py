@@ -5,17 +5,16 @@ on a stream."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from tagloom.functions import fixed
 from tagloom.functions.text import canonical_label
-from tagloom.functions.vectors import matrix_softmax, ranked_pairs
+from tagloom.functions.vectors import matrix_softmax, matrix_top, model_probs, ranked_pairs
 from tagloom.operators.sizing import fits_broadcast
 
 # Names of the two answering models.
@@ -24,7 +23,8 @@ ROUTED, DIRECT = "legacy-gen1", "gen1-3"
 
 class Scorer(Protocol):
     """Adds ``out``: array<double> of class probabilities in the order of
-    ``names``. Rows with NULL features get NULL and must not be scored."""
+    ``names``. Rows with NULL features get NULL and must not be scored. A scorer may also have
+    ``top(features, k)``: its ``k`` best (idx, p) without the whole array."""
 
     names: Sequence[str]
 
@@ -42,6 +42,9 @@ class PrototypeScorer:
     def __call__(self, df: DataFrame, features: str, out: str) -> DataFrame:
         return df.withColumn(out, matrix_softmax(F.col(features), self.vectors, scale=self.scale, unit=True))
 
+    def top(self, features: str, k: int) -> Column:
+        return matrix_top(F.col(features), self.vectors, k, scale=self.scale, unit=True)
+
 
 @dataclass
 class LinearScorer:
@@ -54,6 +57,9 @@ class LinearScorer:
     def __call__(self, df: DataFrame, features: str, out: str) -> DataFrame:
         return df.withColumn(out, matrix_softmax(F.col(features), self.weights, self.bias))
 
+    def top(self, features: str, k: int) -> Column:
+        return matrix_top(F.col(features), self.weights, k, self.bias)
+
 
 @dataclass
 class BatchScorer:
@@ -66,12 +72,7 @@ class BatchScorer:
     batch_size: int = 256
 
     def __call__(self, df: DataFrame, features: str, out: str) -> DataFrame:
-        udf = predict_batch_udf(
-            self.make_predict, return_type=T.ArrayType(T.DoubleType()),
-            batch_size=self.batch_size, input_tensor_shapes=[[self.width]])
-        present = df.filter(F.col(features).isNotNull()).withColumn(out, udf(F.col(features)))
-        absent = df.filter(F.col(features).isNull()).withColumn(out, F.lit(None).cast("array<double>"))
-        return present.unionByName(absent)
+        return df.withColumn(out, model_probs(F.col(features), self.make_predict, self.width, self.batch_size))
 
 
 BACKBONES: dict[str, Callable[..., Scorer]] = {
@@ -97,12 +98,17 @@ def prototype_scorer(prototypes: DataFrame, name: str, vec: str, scale: float =
     return PrototypeScorer([r["n"] for r in rows], [list(r["v"]) for r in rows], scale)
 
 
+def name_list(names: Sequence[str]) -> Column:
+    """The names as one constant, however many there are."""
+    return F.from_json(F.lit(json.dumps(list(names))), "array<string>")
+
+
 def top_k(probs: Column, names: Sequence[str], k: int = 3) -> Column:
     """array<struct<name, confidence>>, confidence in percent, best first; the
     lower class index wins a tie; never longer than the number of classes."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = name_list(names)
     ranked = F.sort_array(F.transform(probs, lambda p, i: F.struct((-p).alias("neg"), i.alias("idx"))))
     return F.transform(
         F.slice(ranked, 1, k),
@@ -114,16 +120,28 @@ def best_k(probs: Column, names: Sequence[str], k: int = 3) -> Column:
     there: for a wide vocabulary far less data comes back than the whole array."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    labels = F.array(*[F.lit(n) for n in names])
+    return _named(ranked_pairs(probs, k), names)
+
+
+def _named(pairs: Column, names: Sequence[str]) -> Column:
+    labels = name_list(names)
     return F.transform(
-        ranked_pairs(probs, k),
-        lambda s: F.struct(F.get(labels, s["idx"]).alias("name"), (s["p"] * 100).alias("confidence")))
+        pairs, lambda s: F.struct(F.get(labels, s["idx"]).alias("name"), (s["p"] * 100).alias("confidence")))
+
+
+def best_of(df: DataFrame, scorer: Scorer, features: str, k: int, out: str) -> DataFrame:
+    """Add the scorer's ``k`` best classes, in blocks if the scorer can."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if hasattr(scorer, "top"):
+        return df.withColumn(out, _named(scorer.top(features, k), scorer.names))
+    return scorer(df, features, "__p").withColumn(out, best_k(F.col("__p"), scorer.names, k)).drop("__p")
 
 
 def score(df: DataFrame, scorer: Scorer, features: str, k: int = 3, out: str = "predictions") -> DataFrame:
     """Add the scorer's ``k`` best classes. Explode the result with the outer form:
     the plain one makes Spark test its size first and score every row twice."""
-    return scorer(df, features, "__p").withColumn(out, best_k(F.col("__p"), scorer.names, k)).drop("__p")
+    return best_of(df, scorer, features, k, out)
 
 
 def merge_aliases(predictions: Column, aliases: Mapping[str, str]) -> Column:
@@ -144,14 +162,13 @@ def route(
     NULL, so one narrow stage does it all, without a join."""
     best = F.get(F.col(predictions), F.lit(0))["name"]
     asked = df.withColumn("__f", F.when(best.isin(*members), F.col(features)))
-    answered = second(asked, "__f", "__q").withColumn(
-        "__second", merge_aliases(best_k(F.col("__q"), second.names, k), aliases))
+    answered = best_of(asked, second, "__f", k, "__second").withColumn("__second", merge_aliases(F.col("__second"), aliases))
     # the product, not the literal 55: it is a little above it in doubles
     sure = F.coalesce(F.get(F.col("__second"), F.lit(0))["confidence"] >= F.lit(trust * 100), F.lit(False))
     return (
         answered.withColumn("model", F.when(sure, ROUTED).otherwise(DIRECT))
         .withColumn(predictions, F.when(sure, F.col("__second")).otherwise(F.col(predictions)))
-        .drop("__f", "__q", "__second")
+        .drop("__f", "__second")
     )
 
 

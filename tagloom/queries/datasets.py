@@ -66,7 +66,7 @@ _TRAIN_SQL = f"tr AS (SELECT * FROM ({split_sql('(SELECT doc_id, lang, source FR
 FROM ({resample_sql('tr', 'lang', 'doc_id')}) d""")
 def prepared(spark, sf):
     out = prepare(table(spark, sf, "documents").select("doc_id", "lang", "source"), "lang", "doc_id")
-    return out.draws.join(out.weights.select("doc_id", "weight"), "doc_id").select("draw", "lang", "doc_id", "weight")
+    return out.weighted_draws().select("draw", "lang", "doc_id", "weight")
 
 
 @query("p2_prepare_counts", f"""WITH {_TRAIN_SQL} SELECT row_number() OVER (ORDER BY lang) - 1 AS class_idx, lang AS class_name, count(*) AS n

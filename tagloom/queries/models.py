@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tagloom.functions.vectors import argmax
@@ -48,6 +49,58 @@ def score(spark, sf):
         "vec_id", F.col("cls").alias("truth"), best["name"].alias("name"), F.round(best["confidence"], 4).alias("confidence"))
 
 
+@query("m5_batch_scorer", f"""WITH {VECTORS_SQL}, {probs_sql('a')}
+SELECT vec_id, truth, cls AS name, round(p * 100, 4) AS confidence FROM p_a WHERE rnk = 1""")
+def batch_scorer(spark, sf):
+    """The model of ``m2_score`` behind a loader."""
+    v = vectors(spark, sf)
+    model = model_a(v)
+    w = np.asarray(model.vectors, dtype=np.float64)
+
+    def make():
+        unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+
+        def predict(x):
+            z = model.scale * (x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return predict
+
+    second = scoring.make_scorer("batch", names=model.names, make_predict=make, width=w.shape[1])
+    best = F.get("predictions", F.lit(0))
+    return scoring.score(v, second, "embedding", k=1).select(
+        "vec_id", F.col("cls").alias("truth"), best["name"].alias("name"), F.round(best["confidence"], 4).alias("confidence"))
+
+
+# The last two classes are outside the vocabulary of these reports.
+_PART_SQL = f"""{VECTORS_SQL}, {probs_sql('a')}, part AS (SELECT cls FROM proto_a WHERE idx + 2 < (SELECT count(*) FROM proto_a)),
+seen AS (SELECT CASE WHEN truth IN (SELECT cls FROM part) THEN truth ELSE 'other' END AS "true",
+  CASE WHEN cls IN (SELECT cls FROM part) THEN cls ELSE 'other' END AS pred FROM p_a WHERE rnk = 1)"""
+
+
+def _partial(spark, sf):
+    cm, vocab = confusion_inputs(spark, sf)
+    last = vocab.agg(F.max("class_idx")).scalar()
+    return cm, vocab.where(F.col("class_idx") + 1 < last)
+
+
+@query("a4_confusion_other", f"""WITH {_PART_SQL} SELECT "true" AS class_name, count(*) AS n,
+count(CASE WHEN pred = 'other' THEN 1 END) AS other FROM seen GROUP BY 1""")
+def confusion_other(spark, sf):
+    cm, vocab = _partial(spark, sf)
+    wide = evaluation.confusion_wide(cm, vocab, "other")
+    cells = [F.col(f"`{c}`") for c in wide.columns if c not in ("class_idx", "class_name")]
+    return wide.select("class_name", sum(cells, F.lit(0).cast("bigint")).alias("n"), "other")
+
+
+@query("a5_accuracy_other", f"""WITH {_PART_SQL} SELECT "true" AS class_name, count(*) AS test_samples,
+count(CASE WHEN "true" = pred AND pred <> 'other' THEN 1 END) AS correct FROM seen GROUP BY 1""")
+def accuracy_other(spark, sf):
+    cm, vocab = _partial(spark, sf)
+    return evaluation.per_class_accuracy(cm, vocab, "other").select("class_name", "test_samples", "correct")
+
+
 def routed(spark, sf):
     v = vectors(spark, sf)
     return scoring.route(

@@ -2,11 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import text
-from tagloom.operators import catalogue, gate, labels, ranking, sampling
+from tagloom.operators import catalogue, evaluation, gate, images, labels, ranking, sampling, scoring, sizing
+from tagloom.plans.training import prepare
 from tagloom.sources import writers
 
 
@@ -70,3 +72,76 @@ def test_class_without_prompt_has_its_own_decision(spark):
                                     "class_name string, slot int, kind string, vec array<double>")
     got = {r["f"]: r["decision"] for r in gate.relevance_gate(items, prompts, "c", "v", "f").collect()}
     assert got == {"x": "keep", "y": "no_prompt", "n": "unreadable"}
+
+
+def test_classes_outside_the_vocabulary_are_counted(spark):
+    cm = spark.createDataFrame([("a", "a", 4), ("a", "x", 1), ("y", "x", 2), (None, "b", 1), ("b", None, 2)], "true string, pred string, n bigint")
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "class_idx bigint, class_name string")
+    wide = {r["class_name"]: (r["class_idx"], r["a"], r["b"], r["other"]) for r in evaluation.confusion_wide(cm, vocab, "other").collect()}
+    assert wide == {"a": (0, 4, 0, 1), "b": (1, 0, 0, 2), "other": (2, 0, 1, 2)}
+    per = {r["class_name"]: (r["test_samples"], r["correct"]) for r in evaluation.per_class_accuracy(cm, vocab, "other").collect()}
+    assert per == {"a": (5, 4), "b": (2, 0), "other": (3, 0)}
+    assert evaluation.top1_accuracy(cm).first()["total"] == 10
+    for report in (evaluation.confusion_wide, evaluation.per_class_accuracy):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            report(cm, vocab).collect()
+
+
+def test_repeated_lookup_keys_do_not_multiply_rows(spark):
+    facts = spark.createDataFrame([("k", 1), ("z", 2)], "k string, i int")
+    table = spark.createDataFrame([("k", "a"), ("k", "b")], "k string, v string")
+    assert sorted(map(tuple, labels.lookup_default(facts, table, ["k"], "v", F.lit("-")).select("i", "v").collect())) == [(1, "b"), (2, "-")]
+    names = table.select(F.col("k").alias("alias"), F.col("v").alias("canonical"))
+    assert sorted(r["k"] for r in labels.canonicalise(facts, "k", names).collect()) == ["b", "z"]
+
+
+def test_equal_rows_of_a_hot_key_spread_over_salts(spark):
+    facts = spark.range(0, 4000, 1, 200).select(F.lit("hot").alias("k"), F.lit(1).alias("x"))
+    table = spark.createDataFrame([("hot", 7)], "k string, v int")
+    joined = sizing.lookup_join(facts, table, ["k"], max_rows=0)
+    assert joined.agg(F.sum("v")).first()[0] == 28000 and joined.columns == ["k", "x", "v"]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.col("k"), F.col("x")), F.lit(sizing.SALTS))
+    assert facts.select(salt.alias("s")).distinct().count() >= sizing.SALTS - 2
+
+
+def test_copies_of_images_keep_other_columns_exactly(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(1, big, [1, None]), (2, None, None)], "id long, b long, l array<long>").withColumn(
+        "image", F.struct(F.lit("o").alias("origin"), F.lit(2).alias("height"), F.lit(2).alias("width"), F.lit(1).alias("nChannels"),
+                          F.lit(0).alias("mode"), F.unhex(F.lit("01020304")).alias("data")))
+    got = images.augment(df, "id", variants=2).collect()
+    assert sorted((r["id"], r["b"], r["l"], r["variant"]) for r in got if r["id"] == 1) == [(1, big, [1, None], 0), (1, big, [1, None], 1)]
+    assert [r["b"] for r in got if r["id"] == 2] == [None, None] and all(len(r["image"]["data"]) == 12 for r in got)
+
+
+def test_wide_vocabulary_is_scored_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=(200_000, 3))
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(300, None)], "id int, v array<double>")
+    scorer = scoring.LinearScorer([f"n{i}" for i in range(len(w))], w, np.zeros(len(w)))
+    got = {r["id"]: r["predictions"] for r in scoring.score(df, scorer, "v", k=2).collect()}
+    assert got[300] is None
+    for i in (0, 255, 256, 299):
+        best = np.argsort(-(w @ x[i]), kind="stable")[:2]
+        assert [p["name"] for p in got[i]] == [f"n{k}" for k in best]
+
+
+def test_batch_scorer_is_one_pass(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 > 0, F.array(F.col("id").cast("double"), F.lit(1.0))).alias("v"))
+    model = scoring.make_scorer("batch", names=["a", "b"], make_predict=lambda: lambda x: np.stack([x[:, 0], x[:, 1]], 1), width=2, batch_size=7)
+    out = scoring.score(df, model, "v", k=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan and plan.count("Range (") == 1
+    got = {r["id"]: r["predictions"] for r in out.collect()}
+    assert len(got) == 40 and got[0] is None and got[5][0]["name"] == "a" and got[1][0]["confidence"] == 100.0
+
+
+def test_prepare_writes_keys_only(spark):
+    df = spark.range(300).select("id", (F.col("id") % 3).cast("string").alias("label"), F.array(F.rand(1)).alias("vec"))
+    out = prepare(df, "label", "id")
+    assert out.keys.columns == ["label", "id"] and "vec" in out.items.columns
+    weighted = out.weighted_draws()
+    n = {r["class_name"]: r["n"] for r in out.train_counts.collect()}
+    assert weighted.count() == sum(n.values())
+    assert all(r["weight"] == 1.0 / n[r["label"]] for r in weighted.collect())
