@@ -96,15 +96,15 @@ def _direction(g: np.ndarray, past: list) -> np.ndarray:
     return -q
 
 
-def _minimise(value: Callable, theta: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
-    """Each call of ``value`` is one distributed pass."""
+def _minimise(value: Callable, theta: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, bool]:
+    """(best point, whether it is one: no better step exists). Each call of ``value`` is one distributed pass."""
     f, g = value(theta)
     past: list = []
     for _ in range(max_iter):
         d, rate = _direction(g, past), 1.0 if past else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
         slope = g @ d
         if -slope <= 1e-14:
-            break
+            return theta, True
         while True:
             new = theta + rate * d
             f_new, g_new = value(new)
@@ -112,15 +112,15 @@ def _minimise(value: Callable, theta: np.ndarray, max_iter: int, tol: float) ->
                 break
             rate /= 2
         if f_new > f:
-            break
+            return theta, True
         s, y = new - theta, g_new - g
         if s @ y > 1e-12:
             past = [*past, (s, y)][-MEMORY:]
         done = f - f_new <= tol * max(abs(f), 1.0)
         theta, f, g = new, f_new, g_new
         if done:
-            break
-    return theta
+            return theta, True
+    return theta, False
 
 
 def fit_head(
@@ -132,7 +132,7 @@ def fit_head(
     squared weights (of features scaled to unit variance; the bias is free).
 
     ``start`` warm-starts from another head: classes it knows take its weights, new
-    classes begin at zero."""
+    classes begin at zero. ``converged`` of the result is false if ``max_iter`` ended the search."""
     vocab = settle(class_vocabulary(df, label))
     names = [str(n) for n in vocabulary_names(vocab)]
     indexed = class_index(df.filter(F.col(features).isNotNull()).select(features, label), label, vocab)
@@ -162,8 +162,9 @@ def fit_head(
             for k, n in enumerate(names):
                 if n in known:
                     theta[k, :-1], theta[k, -1] = w[known[n]] * spread, b[known[n]] + w[known[n]] @ centre
-        theta = _minimise(value, theta.ravel(), max_iter, tol).reshape(theta.shape)
+        best, converged = _minimise(value, theta.ravel(), max_iter, tol)
+        theta = best.reshape(theta.shape)
     finally:
         rows.unpersist()
     weights = theta[:, :-1] / spread
-    return LinearScorer(names, weights.tolist(), (theta[:, -1] - weights @ centre).tolist())
+    return LinearScorer(names, weights.tolist(), (theta[:, -1] - weights @ centre).tolist(), converged)

@@ -53,6 +53,7 @@ class LinearScorer:
     names: Sequence[str]
     weights: Sequence[Sequence[float]]
     bias: Sequence[float]
+    converged: bool = True
 
     def __call__(self, df: DataFrame, features: str, out: str) -> DataFrame:
         return df.withColumn(out, matrix_softmax(F.col(features), self.weights, self.bias))

@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tagloom.operators import evaluation, images
+from tagloom.functions import fixed
+from tagloom.operators import evaluation, gate, images
 from tagloom.operators.ranking import class_vocabulary
 from tagloom.operators.sizing import scratch_path, settle
 from tagloom.plans.curation import class_table
@@ -46,6 +47,37 @@ def reports(spark, sf):
         f"{path}/per_class_accuracy")
 
 
+@query("snk2_wide_report", f"""WITH {PRED_SQL} SELECT a.cls AS class_name, """
+       + ", ".join(f"coalesce(sum(CASE WHEN pred = 'c{i}' THEN n END), 0)::VARCHAR AS c{i}" for i in range(10))
+       + ' FROM proto_a a LEFT JOIN cm ON cm."true" = a.cls GROUP BY 1')
+def wide_report(spark, sf):
+    """The wide matrix as written, read back by its header."""
+    cm, vocab = confusion_inputs(spark, sf)
+    cm, path = settle(cm), scratch_path(spark, "reports")
+    writers.write_reports(cm, evaluation.per_class_accuracy(cm, vocab), vocab, path)
+    back = spark.read.option("header", True).csv(f"{path}/confusion_matrix")
+    return back.toDF("class_name", *back.columns[1:])
+
+
+@query("src2_split_unreadable", "SELECT vec_id, (vec_id % 5 = 0)::INT AS unreadable FROM embeddings")
+def unreadable(spark, sf):
+    """Every fifth image could not be decoded."""
+    failed = F.when(F.col("vec_id") % 5 == 0, F.lit(-1)).otherwise(F.col("image.height"))
+    good, bad = readers.split_unreadable(tiny_images(spark, sf).withColumn("image", F.col("image").withField("height", failed)))
+    return good.select("vec_id", F.lit(0).alias("unreadable")).unionByName(bad.select("vec_id", F.lit(1).alias("unreadable")))
+
+
+_SHARED_PROMPTS = [("generic", t) for t in fixed.GENERIC_PROMPTS] + [("explicit", t) for t in fixed.EXPLICIT_PROMPTS]
+
+
+@query("t13_prompt_rows", f"""WITH classes AS (SELECT DISTINCT 'c' || label AS class_name FROM embeddings),
+shared AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(_SHARED_PROMPTS, 1))}) t(slot, kind, prompt))
+SELECT class_name, 0 AS slot, 'target' AS kind, replace('{fixed.TARGET_PROMPT}', '%s', class_name) AS prompt FROM classes
+UNION ALL SELECT class_name, slot, kind, prompt FROM classes, shared""")
+def prompt_table(spark, sf):
+    return gate.prompt_rows(vectors(spark, sf).select("cls").distinct(), "cls")
+
+
 @query("p3_class_table", """SELECT c_custkey AS dex, array_to_string(list_transform(string_split(slug, '-'), lambda x: upper(x[1]) || lower(x[2:])), '-') AS name, slug
 FROM (SELECT c_custkey, replace(lower(c_name), '#', '-') || 'X' AS slug FROM customer WHERE c_custkey BETWEEN 1 AND (SELECT count(*) FROM customer))""")
 def class_table_query(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import text
 from tagloom.operators import catalogue, evaluation, gate, images, labels, ranking, sampling, scoring, sizing
+from tagloom.operators.head import fit_head
 from tagloom.plans.training import prepare
 from tagloom.sources import writers
 
@@ -145,3 +146,9 @@ def test_prepare_writes_keys_only(spark):
     n = {r["class_name"]: r["n"] for r in out.train_counts.collect()}
     assert weighted.count() == sum(n.values())
     assert all(r["weight"] == 1.0 / n[r["label"]] for r in weighted.collect())
+
+
+def test_head_says_whether_it_converged(spark):
+    df = spark.range(60).select((F.col("id") % 2).cast("string").alias("y"), F.array((F.col("id") % 2) + F.rand(3), F.rand(4)).alias("x"))
+    assert not fit_head(df, "x", "y", max_iter=1, tol=0.0).converged
+    assert fit_head(df, "x", "y", max_iter=60, tol=1e-3).converged
