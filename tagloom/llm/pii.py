@@ -30,6 +30,8 @@ CONTEXT = {
 # Score of a confirmed span, what a context word adds, and what an added span needs.
 SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "shortcard": 0.3}  # in the order of the kinds
 CONTEXT_BONUS, LEAST, CONTEXT_CHARS = 0.3, 0.5, 40
+#: Elements that are gathered before they are set aside, and characters of a chunk of text: with them long texts cost linear time.
+PART, CHUNK = 256, 2048
 
 
 def _digits(c: Column) -> Column:
@@ -78,64 +80,79 @@ def _valid(kind: str, m: Column) -> Column:
     return F.when(mod97(m), "iban")
 
 
-def _placed(text: Column, matches: Column, kind: str) -> Column:
-    """Confirmed spans of one kind: name, start and end in code points, in order. The pieces
-    between the matches (split) and the matches alternate, so their lengths add up to the places."""
-    between = F.split(text, PATTERNS[kind], -1)
+def _run(items: Column, state: dict[str, Column], empty: str, step, finish) -> Column:
+    """Walk ``items`` with a state and gather what ``step`` makes: (new state, array of new elements) of each item. Elements are
+    gathered in parts of PART, so a step copies at most PART elements however many there are."""
+    def one(acc, x):
+        full = F.size(acc["last"]) >= PART
+        values, new = step(acc, x)
+        return F.struct(*[v.alias(k) for k, v in values.items()],
+                        F.when(full, F.concat(acc["parts"], F.array(acc["last"]))).otherwise(acc["parts"]).alias("parts"),
+                        F.concat(F.when(full, F.expr(empty)).otherwise(acc["last"]), new).alias("last"))
+
+    none = F.expr(empty)
+    start = F.struct(*[v.alias(k) for k, v in state.items()], F.slice(F.array(none), 1, 0).alias("parts"), none.alias("last"))
+    return F.aggregate(items, start, one, lambda acc: finish(acc, F.flatten(F.concat(acc["parts"], F.array(acc["last"])))))
 
-    def step(acc, i):
-        m = matches[i - 1]
-        start = acc["at"] + F.length(between[i - 1])
-        end = start + F.length(m)
-        name = _valid(kind, m)
-        one = F.array(F.struct(name.alias("kind"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(name.isNull(), acc["found"]).otherwise(F.concat(acc["found"], one)).alias("found"))
 
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
-    walk = F.aggregate(F.sequence(F.lit(1), F.size(matches)), F.struct(F.lit(0).alias("at"), none.alias("found")), step,
-                       lambda acc: acc["found"])
-    return F.when(F.size(matches) > 0, walk).otherwise(none)
+def _score(kind: Column, near: Column) -> Column:
+    start = F.lit(0.0)
+    for name, value in SCORE.items():
+        start = F.when(kind == name, value).otherwise(start)
+    return F.round(F.least(F.lit(1.0), start + F.when(near, CONTEXT_BONUS).otherwise(0.0)), 2)
+
+
+def _placed(text: Column, matches: Column, kind: str) -> Column:
+    """Confirmed spans of one kind: name, start and end in code points, score, in order. The pieces
+    between the matches (split) and the matches alternate, so their lengths add up to the places; the
+    last CONTEXT_CHARS characters before a match are carried along. No step goes back to the text."""
+    between = F.split(text, PATTERNS[kind], -1)
+    pieces = F.zip_with(matches, between, lambda m, gap: F.struct(
+        m.alias("match"), gap.alias("gap"), _valid(kind, m).alias("kind"), F.length(m).alias("length")))
+    empty = "cast(array() as array<struct<kind:string,start:int,end:int,score:double>>)"
 
+    def tail(*parts):
+        return F.substring(F.concat(*parts), -CONTEXT_CHARS, CONTEXT_CHARS)
 
-def pii_spans(text: Column, matches: dict[str, Column]) -> Column:
-    """All spans of a text with scores, by kind and place: array<struct<kind, start, end, score>>."""
-    def scored(kind):
-        def one(s):
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-            near = F.lower(before).rlike(rf"(?:^|[^\p{{L}}])(?:{CONTEXT[kind]})(?:$|[^\p{{L}}])")
-            start = F.lit(0.0)
-            for name, value in SCORE.items():
-                start = F.when(s["kind"] == name, value).otherwise(start)
-            score = F.least(F.lit(1.0), start + F.when(near, CONTEXT_BONUS).otherwise(0.0))
-            return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score, 2).alias("score"))
-        return one
+    def step(acc, x):
+        end = acc["at"] + F.length(x["gap"]) + x["length"]
+        near = F.lower(tail(acc["tail"], x["gap"])).rlike(rf"(?:^|[^\p{{L}}])(?:{CONTEXT[kind]})(?:$|[^\p{{L}}])")
+        span = F.struct(x["kind"].alias("kind"), (end - x["length"]).alias("start"), end.alias("end"), _score(x["kind"], near).alias("score"))
+        return ({"at": end, "tail": tail(acc["tail"], x["gap"], x["match"])},
+                F.when(x["kind"].isNull(), F.expr(empty)).otherwise(F.array(span)))
 
-    return F.concat(*[F.transform(_placed(text, matches[k], k), scored(k)) for k in PATTERNS])
+    # the piece after the last match has no partner
+    walk = _run(F.filter(pieces, lambda x: x["match"].isNotNull()), {"at": F.lit(0), "tail": F.lit("")}, empty, step, lambda acc, found: found)
+    return F.when(F.size(matches) > 0, walk).otherwise(F.expr(empty))
 
 
 def _of_kind(spans: Column, kind: str, least: float = 0.0) -> Column:
     return F.filter(spans, lambda s: (s["kind"] == kind) & (s["score"] >= least))
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """``docs`` with a column ``out``: array<struct<kind, start, end, score>>.
 
     Kinds email, ip, card and phone are those that pass their check; iban (mod-97) and
     shortcard (13 to 15 digits, Luhn) are added when their score with context words reaches LEAST. Ordered by kind as
     listed, then start; offsets in code points, end exclusive. A null or empty text has an empty array; other columns
-    are passed through. One narrow pass: each pattern runs once over a text, twice if it matches.
+    are passed through. One narrow pass: each pattern runs once over a text, twice if it matches, and the work is
+    linear in the text whatever the number of spans.
     """
-    names, used = {}, {c.lower() for c in docs.columns}
-    for k in PATTERNS:
-        name = f"__{k}"
-        while name in used:
-            name += "_"
-        names[k] = name
+    names, found = {k: _free(docs, f"__{k}") for k in PATTERNS}, _free(docs, "__found")
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     proposed = docs.withColumns({n: F.regexp_extract_all(whole, F.lit(PATTERNS[k]), 0) for k, n in names.items()})
-    found = pii_spans(whole, {k: F.col(n) for k, n in names.items()})
-    ordered = F.concat(*[_of_kind(found, k, 0.0 if k in BASE else LEAST) for k in SCORE])
-    return proposed.withColumn(out, ordered).drop(*names.values())
+    # columns of their own, used more than once: Spark does not copy them into the functions that walk the arrays
+    placed = proposed.withColumn(found, F.concat(*[_placed(whole, F.col(n), k) for k, n in names.items()]))
+    ordered = F.concat(*[_of_kind(F.col(found), k, 0.0 if k in BASE else LEAST) for k in SCORE])
+    return placed.withColumn(out, ordered).drop(found, *names.values())
 
 
 def _joined(spans: Column) -> Column:
@@ -151,29 +168,32 @@ def pii_digest(docs: DataFrame) -> DataFrame:
                         F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones together) replaced by its kind in brackets."""
+def masked(chunks: Column, spans: Column) -> Column:
+    """A text, given in chunks of CHUNK characters, with each span (overlapping ones together) replaced by its kind in brackets."""
     by_place = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
+    def piece(start, end):
+        first = F.floor(start / CHUNK).cast("int")
+        some = F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), start - first * CHUNK + 1, end - start)
+
     def step(acc, s):
-        parts = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-                                               F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(s["start"] >= acc["at"], parts).otherwise(acc["parts"]).alias("parts"))
+        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        new = F.when(s["start"] >= acc["at"], F.array(piece(acc["at"], s["start"]), label)).otherwise(F.expr(empty))
+        return {"at": F.greatest(acc["at"], s["end"])}, new
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    built = F.aggregate(by_place, start, step,
-                        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, built).otherwise(text)
+    empty = "cast(array() as array<string>)"
+    return _run(by_place, {"at": F.lit(0)}, empty, step,
+                lambda acc, parts: F.concat(F.array_join(parts, ""), piece(acc["at"], F.size(chunks) * CHUNK)))
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """Documents with personal data masked; n_chars, if there, follows the new text. Null texts stay null."""
-    name = "__pii"
-    while name in docs.columns:
-        name += "_"
-    out = find_pii(docs, out=name)
-    out = out.withColumn("text", masked(F.col("text"), F.col(name)))
+    spans, chunks = _free(docs, "__pii"), _free(docs, "__chunks")
+    hit = F.size(spans) > 0
+    out = find_pii(docs, out=spans)
+    out = out.withColumn(chunks, F.when(hit, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    out = out.withColumn("text", F.when(hit, masked(F.col(chunks), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

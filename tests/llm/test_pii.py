@@ -69,3 +69,23 @@ def test_masking_keeps_columns_and_nulls(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(
         [(1, "write [EMAIL] or [IP]!", "en", None, 22, 7), rows[1], rows[2]], key=str)
     assert mask_pii(df.limit(0)).count() == 0
+
+
+def test_long_text_with_many_spans(spark):
+    """Thousands of spans in one text, at every place of a chunk, with characters of several bytes."""
+    r = random.Random(8)
+    bits = ["mail é🙂@b.co x", "a.b@c.de", "10.0.0.1", "1.2.3.999", "4111 1111 1111 1111", "+49 (30) 1234567", "ß" * 7, "🙂 word"]
+    text = " ".join(r.choice(bits) + "é" * r.randint(0, 9) for _ in range(7000))
+    df = spark.createDataFrame([(1, text), (2, "clean " * 4000), (3, "a@b.co" + "x" * 5000)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in find_pii(df).collect()}
+    base = [(s["kind"], s["start"], s["end"]) for s in got[1]["pii"] if s["kind"] not in ("iban", "shortcard")]
+    assert base == plain.pii(text) and len(base) > 3000
+    want, at = [], 0
+    for s in sorted(got[1]["pii"], key=lambda s: (s["start"], -s["end"])):
+        if s["start"] >= at:
+            want += [text[at:s["start"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["end"])
+    masks = {x["doc_id"]: x["text"] for x in mask_pii(df).collect()}
+    assert masks[1] == "".join(want) + text[at:]
+    assert masks[2] == "clean " * 4000
+    assert masks[3] == "[EMAIL]"
