@@ -51,6 +51,8 @@ CUES = re.compile(r"licen[sc]|copyright|permission|redistribut|rights|\bcc[ -]?b
 
 #: Characters around a cue that belong to its block; blocks that touch are one. The longest template fits.
 REACH = 700
+#: A long block is scanned in pieces of so many characters that overlap by REACH, so that time is linear in the text.
+PIECE = 4096
 #: Share of a template's own compressed size that it must save, and the share of its words that may differ.
 SAVING, DIFFERENCE = 0.15, 0.1
 #: Blocks whose result is kept per task.
@@ -124,32 +126,48 @@ class Scanner:
         saved = sorted(((alone - len(c(data)), i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
         return [(s / self.own[i], i) for s, i in saved if s >= SAVING * self.own[i]]
 
+    def _confirmed(self, i: int, text: str):
+        """Number of differences of template i where it fits best in the text, and its place; None if there are too many."""
+        ws = tokens(text)
+        hit = differences(self.words[i], [w for w, _, _ in ws], int(DIFFERENCE * len(self.words[i])))
+        return hit and (hit[0], ws[hit[1]][1], ws[hit[2] - 1][2])
+
     def scan_block(self, block: str) -> list[tuple[int, int, str, float, int]]:
-        """Licenses in a block: start, end, name, saving, differences. Confirmed words are taken out and the rest is ranked again."""
+        """Licenses in a block: start, end, name, saving, differences. Confirmed words are taken out, with all equally good copies of
+        the same template, and the rest is ranked again."""
         if block in self.memo:
             return self.memo[block]
         found, rest = [], block
         while ranked := self.ranked(rest):
-            ws = tokens(rest)
-            plain = [w for w, _, _ in ws]
-            hits = []
-            for saving, i in ranked:
-                hit = differences(self.words[i], plain, int(DIFFERENCE * len(self.words[i])))
-                if hit:
-                    hits.append((hit[0] - len(self.words[i]), hit[0], i, saving, ws[hit[1]][1], ws[hit[2] - 1][2]))
+            hits = [(hit[0] - len(self.words[i]), *hit, i, saving) for saving, i in ranked if (hit := self._confirmed(i, rest))]
             if not hits:
                 break
-            _, n, i, saving, a, b = min(hits)  # most words confirmed
-            found.append((a, b, self.names[i], round(saving, 3), n))
-            rest = rest[:a] + " " * (b - a) + rest[b:]
+            # most words confirmed, then fewest differences, then the order of the templates
+            _, n, a, b, i, saving = min(hits, key=lambda h: (h[0], h[1], h[4]))
+            least = n
+            while n == least:
+                found.append((a, b, self.names[i], round(saving, 3), n))
+                rest = rest[:a] + " " * (b - a) + rest[b:]
+                n, a, b = self._confirmed(i, rest) or (None, 0, 0)
         found.sort()
         self.memo[block] = found
         if len(self.memo) > MEMO:
             self.memo.popitem(last=False)
         return found
 
+    def _scan_range(self, text: str, a: int, b: int):
+        """Licenses in text[a:b], piece by piece. A license belongs to the piece in whose part before the overlap it starts; the next piece
+        starts after what is found."""
+        while b - a > PIECE:
+            border = a + PIECE - REACH
+            border = max(text.rfind(" ", a, border), text.rfind("\n", a, border)) + 1 or border
+            hits = [(a + s, a + e, *rest) for s, e, *rest in self.scan_block(text[a:a + PIECE]) if a + s < border]
+            yield from hits
+            a = max([border, *(e for _, e, *_ in hits)])
+        yield from ((a + s, a + e, *rest) for s, e, *rest in self.scan_block(text[a:b]))
+
     def __call__(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        return [(a + s, a + e, *rest) for a, b in block_ranges(text or "") for s, e, *rest in self.scan_block(text[a:b])]
+        return [x for a, b in block_ranges(text or "") for x in self._scan_range(text, a, b)]
 
 
 def scan_licenses(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:

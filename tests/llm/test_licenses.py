@@ -56,3 +56,14 @@ def test_edges(spark):
     got = sorted(((r["doc_id"], r["n_found"], r["licenses"]) for r in license_digest(df).collect()), key=str)
     assert got == sorted([(1, 0, ""), (2, 0, ""), (3, 1, "MIT"), (4, 1, "MIT"), (4, 1, "MIT"), (None, 2, "CC-BY-4.0,CC-BY-NC-4.0")], key=str)
     assert license_digest(df.limit(0)).count() == 0
+
+
+def test_long_block_is_scanned_in_pieces():
+    """Licenses on every border of the pieces; thousands of mentions in one block take linear time."""
+    for shift in range(3000, 4400, 37):
+        text = "rights " + "x" * shift + f" {TEMPLATES[3][1]} " + "copyright and permission " * 200 + TEMPLATES[2][1]
+        assert [(x[0], x[2], x[4]) for x in Scanner()(text)] == [(text.index("Permission is"), "MIT", 0), (text.index("Released under"), "MIT", 0)]
+    dense = "lorem ipsum dolor. All rights reserved. " * 3000
+    got = Scanner()(dense)
+    assert [x[0] for x in got] == [k * 40 + 19 for k in range(3000)]
+    assert {x[2] for x in got} == {"All-Rights-Reserved"}
