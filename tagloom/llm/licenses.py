@@ -126,9 +126,8 @@ class Scanner:
         saved = sorted(((alone - len(c(data)), i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
         return [(s / self.own[i], i) for s, i in saved if s >= SAVING * self.own[i]]
 
-    def _confirmed(self, i: int, text: str):
-        """Number of differences of template i where it fits best in the text, and its place; None if there are too many."""
-        ws = tokens(text)
+    def _confirmed(self, i: int, ws: list[tuple[str, int, int]]):
+        """Number of differences of template i where it fits best in the words, and its place; None if there are too many."""
         hit = differences(self.words[i], [w for w, _, _ in ws], int(DIFFERENCE * len(self.words[i])))
         return hit and (hit[0], ws[hit[1]][1], ws[hit[2] - 1][2])
 
@@ -139,7 +138,8 @@ class Scanner:
             return self.memo[block]
         found, rest = [], block
         while ranked := self.ranked(rest):
-            hits = [(hit[0] - len(self.words[i]), *hit, i, saving) for saving, i in ranked if (hit := self._confirmed(i, rest))]
+            ws = tokens(rest)
+            hits = [(hit[0] - len(self.words[i]), *hit, i, saving) for saving, i in ranked if (hit := self._confirmed(i, ws))]
             if not hits:
                 break
             # most words confirmed, then fewest differences, then the order of the templates
@@ -148,7 +148,7 @@ class Scanner:
             while n == least:
                 found.append((a, b, self.names[i], round(saving, 3), n))
                 rest = rest[:a] + " " * (b - a) + rest[b:]
-                n, a, b = self._confirmed(i, rest) or (None, 0, 0)
+                n, a, b = self._confirmed(i, tokens(rest)) or (None, 0, 0)
         found.sort()
         self.memo[block] = found
         if len(self.memo) > MEMO:
