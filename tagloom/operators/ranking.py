@@ -7,6 +7,8 @@ position inside the partition plus the sizes of the partitions before it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tagloom.operators.sizing import lookup_join, settle
@@ -49,17 +51,21 @@ def number_in_order(df: DataFrame, order: list[str], name: str, start: int = 0)
     return rank_within(df, [], order, name).withColumn(name, F.col(name) - 1 + start)
 
 
-def dedup_first(df: DataFrame, group: list[str], fingerprint: str, order: str) -> DataFrame:
+def dedup_first(df: DataFrame, group: list[str], fingerprint: str, order: str, prefer: Sequence[str] = ()) -> DataFrame:
     """Per group, keep the smallest ``order`` of the rows with an equal fingerprint; NULL is the largest.
+    Values that start with one of ``prefer`` come before all others.
 
     Rows without a fingerprint (unreadable) are dropped. Copies are cut down on
     the map side, so a fingerprint shared by a third of the rows sends one row
     per map task, not the whole pile."""
     readable = df.filter(F.col(fingerprint).isNotNull()) if df.schema[fingerprint].nullable else df
-    keys = [*group, fingerprint]
+    keys, behind = [*group, fingerprint], F.lit(1)
+    for prefix in prefer:
+        behind = F.when(F.col(order).startswith(prefix), 0).otherwise(behind)
     if set(df.columns) == {*keys, order}:
-        return readable.groupBy(*keys).agg(F.min(order).alias(order)).select(*df.columns)
-    w = W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+        first = F.min_by(order, F.struct(behind, F.col(order).isNull(), F.col(order))) if prefer else F.min(order)
+        return readable.groupBy(*keys).agg(first.alias(order)).select(*df.columns)
+    w = W.partitionBy(*keys).orderBy(behind, F.col(order).asc_nulls_last())
     return readable.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 

@@ -59,6 +59,15 @@ def wide_report(spark, sf):
     return back.toDF("class_name", *back.columns[1:])
 
 
+@query("src1_labelled_place", """SELECT p_name AS class_name, p_partkey || '+it''s 1.png' AS file_name,
+'file:/data/a b/' || p_name || '/' || p_partkey || '+it''s 1.png' AS path FROM part""")
+def labelled_place(spark, sf):
+    """Label and name from origins with blanks, plus signs and quotes."""
+    origin = F.concat(F.lit("file:///data/a%20b/"), F.replace(F.replace("p_name", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")),
+                      F.lit("/"), F.col("p_partkey").cast("string"), F.lit("+it%27s%201.png"))
+    return table(spark, sf, "part").select(*readers.labelled_place(origin))
+
+
 @query("src2_split_unreadable", "SELECT vec_id, (vec_id % 5 = 0)::INT AS unreadable FROM embeddings")
 def unreadable(spark, sf):
     """Every fifth image could not be decoded."""

@@ -66,6 +66,27 @@ def harvest(spark, sf):
 _TERMS = (*fixed.BLOCKED_HOST_TERMS, "spam-farm", "cheap-pills", "free-bets")
 
 
+@query("t5_harvest_deep", """SELECT page_id, 0::BIGINT AS pos, url || '.png' AS url FROM pages WHERE page_id % 50 <> 0""")
+def harvest_deep(spark, sf):
+    """Documents that are nested too deeply to read give no URLs and do no harm."""
+    deep = F.concat(F.repeat(F.lit("["), F.lit(200_000)), F.lit('"'), F.col("url"), F.lit('.png"'), F.repeat(F.lit("]"), F.lit(200_000)))
+    doc = F.when(F.col("page_id") % 50 == 0, deep).otherwise(F.concat(F.lit('{"front":"'), F.col("url"), F.lit('.png"}')))
+    out = harvest_urls(table(spark, sf, "pages").select("page_id", doc.alias("doc")), "page_id", "doc")
+    return out.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("t6_drop_blocked_odd", f"""SELECT page_id, url FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'http://[{_TERMS[0]}/' || page_id
+WHEN 1 THEN 'http://me@X.{_TERMS[0].upper()}:80/' || page_id ELSE url END AS url FROM pages)
+WHERE url IS NOT NULL AND url <> '' AND (url LIKE 'http://[%' OR NOT regexp_matches(
+lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '{"|".join(_TERMS)}'))""")
+def drop_blocked_odd(spark, sf):
+    """A blocked name in an authority that cannot be parsed blocks nothing; user, case and port hide nothing."""
+    number, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    url = (F.when(kind == 0, F.concat(F.lit(f"http://[{_TERMS[0]}/"), number))
+           .when(kind == 1, F.concat(F.lit(f"http://me@X.{_TERMS[0].upper()}:80/"), number)).otherwise(F.col("url")))
+    return ops.drop_blocked(table(spark, sf, "pages").select("page_id", url.alias("url")), "url", _TERMS)
+
+
 @query("t6_drop_blocked", f"""SELECT page_id, url FROM pages WHERE url IS NOT NULL AND url <> '' AND NOT regexp_matches(
 lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '{"|".join(_TERMS)}')""")
 def drop_blocked(spark, sf):

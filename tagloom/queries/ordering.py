@@ -53,6 +53,13 @@ def dedup_first(spark, sf):
     return ranking.dedup_first(docs, ["lang"], "fp", "file_name")
 
 
+@query("w2_dedup_prefer", f"""WITH {DOCUMENTS_SQL} SELECT lang, fp, file_name, doc_id FROM (SELECT *, row_number() OVER (
+PARTITION BY lang, fp ORDER BY CASE WHEN file_name LIKE 'seed\\_%' ESCAPE '\\' THEN 0 ELSE 1 END, file_name) AS rn FROM docs) WHERE rn = 1""")
+def dedup_prefer(spark, sf):
+    docs = documents(spark, sf).select("lang", "fp", "file_name", "doc_id")
+    return ranking.dedup_first(docs, ["lang"], "fp", "file_name", prefer=("seed_",))
+
+
 _RANKED_LINES = """SELECT p_brand, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY p_brand
 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS rn
 FROM lineitem JOIN part ON l_partkey = p_partkey"""

@@ -25,6 +25,33 @@ def select_split(spark, sf):
     return ops.select_split(ops.stratified_split(labelled(spark, sf), "source", "doc_id"), "test")
 
 
+def null_split_sql(source: str, label: str, id_col: str, test: str, val: str) -> str:
+    """Splits where NULL is one id: rows that stand at one place of the order share the split of the first of them."""
+    return f"""SELECT {id_col}, {label}, CASE WHEN place <= {test} THEN 'test' WHEN place <= {test} + {val} THEN 'val' ELSE 'train' END AS split
+FROM (SELECT {id_col}, {label}, rank() OVER (PARTITION BY {label} ORDER BY md5(concat_ws(':', '42', {id_col}::VARCHAR)), {id_col} NULLS FIRST) AS place,
+             count(*) OVER (PARTITION BY {label}) AS n FROM {source})"""
+
+
+_TENTH = "CASE WHEN n > {least} THEN greatest(1, round_even(n * 0.1::DOUBLE, 0))::BIGINT ELSE 0 END"
+
+
+@query("s1_split_null_ids", null_split_sql(
+    "(SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id END AS doc_id, source FROM documents)", "source", "doc_id",
+    _TENTH.format(least=2), _TENTH.format(least=3)))
+def split_null_ids(spark, sf):
+    """Half of the ids are NULL."""
+    half = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id")
+    return ops.stratified_split(table(spark, sf, "documents").select(half, "source"), "source", "doc_id")
+
+
+@query("s3_split_null_ids", """SELECT o_orderkey, CASE WHEN place <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'val' END AS split FROM (
+SELECT o_orderkey, rank() OVER (ORDER BY md5(concat_ws(':', '42', o_orderkey::VARCHAR)), o_orderkey NULLS FIRST) AS place, count(*) OVER () AS n
+FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS o_orderkey FROM orders))""")
+def plain_split_null_ids(spark, sf):
+    half = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("o_orderkey")
+    return ops.random_split_exact(table(spark, sf, "orders").select(half), "o_orderkey")
+
+
 def resample_sql(source: str, label: str, id_col: str, seed: int = fixed.SEED) -> str:
     return f"""SELECT draw, r.{label}, r.{id_col} FROM (
   SELECT t.{id_col} AS draw, floor({uniform_sql(f'{seed}:class', f't.{id_col}')} * (SELECT count(DISTINCT {label}) FROM {source})) AS class_no,

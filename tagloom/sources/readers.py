@@ -21,6 +21,11 @@ def _place(path: Column) -> list[Column]:
     return [F.element_at(parts, -2).alias("class_name"), F.element_at(parts, -1).alias("file_name"), path.alias("path")]
 
 
+def labelled_place(origin: Column) -> list[Column]:
+    """class_name, file_name, path of an image's percent-encoded origin."""
+    return _place(_decoded(origin))
+
+
 def read_labelled_images(spark: SparkSession, root: str, decode: bool = True) -> DataFrame:
     """(class_name, file_name, path, image): label = the parent directory.
 
@@ -30,7 +35,7 @@ def read_labelled_images(spark: SparkSession, root: str, decode: bool = True) ->
     parquet; later jobs then read few large files."""
     if decode:
         src = spark.read.format("image").option("recursiveFileLookup", True).load(root)
-        return src.select(*_place(_decoded(F.col("image.origin"))), "image")
+        return src.select(*labelled_place(F.col("image.origin")), "image")
     src = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return src.select(*_place(F.col("path")), F.col("content").alias("image"))
 
