@@ -58,6 +58,15 @@ SAVING, DIFFERENCE = 0.15, 0.1
 #: Blocks whose result is kept per task.
 MEMO = 20_000
 _WORD = re.compile(r"[^\s\"'(),;:]+")
+_VERSION = re.compile(r"v?\.?(\d{1,2}(?:\.\d+)*?)(?:\.0)*")
+# Per word that names a family, the words that tell its licenses apart. They and versions must match exactly.
+FAMILIES = {
+    "gnu": {"gnu", "general", "lesser", "library", "affero", "later", "only"},
+    "apache": {"apache"},
+    "mozilla": {"mozilla"},
+    "cc": {"cc", "by", "nc", "nd", "sa"},
+    "cc0": {"cc0", "by", "nc", "nd", "sa"},
+}
 
 
 def block_ranges(text: str) -> list[tuple[int, int]]:
@@ -82,28 +91,53 @@ def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(w, m.start(), m.start() + len(m[0].rstrip("."))) for m in _WORD.finditer(text) if (w := m[0].lower().rstrip("."))]
 
 
+def canonical(word: str) -> str:
+    """A version number without mark and zeros at the end (v3, 3.0: 3); other words as they are."""
+    m = _VERSION.fullmatch(word)
+    return m[1] if m else word
+
+
+def telling(template: list[str]) -> tuple[list[int], set[str]]:
+    """Places of the template's words that must match exactly, and the words that may not be put beside them."""
+    family = {w for x in template for w in FAMILIES.get(x, ())}
+    return [i for i, w in enumerate(template) if _VERSION.fullmatch(w) or family & set(w.split("-"))], family
+
+
 def differences(template: list[str], block: list[str], allowed: int) -> tuple[int, int, int] | None:
     """Least number of word differences between the template and a run of the block's words, with the run's place:
-    words missing, replaced or put in between. None if over ``allowed``."""
+    words missing, replaced or put in between. None if over ``allowed`` or if a telling word differs."""
     best = None
+    fixed, family = telling(template)
+    want, have = [canonical(w) for w in template], [canonical(w) for w in block]
+    if not {want[i] for i in fixed} <= set(have):
+        return None
     places = {}
-    for i, w in enumerate(block):
+    for i, w in enumerate(have):
         places.setdefault(w, []).append(i)
     # a run within the limit holds one of the first allowed + 1 words of the template at its place, give or take the limit
-    starts = sorted({max(0, i - k - d) for k in range(min(allowed + 1, len(template))) for i in places.get(template[k], ())
+    starts = sorted({max(0, i - k - d) for k in range(min(allowed + 1, len(template))) for i in places.get(want[k], ())
                      for d in range(-allowed, allowed + 1) if i - k - d > -allowed - 1})
     for s in starts:
-        run = block[s:s + len(template) + allowed]
-        match = [m for m in SequenceMatcher(None, template, run, autojunk=False).get_matching_blocks() if m.size]
+        run = have[s:s + len(template) + allowed]
+        match = [m for m in SequenceMatcher(None, want, run, autojunk=False).get_matching_blocks() if m.size]
         if not match or match[0].b > 0 and best:
             continue
         first, last = match[0].b, match[-1].b + match[-1].size
-        same = sum(m.size for m in match)
+        pairs = {m.a + k: m.b + k for m in match for k in range(m.size)}
+        same = sum(template[i] == block[s + j] for i, j in pairs.items())
         n = max(len(template), last - first) - same
-        if n <= allowed and (best is None or (n, s + first) < best[:2]):
-            best = (n, s + first, s + last)
-            if n == 0:
-                break
+        if n > allowed or best is not None and (n, s + first) >= best[:2]:
+            continue
+        if not all(i in pairs for i in fixed):
+            continue
+        # beside a telling word, a word of the family makes another license of it (GNU Lesser General)
+        told = {pairs[i] for i in fixed}
+        between = set(range(first, last)) - set(pairs.values())
+        if any(family & set(run[j].split("-")) and told & {j - 1, j + 1} for j in between):
+            continue
+        best = (n, s + first, s + last)
+        if n == 0:
+            break
     return best
 
 

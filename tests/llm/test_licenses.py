@@ -67,3 +67,19 @@ def test_long_block_is_scanned_in_pieces():
     got = Scanner()(dense)
     assert [x[0] for x in got] == [k * 40 + 19 for k in range(3000)]
     assert {x[2] for x in got} == {"All-Rights-Reserved"}
+
+
+def test_words_that_tell_licenses_apart_must_match():
+    """Notices of other versions and relatives are not taken for a template; filler words may still differ."""
+    scan = Scanner(TEMPLATES[:18])
+    by = lambda name: max((t for n, t in TEMPLATES[:18] if n == name), key=len)
+    gpl, later, lesser, apache, cc0 = by("GPL-2.0"), by("GPL-3.0-or-later"), by("LGPL-3.0"), by("Apache-2.0"), by("CC0-1.0")
+    for text in (later.replace("version 3", "version 2"), later.replace("GNU General", "GNU Lesser General"), later.replace("any later", "no other"),
+                 later.replace("GNU General", "GNU Affero General"), later.replace("version 3", "version two"), lesser.replace("version 3", "version 2.1"),
+                 gpl.replace("version 2", "version 1"), gpl.replace("GNU General", "GNU Library General"), apache.replace("2.0", "1.1"),
+                 cc0.replace("CC0 1.0", "CC0 2.0"), by("MPL-2.0").replace("2.0", "1.1"), by("CC-BY-NC-4.0").replace("4.0", "3.0")):
+        assert scan(f"one two three. {text} four five six.") == [], text
+    for text, name, n in ((gpl.replace("version 2", "version 2.0"), "GPL-2.0", 1), (lesser.replace("work", "library"), "LGPL-3.0", 1),
+                          (later.replace("program", "package"), "GPL-3.0-or-later", 1), (apache.replace("http:", "https:"), "Apache-2.0", 1),
+                          (by("MIT").replace("conditions: The", "conditions: 1. The").replace("this software", "this library"), "MIT", 2)):
+        assert [(x[2], x[4]) for x in scan(f"one two three. {text} four five six.")] == [(name, n)], text
