@@ -1,8 +1,8 @@
 """License scan by conditional compression.
 
-A block of text around license words is compressed alone and with each license text as a raw zstandard dictionary. The
-templates that save most of their own size are looked at in that order, and one wins only if the words
-confirm it: it must stand in the block with few exact differences.
+A block of text around license words, in lower case and with single blanks, is compressed alone and with each license text as a
+raw zstandard dictionary. The templates that save most of their own size are looked at in that order (one that saves little only if
+its words are there), and one wins only if the words confirm it: it must stand in the block with few exact differences.
 """
 
 from __future__ import annotations
@@ -141,6 +141,11 @@ def differences(template: list[str], block: list[str], allowed: int) -> tuple[in
     return best
 
 
+def plain_bytes(text: str) -> bytes:
+    """What is compressed: lower case, single blanks. Case and line breaks do not count for the words either."""
+    return " ".join(text.lower().split()).encode()
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
@@ -148,21 +153,26 @@ class Scanner:
         plain = zstandard.ZstdCompressor(level=19)
         self.plain = plain.compress
         self.with_template = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
-            t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for _, t in templates]
+            plain_bytes(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for _, t in templates]
         frame = len(plain.compress(b""))
-        self.own = [len(plain.compress(t.encode())) - frame for _, t in templates]
+        self.own = [len(plain.compress(plain_bytes(t))) - frame for _, t in templates]
         self.memo: OrderedDict[str, list] = OrderedDict()
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(saving, template), most bytes saved first; saving as a share of the template's own size."""
-        data = block.encode()
-        alone = len(self.plain(data))
+        """(saving, template), most bytes saved first; saving as a share of the template's own size. In a long block a short template's
+        saving is lost among the codes of the other words, so one that saves too little goes only if its words do not stand there."""
+        data = plain_bytes(block)
+        alone, have = len(self.plain(data)), {w for w, _, _ in tokens(block)}
         saved = sorted(((alone - len(c(data)), i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
-        return [(s / self.own[i], i) for s, i in saved if s >= SAVING * self.own[i]]
+        return [(s / self.own[i], i) for s, i in saved
+                if s >= SAVING * self.own[i] or sum(w in have for w in self.words[i]) >= len(self.words[i]) - self._allowed(i)]
+
+    def _allowed(self, i: int) -> int:
+        return int(DIFFERENCE * len(self.words[i]))
 
     def _confirmed(self, i: int, ws: list[tuple[str, int, int]]):
         """Number of differences of template i where it fits best in the words, and its place; None if there are too many."""
-        hit = differences(self.words[i], [w for w, _, _ in ws], int(DIFFERENCE * len(self.words[i])))
+        hit = differences(self.words[i], [w for w, _, _ in ws], self._allowed(i))
         return hit and (hit[0], ws[hit[1]][1], ws[hit[2] - 1][2])
 
     def scan_block(self, block: str) -> list[tuple[int, int, str, float, int]]:

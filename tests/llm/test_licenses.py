@@ -83,3 +83,27 @@ def test_words_that_tell_licenses_apart_must_match():
                           (later.replace("program", "package"), "GPL-3.0-or-later", 1), (apache.replace("http:", "https:"), "Apache-2.0", 1),
                           (by("MIT").replace("conditions: The", "conditions: 1. The").replace("this software", "this library"), "MIT", 2)):
         assert [(x[2], x[4]) for x in scan(f"one two three. {text} four five six.")] == [(name, n)], text
+
+
+def test_every_template_in_capitals_title_case_and_broken_lines():
+    r, scan = random.Random(7), Scanner()
+    noise = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
+    for name, t in TEMPLATES:
+        for form in (t.upper(), t.title(), t.lower(), t.replace(" ", "\n   ")):
+            before = noise(100)
+            got = scan(f"{before}\n{form}\n{noise(100)}")
+            assert [(x[0], x[2], x[4]) for x in got] == [(len(before) + 1, name, 0)], form
+
+
+def test_short_templates_in_prose():
+    """Whatever the text around saves or costs, a template that stands in it is found, in any case."""
+    import pyarrow.parquet as pq
+
+    r, scan = random.Random(3), Scanner()
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    texts = [t for t in texts if t and len(t) > 1500 and not scan(t)]
+    for k in range(120):
+        t, (name, form) = r.choice(texts), TEMPLATES[(2, 11, 17)[k % 3]]
+        at = r.randrange(1, len(t))
+        form = (form, form.upper(), form.title())[k // 3 % 3]
+        assert [(x[0], x[2], x[4]) for x in scan(f"{t[:at]}\n{form}\n{t[at:]}")] == [(at + 1, name, 0)]
