@@ -128,23 +128,33 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns. Rows that repeat its id are
-    kept once; of a group without ids one row stays."""
+    """One document of each group, the one with the smallest id, with all its columns; of a group without ids one row.
+
+    An id that no other row has names the survivor. If rows repeat the id, or have none, the survivor is named by id and fingerprint (of
+    those in the group the smallest); of rows equal in both one stays, the first by text, null texts last.
+    """
+    from tagloom.operators.sizing import lookup_join
+
     groups = written(simhash_groups(docs), "simhash-groups")
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    often = stays.groupBy("doc_id", "group").agg(F.count(F.lit(1)).alias("n"))
-    often = written(often, "stays")
-    once = often.where((F.col("n") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__once"))
-    several = often.where((F.col("n") > 1) | F.col("doc_id").isNull())
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(stays).alias("stay"))
+    ids = written(ids.where("stay > 0"), "stays")
+    once = ids.where("n = 1").select(F.col("doc_id").alias("__once"))
     alone = docs.join(once.hint("merge"), docs["doc_id"] == F.col("__once"), "left_semi")
+    named = groups.where(stays).select("doc_id", "fingerprint", "group")
+    repeated = lookup_join(named.where(F.col("doc_id").isNotNull()), ids.where("n > 1").select("doc_id"), ["doc_id"], how="left_semi")
+    several = (repeated.unionByName(named.where(F.col("doc_id").isNull()))
+               .groupBy(F.col("group").alias("__g")).agg(F.min("doc_id").alias("__id"), F.min("fingerprint").alias("__f")))
+    several = written(several, "several")
     if several.isEmpty():
         return alone
     name = "__row"
     while name in docs.columns:
         name += "_"
     rows = fingerprints(docs, {name: F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "__id": F.col("doc_id")})
-    kept = rows.join(several.select(F.col("doc_id").alias("__several")).distinct(), F.col("__id").eqNullSafe(F.col("__several")), "left_semi")
-    member = groups.select(F.col("fingerprint").alias("__f"), F.col("group").alias("__g"), F.col("component_id").alias("__c")).distinct()
-    kept = kept.join(member, F.lpad(F.lower(F.hex("fp")), 16, "0") == F.col("__f")).where(F.col("__id").eqNullSafe(F.col("__c")))
-    one = kept.groupBy("__g").agg(F.min_by(name, F.col(name)["text"]).alias(name))
+    rows = rows.withColumn("__f", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    kept = lookup_join(rows, several, ["__id", "__f"], how="inner", null_safe=True)
+    text = F.col(name)["text"]
+    # the order is never null: min_by passes rows over whose order is
+    one = kept.groupBy("__g").agg(F.min_by(name, F.struct(text.isNull(), text)).alias(name))
     return alone.unionByName(one.select(*[F.col(name)[c].alias(c) for c in docs.columns]))

@@ -88,3 +88,21 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"], r["fp"]) for r in kept.collect()) == [(False, 3, "c"), (False, 4, "b"), (True, None, "e")]
     assert simhash.simhash_groups(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_with_null_and_with_different_texts(spark):
+    a, b, c = "one text about cats on mats", "quite another text of dogs in fogs", "a third one with nothing in common"
+
+    def kept(*rows):
+        df = spark.createDataFrame(list(rows), "doc_id long, text string, extra int")
+        return sorted(((r["doc_id"], r["text"], r["extra"]) for r in simhash.keep_one(df).collect()), key=str)
+
+    # (a) null texts under repeated ids, and without ids
+    assert kept((1, None, 7), (1, None, 7), (2, "", 8)) == [(1, None, 7)]
+    assert kept((None, None, 7), (None, None, 7)) == [(None, None, 7)]
+    assert kept((1, None, 7), (1, "", 8), (1, None, 7)) == [(1, "", 8)]
+    # (b) an id that stands for one group only
+    assert kept((5, a, 1), (5, b, 2), (3, b, 3)) == [(3, b, 3), (5, a, 1)]
+    assert kept((5, a, 1), (5, a, 1), (5, b, 2), (3, b, 3), (None, c, 4), (None, c, 4), (None, a, 5)) == [(3, b, 3), (5, a, 1), (None, c, 4)]
+    # (c) an id that stands for two groups, once and twice
+    assert kept((5, a, 1), (5, b, 2), (5, b, 2)) == [(5, a, 1), (5, b, 2)]
