@@ -168,6 +168,17 @@ def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     return written(wide, "quality-cutoffs")
 
 
+def verdicts(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``scored`` with the cutoffs of its stratum and base_failed, rejected_by, kept: each row by its own counts."""
+    from tagloom.operators.sizing import lookup_join
+
+    judged = lookup_join(scored, cuts, ["stratum"], null_safe=True)
+    hits = [F.when(rule_value(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]
+    return (judged.withColumn("base_failed", base_failed())
+            .withColumn("rejected_by", F.array_join(F.array_compact(F.array(*hits)), ","))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Verdict on every document: doc_id, the base counts, base_failed, kept, rejected_by.
 
@@ -175,34 +186,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     id each get a row (and each counts in the holdout). Documents of a stratum without a promised cutoff are kept
     unless the base fails. Texts are read once; thereafter only counts are joined.
     """
-    from tagloom.operators.sizing import lookup_join
-
     keep = {"doc_id": F.col("doc_id"), "stratum": F.col(stratum).cast("string")}
     scored = written(signals(docs, keep), "quality-signals")
     cuts = cutoffs(scored, labels, alpha, delta)
-    judged = lookup_join(scored, cuts, ["stratum"], null_safe=True)
-    hits = [F.when(rule_value(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]
-    judged = (judged.withColumn("base_failed", base_failed())
-              .withColumn("rejected_by", F.array_join(F.array_compact(F.array(*hits)), ",")))
+    judged = verdicts(scored, cuts)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by", "stratum",
+        "kept", "rejected_by", "stratum",
         *[f"bound_{r}" for r in RULES])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns. The verdicts of rows with one id are
-    equal if the rows are; where they differ, the id goes only if all its rows do. Rows without an id are judged by the base alone."""
-    verdict = quality_rules(docs, labels, stratum)
-    gone = (verdict.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("__kept"))
-            .where(~F.col("__kept")).select(F.col("doc_id").alias("__gone")))
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    # a merge join at every size: what moves grows in proportion, and no broadcast depends on how many are rejected
-    kept = with_id.join(gone.hint("merge"), with_id["doc_id"] == F.col("__gone"), "left_anti")
-    without = docs.where(F.col("doc_id").isNull())
-    name = "__row"
-    while name in docs.columns:
-        name += "_"
-    bare = map_texts(without, {name: F.struct(*[F.col(f"`{c}`") for c in docs.columns])}, F.col("text"),
-                     [T.StructField(s, T.LongType()) for s in SIGNALS], lambda: _signals).where(~base_failed())
-    return kept.unionByName(bare.select(*[F.col(name)[c].alias(c) for c in docs.columns]))
+    """The documents that the rules keep, with all their columns: the rows to which ``quality_rules`` gives kept, whatever their
+    ids. Once the cutoffs are known each row is judged where it is, by its own text and stratum; texts do not move."""
+    kind = F.col(stratum).cast("string")
+    cuts = cutoffs(written(signals(docs, {"doc_id": F.col("doc_id"), "stratum": kind}), "quality-signals"), labels)
+    rows = signals(docs, {"__row": F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "stratum": kind})
+    kept = verdicts(rows, cuts).where("kept")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

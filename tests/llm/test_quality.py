@@ -70,3 +70,20 @@ def test_edges(spark):
     assert sorted((str(x["doc_id"]) for x in kept.collect())) == ["3", "3", "None"]
     assert quality.quality_rules(df.limit(0), labels.limit(0)).count() == 0
     assert quality.keep_good(df, labels.limit(0)).count() == 3
+
+
+def test_stage_keeps_the_rows_that_the_rules_keep(spark):
+    """Cutoffs reject rows without an id and single rows of a repeated id."""
+    r = random.Random(2)
+    text = lambda junk: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) + ("$$$" if junk else "") for _ in range(30))
+    rows = [(i, text(i % 5 == 0), "en") for i in range(4000)]
+    labels = [(i, 0 if i % 5 == 0 else 1) for i in range(4000)]
+    rows += [(None, text(True), "en"), (None, text(False), "en"), (9001, text(True), "en"), (9001, text(False), "en"), (9002, text(True), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("__row", F.lit(1)).withColumn("kept", F.lit(0))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = quality.keep_good(df, labels)
+    assert out.columns == df.columns
+    got = sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str)
+    assert got == sorted(((i, t) for i, t, lang in rows if "$" not in t or lang is None), key=str)
+    verdict = quality.quality_rules(df, labels).where("kept").collect()
+    assert sorted((x["doc_id"] for x in verdict), key=str) == sorted((i for i, _ in got), key=str)
