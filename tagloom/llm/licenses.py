@@ -45,9 +45,49 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+                         "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+                         "later version."),
+    ("LGPL-2.1-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+                          "option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                          "option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+                          "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                          "option) any later version."),
+    # up to the disclaimer, so that it does not fit the longer licenses of the family
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+                     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+                     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                     "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+                     "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+                     "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+                     "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                     "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                     "promote products derived from this software"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "made available under the terms of the Eclipse Public License v2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 # Words that open a candidate block.
-CUES = re.compile(r"licen[sc]|copyright|permission|redistribut|rights|\bcc[ -]?by|\bcc0|free software|spdx", re.I)
+CUES = re.compile(r"licen[sc]|copyright|permission|redistribut|rights|\bcc[ -]?by|\bcc0|free software|spdx|unencumbered|creative\s+commons|eclipse\s+public", re.I)
+#: An SPDX tag names its licenses itself; operators and exceptions are not licenses.
+SPDX = re.compile(r"spdx-license-identifier:[ \t]*([\w.+()-]+(?:[ \t]+(?:or|and|with)[ \t]+[\w.+()-]+)*)", re.I)
+SPDX_ID = re.compile(r"(?<![\w.+-])(with[ \t]+[(]?)?(?!(?:or|and)(?![\w.+-]))(\w(?:[\w.+-]*[\w+])?)", re.I)
+
 
 #: Characters around a cue that belong to its block; blocks that touch are one. The longest template fits.
 REACH = 700
@@ -64,6 +104,7 @@ FAMILIES = {
     "gnu": {"gnu", "general", "lesser", "library", "affero", "later", "only"},
     "apache": {"apache"},
     "mozilla": {"mozilla"},
+    "eclipse": {"eclipse"},
     "cc": {"cc", "by", "nc", "nd", "sa"},
     "cc0": {"cc0", "by", "nc", "nd", "sa"},
 }
@@ -146,6 +187,11 @@ def plain_bytes(text: str) -> bytes:
     return " ".join(text.lower().split()).encode()
 
 
+def tagged(text: str) -> list[tuple[int, int, str, float, int]]:
+    """The licenses that SPDX tags name, as they are written there."""
+    return [(m.start(1) + i.start(2), m.start(1) + i.end(2), i[2], 1.0, 0) for m in SPDX.finditer(text) for i in SPDX_ID.finditer(m[1]) if not i[1]]
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
@@ -211,7 +257,7 @@ class Scanner:
         yield from ((a + s, a + e, *rest) for s, e, *rest in self.scan_block(text[a:b]))
 
     def __call__(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        return [x for a, b in block_ranges(text or "") for x in self._scan_range(text, a, b)]
+        return sorted([x for a, b in block_ranges(text or "") for x in self._scan_range(text, a, b)] + tagged(text or ""))
 
 
 def scan_licenses(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:

@@ -107,3 +107,20 @@ def test_short_templates_in_prose():
         at = r.randrange(1, len(t))
         form = (form, form.upper(), form.title())[k // 3 % 3]
         assert [(x[0], x[2], x[4]) for x in scan(f"{t[:at]}\n{form}\n{t[at:]}")] == [(at + 1, name, 0)]
+
+
+def test_tags_and_common_notices():
+    scan = Scanner()
+    for text, want in (("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]), ("# spdx-license-identifier:  (GPL-2.0-or-later WITH Classpath-exception-2.0 OR Apache-2.0) AND ISC.",
+                       ["GPL-2.0-or-later", "Apache-2.0", "ISC"]), ("SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0+"]), ("SPDX-License-Identifier: ", []),
+                       ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+                       ("This is free and unencumbered software released into the public domain.", ["Unlicense"])):
+        got = scan(text)
+        assert [x[2] for x in got] == want, text
+        if "identifier" in text.lower():
+            assert [text[x[0]:x[1]] for x in got] == want
+    two, three = (next(t for n, t in TEMPLATES[18:] if n == f"BSD-{k}-Clause") for k in (2, 3))
+    numbered = [t.replace("met: R", "met: 1. R").replace("disclaimer. R", "disclaimer. 2. R").replace("Neither", "3. Neither") for t in (two, three)]
+    assert [[x[2] for x in scan(t)] for t in numbered] == [["BSD-2-Clause"], ["BSD-3-Clause"]]
+    lesser = next(t for n, t in TEMPLATES if n == "LGPL-2.1-or-later")
+    assert [x[2] for x in scan(lesser.replace("program", "library"))] == ["LGPL-2.1-or-later"]
