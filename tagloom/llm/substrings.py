@@ -1,4 +1,4 @@
-"""Duplicate passages by relative Lempel-Ziv parsing.
+"""Duplicate passages by blocks cut by content, in place of a greedy relative Lempel-Ziv parse (README says why).
 
 Every document is parsed into blocks that its own words determine, so equal passages are cut alike: the
 anchor of a window of WINDOW words is its smallest hash of GRAM consecutive words, and a block is a run of windows
