@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from tagloom.functions import fixed
 from tagloom.operators.scoring import best_of
 from tagloom.operators.sizing import fits_broadcast, lookup_join, settle
 
 EPOCHS_PER_CHUNK = 65_536
+WIDE_COLUMNS = 5_000  # classes that may be columns of a table
 
 
 def class_counts(df: DataFrame, label: str, vocab: DataFrame) -> DataFrame:
@@ -55,30 +59,87 @@ def within(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> tuple[D
             vocab.unionByName(last.select("class_idx", F.lit(other).alias("class_name"))))
 
 
-def confusion_wide(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
-    """class_idx, class_name and one column per class; all cells, 0 if unseen. ``other`` as in :func:`within`."""
+def sparse_rows(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """(class_idx, class_name, cells): per class its cells that are not zero, array<struct<idx, n>> in class order. ``other`` as in
+    :func:`within`; classes are numbered from 0 without gaps. No class becomes a column, so there may be any number."""
     cm, vocab = within(cm, vocab, other)
-    names = vocabulary_names(vocab)
-    cells = cm.groupBy(F.col("true").alias("class_name")).pivot("pred", names).agg(F.sum("n"))
-    return vocab.join(cells, "class_name", "left").select(
-        "class_idx", "class_name",
-        *[F.coalesce(F.col(f"`{n}`"), F.lit(0).cast("bigint")).alias(n) for n in names])
+    names = vocab.select("class_idx", "class_name")
+    small = fits_broadcast(names)
+    cells = lookup_join(cm, names.select(F.col("class_idx").alias("__t"), F.col("class_name").alias("true")), ["true"], how="inner", small=small)
+    cells = lookup_join(cells, names.select(F.col("class_idx").cast("bigint").alias("__p"), F.col("class_name").alias("pred")), ["pred"], how="inner", small=small)
+    rows = cells.groupBy("__t").agg(F.sort_array(F.collect_list(F.struct(F.col("__p").alias("idx"), "n"))).alias("cells"))
+    none = F.expr("cast(array() as array<struct<idx:bigint,n:bigint>>)")
+    return names.join(rows, F.col("class_idx") == F.col("__t"), "left").select("class_idx", "class_name", F.coalesce("cells", none).alias("cells"))
+
+
+def _with_gaps(cells: Column, size: Column, cell, zeros) -> Column:
+    """What ``cell`` makes of each cell, after what ``zeros`` makes of the number of zeros before it, and the zeros at the end."""
+    def before(i: Column) -> Column:
+        return F.coalesce(F.get(cells, i - 1)["idx"], F.lit(-1).cast("bigint"))
+
+    filled = F.transform(cells, lambda c, i: F.concat(zeros(c["idx"] - before(i) - 1), cell(c["n"])))
+    last = F.coalesce(F.get(cells, F.size(cells) - 1)["idx"], F.lit(-1).cast("bigint"))
+    return F.concat(filled, F.array(zeros(size - last - 1)))
+
+
+def confusion_rows(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """class_idx, class_name, counts: a class's cells of all classes as one array, zeros filled in. For any number of classes."""
+    rows = sparse_rows(cm, vocab, other)
+    zero = F.lit(0).cast("bigint")
+    counts = F.flatten(_with_gaps(F.col("cells"), _class_count(vocab, other), lambda n: F.array(n), lambda k: F.array_repeat(zero, k.cast("int"))))
+    return rows.select("class_idx", "class_name", counts.alias("counts"))
+
+
+def confusion_lines(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """class_idx, class_name, line: the counts of a class as text, comma-joined, zeros filled in."""
+    rows = sparse_rows(cm, vocab, other)
+    line = F.array_join(_with_gaps(F.col("cells"), _class_count(vocab, other), lambda n: F.concat(F.lit(","), n.cast("string")),
+                                   lambda k: F.repeat(F.lit(",0"), k.cast("int"))), "")
+    return rows.select("class_idx", "class_name", F.substring(line, F.lit(2), F.length(line)).alias("line"))
+
+
+def _class_count(vocab: DataFrame, other: str | None) -> Column:
+    return (vocab.agg(F.count(F.lit(1))).scalar() + F.lit(0 if other is None else 1)).cast("bigint")
+
+
+def confusion_wide(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
+    """class_idx, class_name and one column per class; all cells, 0 if unseen. ``other`` as in :func:`within`.
+
+    Names become columns, so there may be WIDE_COLUMNS classes; :func:`confusion_rows` and the written report have no such bound."""
+    if vocab.limit(WIDE_COLUMNS + 1).count() > WIDE_COLUMNS:
+        raise ValueError(f"more than {WIDE_COLUMNS} classes: use confusion_rows")
+    names = vocabulary_names(vocab) + ([] if other is None else [other])
+    return confusion_rows(cm, vocab, other).select(
+        "class_idx", "class_name", *[F.get("counts", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def per_class_accuracy(cm: DataFrame, vocab: DataFrame, other: str | None = None) -> DataFrame:
     """(class_idx, class_name, test_samples, correct, accuracy); 0.0 without rows. ``other``
-    as in :func:`within`; a hit counts as correct only in a class of the vocabulary."""
-    known = F.lit(True) if other is None else F.col("true") != other
-    cm, vocab = within(cm, vocab, other)
-    per = cm.groupBy(F.col("true").alias("class_name")).agg(
-        F.sum("n").alias("test_samples"),
-        F.sum(F.when((F.col("true") == F.col("pred")) & known, F.col("n")).otherwise(F.lit(0))).alias("correct"))
+    as in :func:`within`; a hit counts as correct only in a class of the vocabulary.
+
+    Cells are summed by class first, so the vocabulary is joined once, to one row per class."""
     zero = F.lit(0).cast("bigint")
-    return vocab.join(per, "class_name", "left").select(
-        "class_idx", "class_name",
-        F.coalesce("test_samples", zero).alias("test_samples"),
-        F.coalesce("correct", zero).alias("correct"),
-        F.coalesce(F.col("correct") / F.col("test_samples"), F.lit(0.0)).alias("accuracy"))
+    hit = F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(zero)
+    # predicted names come along with no rows, so that those outside the vocabulary show
+    sides = F.array(F.struct(F.col("true").alias("c"), F.col("n").cast("bigint").alias("t"), hit.cast("bigint").alias("k")),
+                    F.struct(F.col("pred").alias("c"), zero.alias("t"), zero.alias("k")))
+    per = cm.select(F.inline(sides)).groupBy("c").agg(F.sum("t").alias("t"), F.sum("k").alias("k"))
+    both = vocab.join(per, F.col("class_name").eqNullSafe(F.col("c")), "full")
+    known = F.col("class_idx").isNotNull()
+    if other is None:
+        outside = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.coalesce("c", F.lit("NULL")))).cast("string")
+        rows = both.select("class_idx", F.when(known, F.col("class_name")).otherwise(outside).alias("class_name"), "t", "k")
+        # the name is read in every plan, or the test would be pruned away
+        rows = rows.where(F.col("class_name").isNotNull())
+    else:
+        last = vocab.agg((F.coalesce(F.max("class_idx"), F.lit(-1)) + 1).cast(vocab.schema["class_idx"].dataType)).scalar()
+        one = both.select(F.coalesce("class_idx", last).alias("class_idx"), F.coalesce("class_name", F.lit(other)).alias("class_name"),
+                          "t", F.when(known, F.col("k")).otherwise(zero).alias("k"))
+        empty = vocab.sparkSession.range(1).select(last.alias("class_idx"), F.lit(other).alias("class_name"), zero.alias("t"), zero.alias("k"))
+        rows = one.unionByName(empty).groupBy("class_idx", "class_name").agg(F.sum("t").alias("t"), F.sum("k").alias("k"))
+    return rows.select(
+        "class_idx", "class_name", F.coalesce("t", zero).alias("test_samples"), F.coalesce("k", zero).alias("correct"),
+        F.coalesce(F.try_divide("k", "t"), F.lit(0.0)).alias("accuracy"))
 
 
 def worst_first(per_class: DataFrame) -> DataFrame:
@@ -117,6 +178,27 @@ def stage_report(df: DataFrame, group: str, kept: Column, flagged: Column) -> Da
         F.count_if(flagged).alias("flagged"))
 
 
+@dataclass
+class StageCounts:
+    """Rows before, kept, removed and flagged, counted by the job that writes (or otherwise runs) ``rows``; reading the numbers
+    waits for that job and starts none."""
+
+    rows: DataFrame
+    observation: Observation
+
+    @property
+    def numbers(self) -> dict[str, int]:
+        return {k: int(v) for k, v in self.observation.get.items()}
+
+
+def counted_stage(df: DataFrame, kept: Column, flagged: Column) -> StageCounts:
+    """Account for a stage while its result is written: no second pass, no shuffle. ``kept`` and ``flagged`` are never NULL.
+    :func:`stage_report` has the same numbers per class."""
+    observation = Observation(f"stage-{uuid.uuid4().hex}")
+    return StageCounts(df.observe(observation, F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("kept"),
+                                  F.count_if(~kept).alias("removed"), F.count_if(flagged).alias("flagged")), observation)
+
+
 def early_stop(
     log: DataFrame, run: str, epoch: str, metric: str,
     patience: int = fixed.PATIENCE, chunk: int = EPOCHS_PER_CHUNK,

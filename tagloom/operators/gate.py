@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom.functions import fixed
-from tagloom.functions.vectors import argmax, array_total, gate_softmax
-from tagloom.operators.sizing import fits_broadcast, lookup_join
+from tagloom.functions.vectors import argmax, array_total, dot, gate_softmax, l2_normalise
+from tagloom.operators.blocked import shared_sums
+from tagloom.operators.sizing import fits_broadcast, lookup_join, settle
 
 
 def prompt_rows(classes: DataFrame, name_col: str) -> DataFrame:
@@ -22,12 +23,14 @@ def prompt_rows(classes: DataFrame, name_col: str) -> DataFrame:
     return classes.select(F.col(name_col).alias("class_name"), F.inline(F.array(*slots)))
 
 
+def shared_rows(prompts: DataFrame) -> DataFrame:
+    """(slot, kind, vec) of the distractors, each once."""
+    return prompts.filter("kind <> 'target'").select("slot", "kind", "vec").distinct()
+
+
 def shared_vectors(prompts: DataFrame) -> tuple[list[list[float]], int]:
-    """(distractor vectors in slot order, how many of them are explicit)."""
-    listed = prompts.filter("kind <> 'target'").select("slot", "kind", "vec").distinct()
-    if not fits_broadcast(listed):  # by bytes: they travel with the function
-        raise ValueError("the distractors do not fit in a worker")
-    rows = listed.orderBy("slot").collect()
+    """(distractor vectors in slot order, how many of them are explicit) of a list that fits in a worker."""
+    rows = shared_rows(prompts).orderBy("slot").collect()
     if len({r["slot"] for r in rows}) != len(rows):
         raise ValueError("the distractors must be one list shared by all classes")
     kinds = [r["kind"] for r in rows]
@@ -49,14 +52,17 @@ def decide(probs: Column, n_explicit: int, threshold: float, explicit: float) ->
 def relevance_gate(
     items: DataFrame, prompts: DataFrame, class_col: str, vec_col: str, file_name: str,
     threshold: float = fixed.KEEP_THRESHOLD, explicit: float = fixed.EXPLICIT_THRESHOLD,
-    trusted: Sequence[str] = ("seed_",), scale: float = fixed.SIMILARITY_SCALE,
+    trusted: Sequence[str] = ("seed_",), scale: float = fixed.SIMILARITY_SCALE, block_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``p_target``, ``p_explicit`` and ``decision``; a class without a target prompt gives ``no_prompt``.
 
-    ``prompts`` is (class_name, slot, kind, vec). The distractors are one short
-    list and travel with the function; the target vector of a class comes by a
-    measured join. Trusted rows get no vector, so they are never scored."""
-    shared, n_explicit = shared_vectors(prompts)
+    ``prompts`` is (class_name, slot, kind, vec). The distractors are one
+    list; one that fits in a worker (measured) travels with the function, a longer one (any, if ``block_bytes`` is given) is met block by block. The target
+    vector of a class comes by a measured join. Trusted rows get no vector, so they are never scored."""
+    listed = settle(shared_rows(prompts))
+    if block_bytes is not None or not fits_broadcast(listed):
+        return _blocked_gate(items, prompts, listed, class_col, vec_col, file_name, threshold, explicit, trusted, scale, block_bytes)
+    shared, n_explicit = shared_vectors(listed)
     targets = prompts.filter("kind = 'target'").select(F.col("class_name").alias(class_col), F.col("vec").alias("__target"))
     is_trusted = F.lit(False)
     for prefix in trusted:
@@ -77,5 +83,40 @@ def relevance_gate(
     )
 
 
+def _blocked_gate(items, prompts, listed, class_col, vec_col, file_name, threshold, explicit, trusted, scale, block_bytes) -> DataFrame:
+    """The gate for a list of distractors of any length: sums over their blocks."""
+    repeated = listed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        raise ValueError("the distractors must be one list shared by all classes")
+    last, first = listed.agg(F.max(F.when(F.col("kind") != "explicit", F.col("slot"))), F.min(F.when(F.col("kind") == "explicit", F.col("slot")))).first()
+    if last is not None and first is not None and last > first:
+        raise ValueError("explicit distractors must come last")
+    targets = prompts.filter("kind = 'target'").select(F.col("class_name").alias(class_col), F.col("vec").alias("__target"))
+    is_trusted = F.lit(False)
+    for prefix in trusted:
+        is_trusted = is_trusted | F.col(file_name).startswith(prefix)
+    rows = lookup_join(items, targets, [class_col], how="left").withColumn(
+        "__vec", F.when(~is_trusted & F.col("__target").isNotNull(), F.col(vec_col)))
+    for kind in ("generic", "explicit"):
+        rows = shared_sums(rows, "__vec", listed, kind, f"__{kind}", scale, block_bytes)
+    own = F.lit(float(scale)) * dot(l2_normalise(F.col("__vec")), l2_normalise(F.col("__target")))
+    rows = rows.withColumn("__own", own).withColumn("__other", F.greatest("__generic_m", "__explicit_m")).withColumn(
+        "__top", F.greatest("__own", "__other"))
+
+    def mass(kind: str) -> Column:
+        return F.when(F.col(f"__{kind}_s") > 0, F.exp(F.col(f"__{kind}_m") - F.col("__top")) * F.col(f"__{kind}_s")).otherwise(F.lit(0.0))
+
+    whole = F.exp(F.col("__own") - F.col("__top")) + mass("generic") + mass("explicit")
+    scored = F.col("__own").isNotNull()
+    p_target = F.when(scored, F.exp(F.col("__own") - F.col("__top")) / whole)
+    p_explicit = F.when(scored, mass("explicit") / whole)
+    # slot 0 wins a tie with a distractor
+    judged = F.when(p_explicit > explicit, "explicit").when((p_target < threshold) | (F.col("__own") < F.col("__other")), "off_topic").otherwise("keep")
+    return rows.select(
+        *items.columns, p_target.alias("p_target"), p_explicit.alias("p_explicit"),
+        F.when(is_trusted, "trusted").when(F.col(vec_col).isNotNull() & F.col("__target").isNull(), "no_prompt")
+        .when(~scored, "unreadable").otherwise(judged).alias("decision"))
+
+
 def kept(df: DataFrame) -> DataFrame:
     return df.filter(F.col("decision").isin("trusted", "keep"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tagloom.operators.selection import first_n
 from tagloom.operators.sizing import lookup_join, settle
 
 # Spark trims groups on the map side (WindowGroupLimit) up to this many rows.
@@ -74,13 +75,13 @@ def cap_per_group(df: DataFrame, group: list[str], order: list[str], cap: int) -
 
     Small caps: each map task keeps its own first ``cap`` rows, a salted step
     merges them, the last step sees ``SALTS * cap`` rows of a group at most.
-    Large caps: exact ranks from the range-partitioned copy."""
+    Large caps: the key of the cap-th row is searched and the rows are compared with it."""
     if cap < 0:
         raise ValueError("cap must be 0 or more")
     if cap == 0:
         return df
     if cap > TRIMMED_CAP:
-        return rank_within(df, group, order, "__rn").filter(F.col("__rn") <= cap).drop("__rn")
+        return first_n(df, group, order, cap)
     salted = df.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     partial = salted.withColumn(
         "__rn", F.row_number().over(W.partitionBy(*group, "__salt").orderBy(*order))

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tagloom.functions import fixed
 from tagloom.functions.hashing import choice, seeded_hash, uniform, uniform_between, uniform_int
-from tagloom.operators.ranking import number_in_order
+from tagloom.operators.ranking import number_in_order, rank_within
 from tagloom.operators.sizing import fits_broadcast, lookup_join, settle
 
-_HASH, _BUCKET = "__h", "__bucket"
+_HASH = "__h"
 HEX = 13  # hex digits used to place a hash in [0, 1)
 SIGMAS = 6  # half width of the first search interval around a wanted rank
-BUCKET_ROWS = 4096  # rows of a class that share a bucket when all rows are numbered
-MAX_BUCKET_DIGITS = 5
+DIGITS = 3  # hex digits of a hash that one pass of the search by prefix looks at
 TARGET_COPIES = 10_000  # draws of one row handled by one task
 
 
@@ -36,18 +35,57 @@ def _hash_cuts(hashed: DataFrame, group: list[str], id_col: str, targets: dict[s
     the rank is 0. Hashes are uniform, so a rank is almost surely close to its
     share of [0, 1): one aggregation counts the rows outside a narrow interval and
     keeps those inside, about ``SIGMAS * sqrt(n)`` per group. The count proves that
-    the cut is inside; if it is not, the intervals are widened once and then cover
-    everything, so there are three passes at most. The table itself is neither shuffled nor
+    the cut is inside; groups where it is not, as an id with many rows moves the ranks, go
+    through the digits of the hash (:func:`_digit_cuts`). The table itself is neither shuffled nor
     sorted. Rows with equal ids (nulls are equal, and first) stand together at one place."""
     totals = class_totals(hashed, group).filter("__n > 0").select(
         *group, "__n", *[t.cast("bigint").alias(f"__t_{k}") for k, t in targets.items()])
-    for width in (float(SIGMAS), SIGMAS * 16.0, float("inf")):
-        bounds = settle(_bounds(totals, list(targets), width))
-        found, missing = _cuts_within(hashed, group, id_col, list(targets), bounds)
-        if not missing:
+    bounds = settle(_bounds(totals, list(targets), float(SIGMAS)))
+    found = _cuts_within(hashed, group, id_col, list(targets), bounds)
+    missed = [found.where(F.col(f"__miss_{k}")).select(*group, F.lit(k).alias("__name")) for k in targets]
+    names, open_ = [f"__{k}" for k in targets], missed[0]
+    for m in missed[1:]:
+        open_ = open_.unionByName(m)
+    open_ = settle(open_)
+    if open_.isEmpty():
+        return found.select(*group, *names)
+    wanted = F.element_at(F.create_map(*[x for k in targets for x in (F.lit(k), F.col(f"__t_{k}"))]), F.col("__name"))
+    open_ = lookup_join(open_, bounds, group, how="inner", null_safe=True).select(*group, "__name", wanted.alias("__need"))
+    by_digits = _digit_cuts(hashed, group, id_col, open_)
+    again = settle(by_digits.groupBy(*group).agg(*[F.max(F.when(F.col("__name") == k, F.col("__cut"))).alias(f"__d_{k}") for k in targets]))
+    return settle(lookup_join(found, again, group, how="left", null_safe=True).select(
+        *group, *[F.coalesce(f"__d_{k}", f"__{k}").alias(f"__{k}") for k in targets]))
+
+
+def _digit_cuts(hashed: DataFrame, group: list[str], id_col: str, wanted: DataFrame) -> DataFrame:
+    """(group, __name, __cut) for ranks ``wanted`` as (group, __name, __need): rows are counted per prefix of the hash, and only
+    the prefix that holds the cut goes on, until it holds one (hash, id). An id with any number of rows
+    is one count; a task merges at most 16^DIGITS counts of a rank."""
+    here = F.struct(F.col(_HASH).alias("h"), F.col(id_col).alias("id"))
+    state = settle(wanted.select(*group, "__name", "__need", F.lit("").alias("__prefix")))
+    done = []
+    for at in range(0, 32 + DIGITS, DIGITS):
+        digit = F.substring(_HASH, at + 1, DIGITS)
+        met = lookup_join(hashed.select(*group, _HASH, id_col), state, group, how="inner", null_safe=True)
+        met = met.where(F.substring(_HASH, 1, at) == F.col("__prefix")) if at else met
+        # beyond the last digit only ids with equal hashes are left to tell apart
+        bars = met.groupBy(*group, "__name", "__need", "__prefix", (digit if at < 32 else here).alias("__digit")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min(here).alias("__least"), F.max(here).alias("__most"))
+        upto = F.sum("__c").over(W.partitionBy(*group, "__name").orderBy("__digit").rowsBetween(W.unboundedPreceding, 0))
+        hit = settle(bars.withColumn("__first", upto - F.col("__c")).where(
+            (F.col("__need") > F.col("__first")) & (F.col("__need") <= F.col("__first") + F.col("__c"))))
+        one = F.col("__least") == F.col("__most")
+        done.append(hit.where(one).select(*group, "__name", F.col("__least").alias("__cut")))
+        if at >= 32:
+            break
+        state = settle(hit.where(~one).select(
+            *group, "__name", (F.col("__need") - F.col("__first")).alias("__need"), F.concat("__prefix", "__digit").alias("__prefix")))
+        if state.isEmpty():
             break
-        totals = bounds.select(*totals.columns)
-    return found
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def _bounds(totals: DataFrame, names: list[str], width: float) -> DataFrame:
@@ -55,15 +93,14 @@ def _bounds(totals: DataFrame, names: list[str], width: float) -> DataFrame:
     n = F.col("__n").cast("double")
     for k in names:
         t = F.col(f"__t_{k}").cast("double")
-        reach = n if width == float("inf") else F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
+        reach = F.lit(width) * (F.sqrt(t * (n - t) / n) + 1)
         totals = totals.withColumn(f"__lo_{k}", _hex_place(F.greatest(F.lit(0.0), (t - reach) / n))).withColumn(
             f"__hi_{k}", _hex_place(F.least(F.lit(1.0), (t + reach) / n)))
     return totals
 
 
-def _cuts_within(hashed, group, id_col, names, bounds) -> tuple[DataFrame, int]:
-    """Cuts of the named targets (ascending ranks) and how many were not inside
-    their interval."""
+def _cuts_within(hashed, group, id_col, names, bounds) -> DataFrame:
+    """Cuts of the named targets (ascending ranks), and whether each was outside its interval."""
     small = fits_broadcast(bounds)
     h = F.col(_HASH)
     inside, passed = F.lit(False), F.lit(0)
@@ -84,10 +121,9 @@ def _cuts_within(hashed, group, id_col, names, bounds) -> tuple[DataFrame, int]:
     )
     here = F.when(F.col("__in"), F.struct("h", "id"))
     hits = {k: (F.col(f"__t_{k}") > F.col("__upto") - F.col("__c")) & (F.col(f"__t_{k}") <= F.col("__upto")) for k in names}
-    cuts = settle(ranked.groupBy(*group).agg(
+    return settle(ranked.groupBy(*group).agg(
         *[F.max(F.when(hit, here)).alias(f"__{k}") for k, hit in hits.items()],
-        sum((F.count_if(hit & ~F.col("__in")) for hit in hits.values()), F.lit(0)).alias("__missing")))
-    return cuts.drop("__missing"), cuts.agg(F.coalesce(F.sum("__missing"), F.lit(0))).first()[0]
+        *[(F.count_if(hit & ~F.col("__in")) > 0).alias(f"__miss_{k}") for k, hit in hits.items()]))
 
 
 def _upto(cut: str, id_col: str) -> Column:
@@ -149,38 +185,45 @@ def balanced_resample(
 
     One draw per row of ``df`` (``draw`` = that row's id) unless ``n`` is given.
     Returns (draw, label, id). Rows of small classes are drawn many times; such
-    rows are repeated over salts so that no key gathers all its draws."""
+    rows are repeated over salts so that no key gathers all its draws. Ids may repeat and be NULL."""
     keyed = df.filter(F.col(label).isNotNull()).select(label, id_col)
     classes = settle(number_in_order(class_totals(keyed, [label]), [label], "__class_no"))
     k, total = classes.agg(F.count(F.lit(1)), F.sum("__n")).first()
     if not k:
         return df.select(F.col(id_col).alias("draw"), label, id_col).limit(0)
     per_row = F.lit(float(n if n is not None else total)) / (F.lit(float(k)) * F.col("__n"))
-    digits = F.ceil(F.log2(F.col("__n") / BUCKET_ROWS) / 4)
-    classes = settle(classes.withColumn("__copies", F.greatest(F.lit(1), F.ceil(per_row / TARGET_COPIES)).cast("int"))
-                     .withColumn("__digits", F.least(F.greatest(digits, F.lit(0)), F.lit(MAX_BUCKET_DIGITS)).cast("int")))
-
-    # number the rows of a class: place in its hash bucket + rows of the buckets before
-    hashed = lookup_join(keyed, classes, [label], how="inner").withColumn(
-        _HASH, seeded_hash(f"{seed}:row", F.col(id_col))).withColumn(
-        _BUCKET, F.substring(F.col(_HASH), F.lit(1), F.col("__digits")))
-    before = W.partitionBy(label).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
-    offsets = settle(
-        hashed.groupBy(label, _BUCKET).agg(F.count(F.lit(1)).alias("__c"))
-        .select(label, _BUCKET, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__before")))
-    in_bucket = F.row_number().over(W.partitionBy(label, _BUCKET).orderBy(_HASH, id_col)) - 1
-    rows = lookup_join(hashed.withColumn("__at", in_bucket), offsets, [label, _BUCKET], how="inner").select(
-        label, id_col, "__class_no", (F.col("__before") + F.col("__at")).alias("__row_no"),
+    classes = settle(classes.withColumn("__copies", F.greatest(F.lit(1), F.ceil(per_row / TARGET_COPIES)).cast("int")))
+
+    # number the rows of a class in hash order: place in a range partition + rows of the partitions before. Rows of
+    # one id are alike; where they stand in the input tells them apart, so that they spread over partitions
+    hashed = keyed.withColumn(_HASH, seeded_hash(f"{seed}:row", F.col(id_col))).withColumn(
+        "__tie", F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()))
+    numbered = rank_within(hashed, [label], [_HASH, id_col, "__tie"], "__row_no")
+    rows = lookup_join(numbered, classes.select(label, "__class_no", "__copies"), [label], how="inner").select(
+        label, id_col, "__class_no", (F.col("__row_no") - 1).alias("__row_no"),
         F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__salt"))
 
     tickets = df.sparkSession.range(n).toDF("draw") if n is not None else keyed.select(F.col(id_col).alias("draw"))
-    picked = tickets.withColumn(
-        "__class_no", F.floor(uniform(f"{seed}:class", F.col("draw")) * F.lit(float(k))))
-    picked = lookup_join(picked, classes.select("__class_no", "__n", "__copies"), ["__class_no"], how="inner").select(
-        "draw", "__class_no",
-        F.coalesce(F.floor(uniform(f"{seed}:pick", F.col("draw")) * F.col("__n").cast("double")), F.lit(0)).alias("__row_no"),
-        F.pmod(F.xxhash64("draw"), F.col("__copies")).cast("int").alias("__salt"))
-    return picked.join(rows, ["__class_no", "__row_no", "__salt"]).select("draw", label, id_col)
+    # draws with one id (nulls) hit one row: they travel as one row with their number
+    counted = settle(tickets.groupBy("draw").agg(F.count(F.lit(1)).alias("__times")))
+    often = F.col("__times") > TARGET_COPIES
+    some_often = not counted.where(often).isEmpty()
+
+    def drawn(some: DataFrame) -> DataFrame:
+        placed = some.withColumn("__class_no", F.floor(uniform(f"{seed}:class", F.col("draw")) * F.lit(float(k))))
+        placed = lookup_join(placed, classes.select("__class_no", "__n", "__copies"), ["__class_no"], how="inner").select(
+            "draw", "__times", "__class_no",
+            F.coalesce(F.floor(uniform(f"{seed}:pick", F.col("draw")) * F.col("__n").cast("double")), F.lit(0)).alias("__row_no"),
+            F.pmod(F.xxhash64("draw"), F.col("__copies")).cast("int").alias("__salt"))
+        return placed.join(rows, ["__class_no", "__row_no", "__salt"]).select("draw", label, id_col, "__times")
+
+    out = drawn(counted.where(~often) if some_often else counted)
+    if some_often:  # in parts, dealt to all tasks
+        parts = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__times") - 1) / TARGET_COPIES))
+        many = drawn(counted.where(often)).withColumn("__part", F.explode(parts)).repartition("__part")
+        out = out.unionByName(many.withColumn(
+            "__times", F.least(F.lit(TARGET_COPIES), F.col("__times") - F.col("__part") * TARGET_COPIES)).drop("__part"))
+    return out.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).drop("__again", "__times")
 
 
 def recipe(

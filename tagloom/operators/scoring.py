@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom.functions import fixed
 from tagloom.functions.text import canonical_label
 from tagloom.functions.vectors import matrix_softmax, matrix_top, model_probs, ranked_pairs
+from tagloom.operators.blocked import BlockedScorer, numbered_vectors
 from tagloom.operators.sizing import fits_broadcast
 
 # Names of the two answering models.
@@ -89,16 +90,27 @@ def make_scorer(backbone: str, **params) -> Scorer:
     return BACKBONES[backbone](**params)
 
 
-def prototype_scorer(prototypes: DataFrame, name: str, vec: str, scale: float = fixed.SIMILARITY_SCALE) -> PrototypeScorer:
+def prototype_scorer(
+    prototypes: DataFrame, name: str, vec: str, scale: float = fixed.SIMILARITY_SCALE,
+) -> PrototypeScorer | BlockedScorer:
     """Scorer from a table with one vector per class, classes in code-point order.
 
-    The table is a model that every worker loads whole, so its size is checked."""
+    A model that fits in a worker (measured) is loaded whole; a larger one stays a table and is scored block by block, with
+    the same answers."""
     if not fits_broadcast(prototypes.select(name, vec)):
-        raise ValueError("too many prototypes for one worker; use a model behind BatchScorer")
+        return blocked_scorer(prototypes, name, vec, scale)
     rows = prototypes.select(F.col(name).cast("string").alias("n"), F.col(vec).alias("v")).orderBy("n").collect()
     return PrototypeScorer([r["n"] for r in rows], [list(r["v"]) for r in rows], scale)
 
 
+def blocked_scorer(
+    prototypes: DataFrame, name: str, vec: str, scale: float = fixed.SIMILARITY_SCALE, block_bytes: int | None = None,
+) -> BlockedScorer:
+    """Scorer over blocks of classes, for a model of any size."""
+    named = prototypes.select(F.col(name).cast("string").alias("name"), F.col(vec).alias("vec"))
+    return BlockedScorer(numbered_vectors(named, ["name"], "vec"), scale, block_bytes)
+
+
 def name_list(names: Sequence[str]) -> Column:
     """The names as one constant, however many there are."""
     return F.from_json(F.lit(json.dumps(list(names))), "array<string>")
@@ -134,6 +146,8 @@ def best_of(df: DataFrame, scorer: Scorer, features: str, k: int, out: str) -> D
     """Add the scorer's ``k`` best classes, in blocks if the scorer can."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    if hasattr(scorer, "best"):
+        return scorer.best(df, features, k, out)
     if hasattr(scorer, "top"):
         return df.withColumn(out, _named(scorer.top(features, k), scorer.names))
     return scorer(df, features, "__p").withColumn(out, best_k(F.col("__p"), scorer.names, k)).drop("__p")
@@ -145,25 +159,36 @@ def score(df: DataFrame, scorer: Scorer, features: str, k: int = 3, out: str = "
     return best_of(df, scorer, features, k, out)
 
 
-def merge_aliases(predictions: Column, aliases: Mapping[str, str]) -> Column:
-    """Canonical names; two entries may end up with one name and stay two."""
-    return F.transform(
+def merge_aliases(predictions: Column, aliases: Mapping[str, str], merge: bool = False) -> Column:
+    """Canonical names. Two entries may end up with one name and stay two, unless ``merge`` adds their confidences up; the merged
+    entries are in falling order again, the earlier one first on a tie."""
+    renamed = F.transform(
         predictions,
         lambda s: F.struct(canonical_label(s["name"], aliases).alias("name"), s["confidence"].alias("confidence")))
+    if not merge:
+        return renamed
+    names = F.array_distinct(F.transform(renamed, lambda s: s["name"]))
+    # the entries ride along, so that they are renamed once
+    boxed = F.array(F.struct(renamed.alias("r"), names.alias("n")))
+    summed = F.transform(boxed, lambda b: F.transform(b["n"], lambda n, i: F.struct(
+        (-F.aggregate(F.filter(b["r"], lambda s: s["name"] == n), F.lit(0.0), lambda acc, s: acc + s["confidence"])).alias("minus"),
+        i.alias("i"), n.alias("name"))))[0]
+    return F.transform(F.array_sort(summed), lambda s: F.struct(s["name"].alias("name"), (-s["minus"]).alias("confidence")))
 
 
 def route(
     df: DataFrame, predictions: str, features: str, second: Scorer, members: Sequence[str],
-    aliases: Mapping[str, str] = fixed.LABEL_ALIASES, trust: float = fixed.TRUST, k: int = 3,
+    aliases: Mapping[str, str] = fixed.LABEL_ALIASES, trust: float = fixed.TRUST, k: int = 3, merge: bool = False,
 ) -> DataFrame:
     """Add ``model`` and replace ``predictions`` by the second model's where the
-    first model's best class is a member and the second model is confident.
+    first model's best class is a member and the second model is confident. ``merge`` as in :func:`merge_aliases`; it comes
+    before the test of confidence.
 
     Only member rows hand their features to the second model; the others pass
     NULL, so one narrow stage does it all, without a join."""
     best = F.get(F.col(predictions), F.lit(0))["name"]
     asked = df.withColumn("__f", F.when(best.isin(*members), F.col(features)))
-    answered = best_of(asked, second, "__f", k, "__second").withColumn("__second", merge_aliases(F.col("__second"), aliases))
+    answered = best_of(asked, second, "__f", k, "__second").withColumn("__second", merge_aliases(F.col("__second"), aliases, merge))
     # the product, not the literal 55: it is a little above it in doubles
     sure = F.coalesce(F.get(F.col("__second"), F.lit(0))["confidence"] >= F.lit(trust * 100), F.lit(False))
     return (

@@ -110,3 +110,45 @@ def manifest(spark, sf):
     path = scratch_path(spark, "manifest")
     write_manifest(stratified_split(unique, "source", "doc_id"), path, "split")
     return spark.read.parquet(path)
+
+
+@query("src5_publish", f"""WITH {ORDER_PAGES_SQL} SELECT page, pos, o_orderkey, 1::BIGINT AS version FROM paged WHERE page % 7 <> 0 OR page <= 7""")
+def publish_pages(spark, sf):
+    """Three deliveries of a catalogue: a whole one is published, one with a gap is not, a run that dies while it writes leaves no record.
+    The whole one holds the pages that are no multiple of seven, from the eighth on, renumbered so that none is missing."""
+    from tagloom.operators.catalogue import ingest_pages
+    from tagloom.sources.published import commits, publish, read_published
+
+    pages = order_pages(spark, sf).where("page % 7 <> 0 OR page <= 7")
+    dense = F.col("page") - F.greatest(F.lit(0), F.floor(F.col("page") / 7).cast("int") - 1)
+    whole = pages.select("page", dense.cast("int").alias("nr"), "data")
+    last = whole.agg(F.max("nr")).scalar()
+    whole = settle(whole.select(F.col("nr").alias("page"), "data", last.alias("last_page"), F.col("page").alias("old")))
+    root = scratch_path(spark, "catalogue")
+    for delivery in (whole, whole.where("page <> 3")):
+        rows, status = ingest_pages(delivery.select("page", "data", "last_page"))
+        publish(rows, root, complete=bool(status.first()["is_complete"]))
+    broken = whole.select(F.when(F.col("page") == 2, F.raise_error(F.lit("delivery broke off"))).otherwise(F.col("page")).alias("page"))
+    try:
+        publish(broken, root)
+    except Exception:  # the run dies, as meant
+        pass
+    numbers = whole.select(F.col("page").alias("nr"), "old")
+    version = commits(spark, root).agg(F.max("version")).scalar()
+    return read_published(spark, root).join(numbers, F.col("page") == F.col("nr")).select(
+        F.col("old").alias("page"), F.col("pos").cast("bigint").alias("pos"), "o_orderkey", version.alias("version"))
+
+
+@query("p1_deliveries", f"""WITH {_UNIQUE_SQL} SELECT lang, file_name, doc_id, fp, CASE WHEN file_name < 'd' THEN 1 ELSE 2 END AS delivery FROM uniq""")
+def two_deliveries(spark, sf):
+    """Documents that come in two deliveries, by file name: what both add is what one curation keeps."""
+    import uuid
+
+    from tagloom.plans.deliveries import FingerprintStore, curate_delivery
+
+    store = FingerprintStore(spark, f"tagloom_seen_{uuid.uuid4().hex}", "lang", "fp", buckets=8)
+    docs = documents(spark, sf).select("lang", "file_name", "doc_id", "fp")
+    early = F.col("file_name") < "d"
+    parts = [curate_delivery(store, docs.where(early), "file_name").withColumn("delivery", F.lit(1)),
+             curate_delivery(store, docs.where(~early), "file_name").withColumn("delivery", F.lit(2))]
+    return parts[0].unionByName(parts[1])

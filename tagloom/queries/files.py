@@ -17,7 +17,7 @@ from tagloom.queries.models import PRED_SQL, ROUTE_SQL, confusion_inputs
 from tagloom.queries.registry import query, table
 from tagloom.queries.shared import ALIASES_B, MEMBERS, model_a, model_b, vectors
 from tagloom.sources import readers, writers
-from tagloom.streaming.scoring import stream_score
+from tagloom.streaming.scoring import stream_answer_once, stream_score
 
 
 @query("snk1_vocabulary", """SELECT row_number() OVER (ORDER BY p_name) - 1 AS class_idx, p_name AS class_name
@@ -138,3 +138,24 @@ def stream(spark, sf):
         keys=["vec_id"], features="embedding", first=model_a(v), second=model_b(v), members=MEMBERS, aliases=ALIASES_B)
     run.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("vec_id", "model", "top_name", "top_confidence", "verdict")
+
+
+def _deliveries(spark, sf):
+    """The embeddings in two folders of deliveries; the second repeats half of the first's items, and the first repeats some of its own."""
+    rows, path = table(spark, sf, "embeddings"), scratch_path(spark, "deliveries")
+    one = rows.where(F.col("vec_id") % 2 == 0)
+    return path, rows.schema, one.unionByName(one.where(F.col("vec_id") % 3 == 0)), rows.where((F.col("vec_id") % 2 == 1) | (F.col("vec_id") % 4 == 0))
+
+
+@query("st1_answer_once", f"""WITH {ROUTE_SQL} SELECT vec_id, model, name AS top_name, round(confidence, 2) AS top_confidence FROM routed WHERE rnk = 1""")
+def answer_once(spark, sf):
+    """Two deliveries that repeat items, with a restart of the query between them."""
+    v = vectors(spark, sf)
+    path, schema, first, second = _deliveries(spark, sf)
+    out = scratch_path(spark, "answers")
+    one, two = model_a(v), model_b(v)
+    for delivery in (first, second):
+        delivery.write.mode("append").parquet(path)
+        stream_answer_once(spark, path, schema, f"{out}/rows", f"{out}/log", keys=["vec_id"], features="embedding",
+                           first=one, second=two, members=MEMBERS, aliases=ALIASES_B).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("vec_id", "model", "top_name", "top_confidence")

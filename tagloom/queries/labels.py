@@ -8,7 +8,7 @@ from tagloom.functions import fixed, text
 from tagloom.operators import evaluation, labels as ops
 from tagloom.operators.catalogue import bucket_catalogue, harvest_urls, pending
 from tagloom.operators.ranking import class_vocabulary
-from tagloom.operators.sizing import settle
+from tagloom.operators.sizing import scratch_path, settle
 from tagloom.queries.registry import query, table
 from tagloom.queries.shared import DOCUMENTS_SQL, NAME_SQL, documents
 
@@ -229,6 +229,21 @@ def stage_report(spark, sf):
     return evaluation.stage_report(docs, "source", good, F.coalesce(F.col("toxic") == 1, F.lit(False)))
 
 
+@query("a8_observed", """SELECT count(*) AS before, count(CASE WHEN quality = 1 THEN 1 END) AS kept,
+count(CASE WHEN quality IS DISTINCT FROM 1 THEN 1 END) AS removed, count(CASE WHEN toxic = 1 THEN 1 END) AS flagged,
+count(CASE WHEN quality = 1 THEN 1 END) AS written FROM documents LEFT JOIN labels USING (doc_id)""")
+def observed(spark, sf):
+    """The same stage, counted by the job that writes what is kept."""
+    docs = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    stage = evaluation.counted_stage(docs, good, F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    path = scratch_path(spark, "stage")
+    stage.rows.where(good).select("doc_id", "source").write.parquet(path)
+    numbers = stage.numbers
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written")).select(
+        *[F.lit(numbers[k]).cast("bigint").alias(k) for k in ("before", "kept", "removed", "flagged")], "written")
+
+
 @query("a9_plan_quota", f"""WITH {DOCUMENTS_SQL}, have AS (
 SELECT source, count(CASE WHEN NOT starts_with(file_name, 'seed_') THEN 1 END) AS existing FROM docs GROUP BY source)
 SELECT source, existing, greatest(1, floor((t.target - existing) / 8.0)::BIGINT + 1) AS per_query

@@ -12,7 +12,7 @@ from tagloom.operators.sampling import stratified_split
 from tagloom.operators.sizing import settle
 from tagloom.queries.registry import query
 from tagloom.queries.shared import (
-    ALIASES_B, MEMBERS, VECTORS_SQL, model_a, model_b, probs_sql, split_sql, vectors, vocabulary_of,
+    ALIASES_B, MEMBERS, VECTORS_SQL, first_vectors, model_a, model_b, probs_sql, split_sql, vectors, vocabulary_of,
 )
 
 _TOP = """top_{m} AS (SELECT vec_id, rnk, cls AS name, p * 100 AS confidence FROM p_{m} WHERE rnk <= 3)"""
@@ -49,6 +49,15 @@ def score(spark, sf):
         "vec_id", F.col("cls").alias("truth"), best["name"].alias("name"), F.round(best["confidence"], 4).alias("confidence"))
 
 
+@query("m2_score_blocked", f"""WITH {VECTORS_SQL}, {probs_sql('a')}, {_TOP.format(m='a')}
+SELECT vec_id, rnk::INT AS rnk, name, round(confidence, 4) AS confidence FROM top_a""")
+def score_blocked(spark, sf):
+    """The best three classes, with the model dealt in blocks of three classes."""
+    v = vectors(spark, sf)
+    model = scoring.blocked_scorer(first_vectors(v), "cls", "vec", block_bytes=3 * 64 * 8)
+    return _ranks(scoring.score(v.select("vec_id", "embedding"), model, "embedding"), "vec_id")
+
+
 @query("m5_batch_scorer", f"""WITH {VECTORS_SQL}, {probs_sql('a')}
 SELECT vec_id, truth, cls AS name, round(p * 100, 4) AS confidence FROM p_a WHERE rnk = 1""")
 def batch_scorer(spark, sf):
@@ -101,6 +110,36 @@ def accuracy_other(spark, sf):
     return evaluation.per_class_accuracy(cm, vocab, "other").select("class_name", "test_samples", "correct")
 
 
+PRED_SQL = f"""{VECTORS_SQL}, {probs_sql('a')}, pred AS (SELECT vec_id, truth AS "true", cls AS pred FROM p_a WHERE rnk = 1),
+cm AS (SELECT "true", pred, count(*) AS n FROM pred GROUP BY ALL),
+per AS (SELECT idx AS class_idx, cls AS class_name, coalesce(t, 0)::BIGINT AS test_samples, coalesce(c, 0)::BIGINT AS correct, coalesce(c / t, 0.0) AS accuracy
+  FROM proto_a LEFT JOIN (SELECT "true" AS cls, sum(n)::DOUBLE AS t, sum(CASE WHEN "true" = pred THEN n ELSE 0 END)::DOUBLE AS c FROM cm GROUP BY 1) USING (cls))"""
+
+
+_MERGE = {"c1": "c0", "c4": "c0", "c7": "c2"}
+
+
+@query("t4_merge_aliases", f"""WITH {VECTORS_SQL}, {probs_sql('a')}, top AS (SELECT vec_id, rnk, p * 100 AS confidence,
+  CASE cls WHEN 'c1' THEN 'c0' WHEN 'c4' THEN 'c0' WHEN 'c7' THEN 'c2' ELSE cls END AS name FROM p_a WHERE rnk <= 4),
+merged AS (SELECT vec_id, name, min(rnk) AS place, sum(confidence) AS confidence FROM top GROUP BY vec_id, name)
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY confidence DESC, place)::INT AS rnk, name, round(confidence, 4) AS confidence FROM merged""")
+def merge_aliases(spark, sf):
+    """Four best classes, three of them aliases: entries of one name are added up and ranked again."""
+    v = vectors(spark, sf)
+    best = scoring.score(v, model_a(v), "embedding", k=4)
+    return _ranks(best.withColumn("predictions", scoring.merge_aliases(F.col("predictions"), _MERGE, merge=True)), "vec_id")
+
+
+@query("a4_confusion_rows", f"""WITH {PRED_SQL} SELECT t.idx AS class_idx, t.cls AS class_name, p.cls AS pred, coalesce(n, 0)::BIGINT AS n
+FROM proto_a t CROSS JOIN proto_a p LEFT JOIN cm ON cm."true" = t.cls AND cm.pred = p.cls""")
+def confusion_rows(spark, sf):
+    """All cells without a column per class."""
+    cm, vocab = confusion_inputs(spark, sf)
+    cells = evaluation.confusion_rows(cm, vocab).select("class_idx", "class_name", F.posexplode("counts").alias("at", "n"))
+    names = vocab.select(F.col("class_idx").alias("i"), F.col("class_name").alias("pred"))
+    return cells.join(names, F.col("at") == F.col("i")).select("class_idx", "class_name", "pred", "n")
+
+
 def routed(spark, sf):
     v = vectors(spark, sf)
     return scoring.route(
@@ -135,12 +174,6 @@ def to_response(spark, sf):
     return scoring.to_response(routed(spark, sf)).select("vec_id", "response")
 
 
-PRED_SQL = f"""{VECTORS_SQL}, {probs_sql('a')}, pred AS (SELECT vec_id, truth AS "true", cls AS pred FROM p_a WHERE rnk = 1),
-cm AS (SELECT "true", pred, count(*) AS n FROM pred GROUP BY ALL),
-per AS (SELECT idx AS class_idx, cls AS class_name, coalesce(t, 0)::BIGINT AS test_samples, coalesce(c, 0)::BIGINT AS correct, coalesce(c / t, 0.0) AS accuracy
-  FROM proto_a LEFT JOIN (SELECT "true" AS cls, sum(n)::DOUBLE AS t, sum(CASE WHEN "true" = pred THEN n ELSE 0 END)::DOUBLE AS c FROM cm GROUP BY 1) USING (cls))"""
-
-
 def confusion_inputs(spark, sf):
     v = vectors(spark, sf)
     model = model_a(v)

@@ -52,6 +52,11 @@ def plain_split_null_ids(spark, sf):
     return ops.random_split_exact(table(spark, sf, "orders").select(half), "o_orderkey")
 
 
+def uniform_null_sql(seed: str, part: str) -> str:
+    """A draw for an id that may be NULL: the seed alone is hashed then."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {part}::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
 def resample_sql(source: str, label: str, id_col: str, seed: int = fixed.SEED) -> str:
     return f"""SELECT draw, r.{label}, r.{id_col} FROM (
   SELECT t.{id_col} AS draw, floor({uniform_sql(f'{seed}:class', f't.{id_col}')} * (SELECT count(DISTINCT {label}) FROM {source})) AS class_no,
@@ -67,6 +72,18 @@ def resample(spark, sf):
     return ops.balanced_resample(labelled(spark, sf), "lang", "doc_id")
 
 
+@query("s2_resample_null_ids", f"""WITH items AS (SELECT lang, CASE WHEN doc_id % 3 > 0 THEN doc_id END AS doc_id FROM documents WHERE lang IS NOT NULL),
+draws AS (SELECT doc_id AS draw, floor({uniform_null_sql('42:class', 'doc_id')} * (SELECT count(DISTINCT lang) FROM items)) AS class_no,
+  {uniform_null_sql('42:pick', 'doc_id')} AS u FROM items),
+classes AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang) - 1 AS class_no FROM items GROUP BY lang),
+numbered AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat_ws(':', '42:row', doc_id::VARCHAR)), doc_id NULLS FIRST) - 1 AS row_no FROM items)
+SELECT draw, r.lang, r.doc_id FROM draws d JOIN classes c USING (class_no) JOIN numbered r ON r.lang = c.lang AND r.row_no = floor(d.u * c.n)""")
+def resample_null_ids(spark, sf):
+    """A third of the ids are NULL: one hash, one draw, many rows."""
+    third = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("doc_id")
+    return ops.balanced_resample(table(spark, sf, "documents").select("lang", third), "lang", "doc_id")
+
+
 @query("s3_random_split_exact", """SELECT o_orderkey, CASE WHEN rn <= floor(0.8::DOUBLE * n) THEN 'train' ELSE 'val' END AS split FROM (
 SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS rn, count(*) OVER () AS n FROM orders)""")
 def plain_split(spark, sf):

@@ -79,6 +79,15 @@ def gate(spark, sf):
         "vec_id", "cls", F.round("p_target", 4).alias("p_target"), F.round("p_explicit", 4).alias("p_explicit"), "decision")
 
 
+@query("v3_gate_blocked", f"WITH {GATE_SQL} SELECT vec_id, cls, p_target, p_explicit, decision FROM gated")
+def gate_blocked(spark, sf):
+    """The same gate with the distractors met two at a time."""
+    v = vectors(spark, sf)
+    out = relevance_gate(v, prompts(v), "cls", "embedding", "file_name", block_bytes=2 * 64 * 8)
+    return out.select(
+        "vec_id", "cls", F.round("p_target", 4).alias("p_target"), F.round("p_explicit", 4).alias("p_explicit"), "decision")
+
+
 @query("j5_prototype_match", f"WITH {GATE_SQL} SELECT vec_id, slot, round(p, 4) AS p FROM ps")
 def prototype_match(spark, sf):
     from tagloom.operators.gate import shared_vectors

@@ -3,9 +3,9 @@ are one sorted file, and no single task writes them all."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.operators.evaluation import confusion_wide, worst_first
+from tagloom.operators.evaluation import confusion_lines, worst_first
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
@@ -29,15 +29,26 @@ def write_mapping(df: DataFrame, path: str, name: str = "name", value: str = "va
 
 def write_reports(cm: DataFrame, per_class: DataFrame, vocab: DataFrame, out: str) -> None:
     """``confusion_matrix`` (first header cell empty) and ``per_class_accuracy``
-    (worst first, accuracy to 4 decimals) as CSV folders under ``out``."""
-    wide = confusion_wide(cm, vocab).orderBy("class_idx").drop("class_idx").withColumnRenamed("class_name", "")
-    # one row per class
-    wide.coalesce(1).write.option("header", True).option("emptyValue", "").csv(f"{out}/confusion_matrix")
+    (worst first, accuracy to 4 decimals) as CSV folders under ``out``. A line of the matrix is put together from the cells of
+    its class that are not zero, so there may be tens of thousands of classes; lines are in class order over the part files."""
+    header = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "class_name"))), lambda c: _field(c["class_name"])), ",")
+    lines = confusion_lines(cm, vocab).select("class_idx", F.concat(_field(F.col("class_name")), F.lit(","), F.col("line")).alias("line"))
+    # each part file begins with the header, as readers expect of a folder
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.concat(F.lit(","), vocab.agg(header).scalar(), F.lit("\n"))
+    lines.orderBy("class_idx").select(F.when(first, F.concat(head, F.col("line"))).otherwise(F.col("line")).alias("value")).write.text(
+        f"{out}/confusion_matrix")
     worst_first(per_class).select(
         F.col("class_name").alias("class"), "test_samples", F.format_string("%.4f", "accuracy").alias("accuracy"),
     ).write.option("header", True).csv(f"{out}/per_class_accuracy")
 
 
+def _field(name: Column) -> Column:
+    """A name as a field of a CSV line; quoted, quotes with a backslash, where it needs to be."""
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(name.rlike(r'[",\r\n\\]|^\s|\s$|^$'), quoted).otherwise(name)
+
+
 def write_manifest(df: DataFrame, path: str, by: str) -> None:
     """Parquet partitioned by class or split. The rebalance lets Spark split a hot
     value over several files and join the small ones."""

@@ -109,7 +109,6 @@ def test_resample(spark, items, monkeypatch, copies):
     """With few copies per task the row of the smallest class is spread over salts."""
     data, df = items
     monkeypatch.setattr(sampling, "TARGET_COPIES", copies)
-    monkeypatch.setattr(sampling, "BUCKET_ROWS", copies)
     got = sampling.balanced_resample(df, "label", "id")
     assert rows(got) == sorted(expected_draws(data, [i for i, _ in data]), key=lambda r: tuple((False, str(x)) for x in r))
 

@@ -1,0 +1,121 @@
+"""Cuts by selection and by digits: small limits make every round run, and piles of one key or id meet all paths."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from test_sampling import md5
+from tagloom.operators import ranking, sampling, selection
+
+
+@pytest.fixture
+def tight(monkeypatch):
+    monkeypatch.setattr(selection, "SAMPLE", 30)
+    monkeypatch.setattr(selection, "ENOUGH", 40)
+    monkeypatch.setattr(selection, "SPREADS", 1)
+
+
+def plain_first(data, n):
+    """Per group the n smallest keys, nulls first, as a sorted list."""
+    groups = {}
+    for g, a, b in data:
+        groups.setdefault(g, []).append((a is not None, a or 0, b))
+    return sorted(((g, k[1] if k[0] else None, k[2]) for g, ks in groups.items() for k in sorted(ks)[:n]), key=str)
+
+
+@pytest.mark.parametrize("n", [50, 2500])
+def test_first_n_against_sorting(spark, tight, n):
+    r = random.Random(n)
+    data = [(("hot" if r.random() < 0.7 else r.choice(["a", "b", None])), r.choice([None, 1, 2, 3, *range(50)]), f"{i:05d}") for i in range(5000)]
+    df = spark.createDataFrame(data, "g string, a int, b string").withColumn("wide", F.repeat("b", F.lit(5))).repartition(9)
+    got = selection.first_n(df, ["g"], ["a", "b"], n)
+    assert got.columns == df.columns
+    assert sorted((tuple(x)[:3] for x in got.collect()), key=str) == plain_first(data, n)
+
+
+@pytest.mark.parametrize("n", [10, 700])
+def test_ties_at_the_cut_give_exactly_n(spark, tight, n):
+    data = [("g", 5 if i < 1500 else i % 7, f"{i}") for i in range(2000)] + [("h", 1, "x")] * 900
+    df = spark.createDataFrame(data, "g string, a int, b string").repartition(5)
+    got = selection.first_n(df, ["g"], ["a"], n).collect()
+    for g in ("g", "h"):
+        keys = sorted(x["a"] for x in got if x["g"] == g)
+        assert keys == sorted(a for k, a, _ in data if k == g)[:n]
+    assert len({x["b"] for x in got if x["g"] == "g"}) == sum(x["g"] == "g" for x in got)
+
+
+def test_cap_compares_rows_with_a_cut(spark, tight):
+    """No sort, no window and no exchange of the rows: the plan of the result is a scan, a broadcast join and a filter."""
+    df = spark.range(6000).select(F.concat(F.lit("g"), F.col("id") % 2).alias("g"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+    got = ranking.cap_per_group(df, ["g"], ["k"], 2000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and not any(x in plan for x in ("Sort ", "Window", "hashpartitioning", "rangepartitioning"))
+    assert got.count() == 4000 and got.agg(F.max("k")).first()[0] == 3999
+
+
+def test_no_rows_and_short_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "g string, k int")
+    assert rows(selection.first_n(df, ["g"], ["k"], 5000)) == [("a", 1), ("b", 2)]
+    assert selection.first_n(df.limit(0), ["g"], ["k"], 5000).count() == 0
+
+
+# ---- heavy ids ----
+
+def plain_cut(ids, rank, seed=42):
+    """(hash, id) of the row with the rank in hash order."""
+    return sorted((md5(*([seed] if i is None else [seed, i])), i is not None, i or 0) for i in ids)[rank - 1]
+
+
+@pytest.mark.parametrize("heavy, share, digits", [(None, 0.3, 1), (7, 0.9, 3), (None, 0.9, 5)])
+def test_digit_cuts_under_a_heavy_id(spark, monkeypatch, heavy, share, digits):
+    monkeypatch.setattr(sampling, "DIGITS", digits)
+    r = random.Random(5)
+    data = [("ab"[i % 2], heavy if r.random() < share else i) for i in range(3000)] + [("c", i) for i in range(40)]
+    df = spark.createDataFrame(data, "g string, id long").repartition(6)
+    got = sampling.stratified_split(df, "g", "id")
+    order = {}
+    for g in "abc":
+        ids = [i for k, i in data if k == g]
+        n_test = max(1, round(len(ids) * 0.1))
+        order[g] = plain_cut(ids, n_test), plain_cut(ids, 2 * n_test)
+    for x in got.collect():
+        here = (md5(*([42] if x["id"] is None else [42, x["id"]])), x["id"] is not None, x["id"] or 0)
+        test, val = order[x["g"]]
+        assert x["split"] == ("test" if here <= test else "val" if here <= val else "train")
+    assert got.count() == len(data)
+
+
+def test_only_missed_groups_go_through_the_digits(spark, monkeypatch):
+    """And no window of the search sees more than 16^DIGITS counts of a rank."""
+    seen = []
+    inner = sampling._digit_cuts
+
+    def spy(hashed, group, id_col, wanted):
+        seen.append(sorted({x["g"] for x in wanted.collect()}))
+        return inner(hashed, group, id_col, wanted)
+
+    monkeypatch.setattr(sampling, "_digit_cuts", spy)
+    data = [("even", i) for i in range(4000)] + [("hot", None if i % 2 else i) for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, id long")
+    sampling.stratified_split(df, "g", "id").count()
+    assert seen in ([], [["hot"]])
+    monkeypatch.setattr(sampling, "SIGMAS", 0.5)
+    sampling.stratified_split(df, "g", "id").count()
+    assert seen[-1]
+
+
+def test_resample_with_heavy_ids(spark, monkeypatch):
+    """Half of the ids are one: its rows are numbered over many partitions, its draws travel as one row and are dealt in parts."""
+    monkeypatch.setattr(sampling, "TARGET_COPIES", 100)
+    data = [("a", None if i % 2 else i) for i in range(3000)] + [("b", 5000 + i) for i in range(100)]
+    df = spark.createDataFrame(data, "g string, id long").repartition(5)
+    got = sampling.balanced_resample(df, "g", "id").collect()
+    assert len(got) == len(data)
+    assert sorted(str(x["draw"]) for x in got) == sorted(str(i) for _, i in data)
+    assert len({(x["g"], x["id"]) for x in got if x["draw"] is None}) == 1
+    items = {(g, i) for g, i in data}
+    assert all((x["g"], x["id"]) in items for x in got)
+    distinct = [x for x in got if x["draw"] is not None]
+    assert 0.4 < sum(x["g"] == "b" for x in distinct) / len(distinct) < 0.6
