@@ -233,13 +233,16 @@ class FitList:
             return np.vstack([w.sum(axis=0), w.T @ w])
 
         both = self.total(kernel) / n
-        return float(np.abs(both[1:] - np.outer(both[0], both[0]) - np.eye(k)).max()) if k else 0.0
+        return float(np.abs(both[1:] - np.outer(both[0], both[0]) - np.eye(k)).max())
 
 
-def _whitened(rows: DataFrame, fit: FitList, most: int) -> DataFrame:
+def _whitened(rows: DataFrame, fit: FitList, most: int) -> DataFrame | None:
+    """The rows of one dimension; None if no direction has any spread."""
     values, vectors, residual = eigenpairs(fit.product, fit.d, most)
     keep = values > FLAT * max(values.max(initial=0.0), 0.0)
     values, vectors = values[keep], vectors[:, keep]
+    if not len(values):
+        return None
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))])
     scaled, trace = vectors / np.sqrt(values), fit.trace()
     n, sums = fit.n, fit.sums
@@ -274,7 +277,11 @@ def whiten(vectors: DataFrame, embedding: str = "embedding", most: int = MOST) -
     """
     rows = written(grid_rows(vectors, embedding), "whitening-rows").where(F.size("x") > 0)
     lengths = [r[0] for r in rows.select(F.size("x")).distinct().collect()]
-    parts = [_whitened(some, FitList(some, d), most) for d in sorted(lengths) for some in [rows.where(F.size("x") == d)]]
+    parts = []
+    for d in sorted(lengths):
+        some = rows.where(F.size("x") == d)
+        if (part := _whitened(some, FitList(some, d), most)) is not None:
+            parts.append(part)
     if not parts:
         kind = rows.schema["vec_id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], f"vec_id {kind}, component int, n long, deviation long, whitened double, "
