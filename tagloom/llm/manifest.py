@@ -50,27 +50,19 @@ def leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
                        leaf(*rest, F.col("text")).alias("leaf"), changed.alias("changed"))
 
 
-def local_levels(group_size: int) -> int:
-    """Levels that a superblock of a group reduces: all of them if the group has more superblocks, else as many as it takes."""
-    levels = 0
-    while levels < LEVELS and FAN ** levels < group_size:
-        levels += 1
-    return levels
-
-
-def reduce_levels(nodes: list[str], group_size: int) -> list[list[str]]:
-    """The levels of a superblock from its leaves to its top."""
+def reduce_levels(nodes: list[str], group_size: int, levels: int) -> list[list[str]]:
+    """The levels of a superblock from its leaves to its top: all ``levels`` if its group has more superblocks, else as many as it takes."""
     out = [nodes]
-    for _ in range(local_levels(group_size)):
+    while len(out) <= levels and FAN ** (len(out) - 1) < group_size:
         below = out[-1]
         out.append([digest(below[i:i + FAN]) for i in range(0, len(below), FAN)])
     return out
 
 
-def local_path(levels: list[list[str]], i: int) -> list[tuple[int, list[str]]]:
+def local_path(tree: list[list[str]], i: int) -> list[tuple[int, list[str]]]:
     """Per level of a superblock the place of node i in its run and the others of the run."""
     path = []
-    for below in levels[:-1]:
+    for below in tree[:-1]:
         start = i - i % FAN
         run = below[start:start + FAN]
         path.append((i - start, run[:i - start] + run[i - start + 1:]))
@@ -85,7 +77,7 @@ def fold(node: str, path: list[tuple[int, list[str]]]) -> str:
     return node
 
 
-def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
+def placed(nodes: DataFrame, order: list[str], levels: int) -> DataFrame:
     """``nodes`` with pos, their place in ``order`` within their key from 0 on, size (nodes of the key) and block. Equal rows are told
     apart by where they stand in the input, so that a pile of them is spread over tasks."""
     from tagloom.operators.ranking import rank_within
@@ -95,31 +87,31 @@ def placed(nodes: DataFrame, order: list[str]) -> DataFrame:
     tie = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
     ranked = rank_within(nodes.withColumn("tie", tie), ["key"], [*order, "tie"], "pos").drop("tie")
     ranked = lookup_join(ranked.withColumn("pos", F.col("pos") - 1), sizes, ["key"], how="inner")
-    return written(ranked.withColumn("block", F.floor(F.col("pos") / FAN ** LEVELS)), "manifest-placed")
+    return written(ranked.withColumn("block", F.floor(F.col("pos") / FAN ** levels)), "manifest-placed")
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, levels: int) -> DataFrame:
     """key, block, node: each superblock reduced to its top."""
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        top = reduce_levels(pdf["node"].tolist(), int(pdf["size"].iloc[0]))[-1][0]
+        top = reduce_levels(pdf["node"].tolist(), int(pdf["size"].iloc[0]), levels)[-1][0]
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "block": pdf["block"].iloc[:1], "node": [top]})
 
     few = nodes.select("key", "block", "pos", "size", F.col("node"))
     return written(few.groupBy("key", "block").applyInPandas(reduce, "key string, block long, node string"), "manifest-tops")
 
 
-def tiers(nodes: DataFrame) -> list[DataFrame]:
+def tiers(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The nodes of each tier: ``nodes``, their superblocks' tops and so on until every key has one superblock; then its one top."""
     out = [nodes]
     while True:
-        above = tops(out[-1])
+        above = tops(out[-1], levels)
         if above.where("block > 0").isEmpty():
             return [*out, above.select("key", "node")]
-        sizes = out[-1].select("key", "block", F.ceil(F.col("size") / FAN ** LEVELS).alias("size"))
+        sizes = out[-1].select("key", "block", F.ceil(F.col("size") / FAN ** levels).alias("size"))
         sizes = sizes.groupBy("key").agg(F.max("size").alias("size")).withColumnRenamed("key", "k")
         next_ = above.join(sizes, F.col("key") == F.col("k")).select(
-            "key", F.col("block").alias("pos"), "node", "size", F.floor(F.col("block") / FAN ** LEVELS).alias("block"))
+            "key", F.col("block").alias("pos"), "node", "size", F.floor(F.col("block") / FAN ** levels).alias("block"))
         out.append(written(next_, "manifest-tier"))
 
 
@@ -127,15 +119,15 @@ def _path_of(value) -> list[tuple[int, list[str]]]:
     return [(int(s["at"]), list(s["others"])) for s in value]
 
 
-def descend(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+def descend(nodes: DataFrame, outer: DataFrame, levels: int) -> DataFrame:
     """key, pos, path: the whole path of every node to the root, given the outer path of its superblock (key, block, path)."""
     def exchange(inner: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         inner = inner.sort_values("pos")
         if inner.empty:
             return pd.DataFrame({"key": [], "pos": [], "path": []})
-        levels = reduce_levels(inner["node"].tolist(), int(inner["size"].iloc[0]))
+        tree = reduce_levels(inner["node"].tolist(), int(inner["size"].iloc[0]), levels)
         far = _path_of(around["path"].iloc[0])
-        paths = [[{"at": at, "others": others} for at, others in local_path(levels, i) + far] for i in range(len(inner))]
+        paths = [[{"at": at, "others": others} for at, others in local_path(tree, i) + far] for i in range(len(inner))]
         return pd.DataFrame({"key": inner["key"], "pos": inner["pos"], "path": paths})
 
     few = nodes.select("key", "block", "pos", "size", "node")
@@ -143,15 +135,15 @@ def descend(nodes: DataFrame, outer: DataFrame) -> DataFrame:
         exchange, f"key string, pos long, path {PATH}"), "manifest-paths")
 
 
-def _outer_paths(tier_nodes: list[DataFrame], first: DataFrame) -> DataFrame:
+def _outer_paths(tier_nodes: list[DataFrame], first: DataFrame, levels: int) -> DataFrame:
     """Outer path of every superblock of the lowest tier, by exchanges from the highest tier down. ``first``: key, path of each key's top."""
     outer = first.select("key", F.lit(0).cast("long").alias("block"), "path")
     for nodes in reversed(tier_nodes[1:]):
-        outer = descend(nodes, outer).select("key", F.col("pos").alias("block"), "path")
+        outer = descend(nodes, outer, levels).select("key", F.col("pos").alias("block"), "path")
     return outer
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     A leaf is the digest of doc_id, source, lang, n_chars and text. ``tampered`` says which rows had their text lowered after
@@ -159,25 +151,25 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     source is a source of its own, the first. Ids are in rising order, null first; rows that repeat an id follow the digest of their leaf, and
     equal rows get different proofs, in no set order. An empty table gives no rows, one document alone is the root itself (its proof is
     empty). Texts are read once and do not move: a row of the exchange is an id and two digests. A task holds one superblock,
-    however many documents a source has.
+    of 16^levels leaves, however many documents a source has.
     """
     rows = written(leaves(docs, tampered), "manifest-leaves")
     if rows.isEmpty():
         kind = rows.schema["doc_id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, "
                                                      "folded_root string, verified boolean")
-    low = placed(rows.withColumnRenamed("leaf", "node"), ["doc_id", "node"])
-    lower = tiers(low)
+    low = placed(rows.withColumnRenamed("leaf", "node"), ["doc_id", "node"], levels)
+    lower = tiers(low, levels)
     subroots = lower[-1]
-    high = placed(subroots.select(F.lit(TOP).alias("key"), F.col("key").alias("source_key"), "node"), ["source_key"])
-    upper = tiers(high)
+    high = placed(subroots.select(F.lit(TOP).alias("key"), F.col("key").alias("source_key"), "node"), ["source_key"], levels)
+    upper = tiers(high, levels)
     root = upper[-1].first()["node"]  # one row
     none = high.sparkSession.range(1).select(F.lit(TOP).alias("key"), F.expr(f"cast(array() as {PATH})").alias("path"))
-    over = descend(high, _outer_paths(upper[:-1], none)).withColumnsRenamed({"key": "k", "pos": "p"})
+    over = descend(high, _outer_paths(upper[:-1], none, levels), levels).withColumnsRenamed({"key": "k", "pos": "p"})
     named = high.join(over, (F.col("key") == F.col("k")) & (F.col("pos") == F.col("p"))).select(
         F.col("source_key").alias("key"), F.col("node").alias("subroot"), "path")
     named = written(named, "manifest-subroots")
-    outer = _outer_paths(lower[:-1], named.select("key", "path"))
+    outer = _outer_paths(lower[:-1], named.select("key", "path"), levels)
     outer = outer.join(named.select(F.col("key").alias("k"), "subroot"), F.col("key") == F.col("k")).drop("k")
     # ids travel as text: pandas has no whole numbers beside nulls
     low = low.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -185,12 +177,12 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     def finish(inner: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         inner = inner.sort_values("pos")
         nodes = inner["node"].tolist()
-        levels = reduce_levels(nodes, int(inner["size"].iloc[0]))
+        tree = reduce_levels(nodes, int(inner["size"].iloc[0]), levels)
         far, subroot = _path_of(around["path"].iloc[0]), around["subroot"].iloc[0]
         beyond = [x for _, others in far for x in others]
         proofs, folded = [], []
         for i, (node, changed) in enumerate(zip(nodes, inner["changed"])):
-            near = local_path(levels, i)
+            near = local_path(tree, i)
             proofs.append(digest([x for _, others in near for x in others] + beyond))
             folded.append(fold(changed if isinstance(changed, str) else node, near + far))
         return pd.DataFrame({"doc_id": inner["doc_id"], "leaf": nodes, "subroot": subroot, "root": root, "proof_sha256": proofs,
