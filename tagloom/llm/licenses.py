@@ -1,12 +1,15 @@
 """License scan by conditional compression.
 
-A block of text around license words, in lower case and with single blanks, is compressed alone and with each license text as a
-raw zstandard dictionary. The templates that save most of their own size are looked at in that order (one that saves little only if
-its words are there), and one wins only if the words confirm it: it must stand in the block with few exact differences.
+In a block of text around license words, windows about as long as a license text are compressed, in lower case and with single blanks,
+alone and with that text as a raw zstandard dictionary. The bytes saved rank the candidates. They are looked at in that order, and the
+first that the words confirm wins: it must stand in the window with few exact differences. Nothing is found that
+does not save enough.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import OrderedDict
 from difflib import SequenceMatcher
@@ -94,7 +97,9 @@ REACH = 700
 #: A long block is scanned in pieces of so many characters that overlap by REACH, so that time is linear in the text.
 PIECE = 4096
 #: Share of a template's own compressed size that it must save, and the share of its words that may differ.
-SAVING, DIFFERENCE = 0.15, 0.1
+SAVING, DIFFERENCE = 0.25, 0.1
+#: Compression level of windows.
+LEVEL = 6
 #: Blocks whose result is kept per task.
 MEMO = 20_000
 _WORD = re.compile(r"[^\s\"'(),;:]+")
@@ -192,53 +197,92 @@ def tagged(text: str) -> list[tuple[int, int, str, float, int]]:
     return [(m.start(1) + i.start(2), m.start(1) + i.end(2), i[2], 1.0, 0) for m in SPDX.finditer(text) for i in SPDX_ID.finditer(m[1]) if not i[1]]
 
 
+def cue_words(text: str, ws: list[tuple[str, int, int]]) -> list[int]:
+    """Numbers of the words in which cues start."""
+    starts = [a for _, a, _ in ws]
+    return sorted({max(0, bisect.bisect_right(starts, m.start()) - 1) for m in CUES.finditer(text)}) if ws else []
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [[w for w, _, _ in tokens(t)] for _, t in templates]
-        plain = zstandard.ZstdCompressor(level=19)
-        self.plain = plain.compress
-        self.with_template = [zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(
-            plain_bytes(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for _, t in templates]
-        frame = len(plain.compress(b""))
-        self.own = [len(plain.compress(plain_bytes(t))) - frame for _, t in templates]
+        self.cues = [cue_words(t, tokens(t)) for _, t in templates]
+        self.plain = zstandard.ZstdCompressor(level=LEVEL).compress
+        self.with_template = []
+        for _, t in templates:
+            data = zstandard.ZstdCompressionDict(plain_bytes(t), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            data.precompute_compress(level=LEVEL)
+            self.with_template.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data).compress)
+        frame = len(self.plain(b""))
+        self.own = [len(self.plain(plain_bytes(t))) - frame for _, t in templates]
         self.memo: OrderedDict[str, list] = OrderedDict()
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(saving, template), most bytes saved first; saving as a share of the template's own size. In a long block a short template's
-        saving is lost among the codes of the other words, so one that saves too little goes only if its words do not stand there."""
-        data = plain_bytes(block)
-        alone, have = len(self.plain(data)), {w for w, _, _ in tokens(block)}
-        saved = sorted(((alone - len(c(data)), i) for i, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
-        return [(s / self.own[i], i) for s, i in saved
-                if s >= SAVING * self.own[i] or sum(w in have for w in self.words[i]) >= len(self.words[i]) - self._allowed(i)]
+    def windows(self, text: str, ws: list[tuple[str, int, int]]) -> set[tuple[int, int, int]]:
+        """(template, first word, end): around each cue, the words that a template can cover which holds the cue at one of its own
+        places. A window is about as long as its template, so what surrounds it does not hide the saving; where cues are dense,
+        neighbours are joined up to three times that length."""
+        at, out = cue_words(text, ws), set()
+        for i, own in enumerate(self.cues):
+            n, allowed = len(self.words[i]), self._allowed(i)
+            start = end = None
+            for c in at:
+                a, b = max(0, c - max(own) - allowed), min(len(ws), c - min(own) + n + allowed)
+                if start is not None and b - start <= max(3 * n, n + 12):
+                    end = b
+                    continue
+                if start is not None:
+                    out.add((i, start, end))
+                start, end = a, b
+            if start is not None:
+                out.add((i, start, end))
+        return out
+
+    def saved(self, i: int, window: str) -> int:
+        """Bytes by which template i as a dictionary shortens the compressed window."""
+        data = plain_bytes(window)
+        return len(self.plain(data)) - len(self.with_template[i](data))
+
+    def rank(self, i: int, saved: int) -> tuple[int, int]:
+        """What a candidate is sorted by: most bytes saved first, then the order of the templates."""
+        return -saved, i
 
     def _allowed(self, i: int) -> int:
         return int(DIFFERENCE * len(self.words[i]))
 
-    def _confirmed(self, i: int, ws: list[tuple[str, int, int]]):
-        """Number of differences of template i where it fits best in the words, and its place; None if there are too many."""
-        hit = differences(self.words[i], [w for w, _, _ in ws], self._allowed(i))
-        return hit and (hit[0], ws[hit[1]][1], ws[hit[2] - 1][2])
-
     def scan_block(self, block: str) -> list[tuple[int, int, str, float, int]]:
-        """Licenses in a block: start, end, name, saving, differences. Confirmed words are taken out, with all equally good copies of
-        the same template, and the rest is ranked again."""
+        """Licenses in a block: start, end, name, saving, differences.
+
+        Every window is compressed with its template; candidates that save enough are confirmed in the order of their rank, and the
+        first that the words confirm wins. Its words are taken out; windows that held some of them are compressed again without them."""
         if block in self.memo:
             return self.memo[block]
-        found, rest = [], block
-        while ranked := self.ranked(rest):
-            ws = tokens(rest)
-            hits = [(hit[0] - len(self.words[i]), *hit, i, saving) for saving, i in ranked if (hit := self._confirmed(i, ws))]
-            if not hits:
-                break
-            # most words confirmed, then fewest differences, then the order of the templates
-            _, n, a, b, i, saving = min(hits, key=lambda h: (h[0], h[1], h[4]))
-            least = n
-            while n == least:
-                found.append((a, b, self.names[i], round(saving, 3), n))
-                rest = rest[:a] + " " * (b - a) + rest[b:]
-                n, a, b = self._confirmed(i, tokens(rest)) or (None, 0, 0)
+        ws, rest = tokens(block), block
+        gone, found, queue = [False] * len(ws), [], []
+
+        def propose(i: int, a: int, b: int) -> None:
+            saved = self.saved(i, rest[ws[a][1]:ws[b - 1][2]])
+            if saved >= SAVING * self.own[i]:
+                heapq.heappush(queue, (*self.rank(i, saved), a, b, i, saved, sum(gone[a:b])))
+
+        for i, a, b in self.windows(block, ws):
+            propose(i, a, b)
+        while queue:
+            *_, a, b, i, saved, was_gone = heapq.heappop(queue)
+            if sum(gone[a:b]) != was_gone:
+                propose(i, a, b)
+                continue
+            there = [k for k in range(a, b) if not gone[k]]
+            hit = differences(self.words[i], [ws[k][0] for k in there], self._allowed(i))
+            # words that a taken license stands between are no run
+            if hit is None or there[hit[2] - 1] - there[hit[1]] != hit[2] - 1 - hit[1]:
+                continue
+            first, last = there[hit[1]], there[hit[2] - 1]
+            start, end = ws[first][1], ws[last][2]
+            found.append((start, end, self.names[i], round(saved / self.own[i], 3), hit[0]))
+            rest = rest[:start] + " " * (end - start) + rest[end:]
+            gone[first:last + 1] = [True] * (last + 1 - first)
+            propose(i, a, b)
         found.sort()
         self.memo[block] = found
         if len(self.memo) > MEMO:
@@ -263,7 +307,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """``keep`` with found: array<struct<start, end, license, saving, differences>> of each whole text, in order of place.
 
-    A null or empty text has none. Offsets in code points, end exclusive. Repeated blocks are compressed once per task.
+    A null or empty text has none. Offsets in code points, end exclusive. Repeated blocks are compressed once per task. Of templates that
+    save equally many bytes the earlier one is tried first. Repeated rows each get their row, an empty table gives none; columns that
+    are not in ``keep`` are not read, so their names cannot clash.
     """
     item = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("license", T.StringType()),
                          T.StructField("saving", T.DoubleType()), T.StructField("differences", T.LongType())])

@@ -124,3 +124,76 @@ def test_tags_and_common_notices():
     assert [[x[2] for x in scan(t)] for t in numbered] == [["BSD-2-Clause"], ["BSD-3-Clause"]]
     lesser = next(t for n, t in TEMPLATES if n == "LGPL-2.1-or-later")
     assert [x[2] for x in scan(lesser.replace("program", "library"))] == ["LGPL-2.1-or-later"]
+
+
+def _bsd(k):
+    return max((t for n, t in TEMPLATES if n == f"BSD-{k}-Clause"), key=len)
+
+
+class Shuffled(Scanner):
+    """The savings are known but do not rank."""
+
+    def rank(self, i, saved):
+        return random.Random(i * 31 + saved).random(), i
+
+
+class InOrder(Scanner):
+    """No ranking: the order of the templates alone."""
+
+    def rank(self, i, saved):
+        return 0, i
+
+
+class Blind(Scanner):
+    """Compression switched off: nothing is ever saved."""
+
+    def saved(self, i, window):
+        return 0
+
+
+class Equal(Scanner):
+    """Compression switched off the other way: every template saves as much as every other."""
+
+    def saved(self, i, window):
+        return 10_000
+
+
+def test_the_ranking_decides():
+    """Several templates fit these notices word for word; which one is reported is up to the bytes they save."""
+    r = random.Random(4)
+    noise = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(n))
+    apache = max((t for n, t in TEMPLATES if n == "Apache-2.0"), key=len)
+    notices = [f"{noise(40)} {t} {noise(40)}" for t in (_bsd(2), _bsd(3), apache) for _ in range(4)]
+    want = [[(n, len(tokens(t)))] for n, t in (("BSD-2-Clause", _bsd(2)), ("BSD-3-Clause", _bsd(3)), ("Apache-2.0", apache)) for _ in range(4)]
+    found = lambda scan: [[(x[2], len(tokens(text[x[0]:x[1]]))) for x in scan(text)] for text in notices]
+    assert found(Scanner()) == want
+    for other in (Shuffled, InOrder, Equal):
+        assert found(other()) != want
+    assert found(Blind()) == [[]] * len(notices)
+
+
+def test_nothing_is_confirmed_that_saves_too_little():
+    """The words of a template in another order stand in the text, but no run of bytes does: it saves little and is never confirmed."""
+    asked = []
+
+    class Spy(Scanner):
+        def saved(self, i, window):
+            asked.append((i, super().saved(i, window)))
+            return asked[-1][1]
+
+    scan, text = Spy(), "one " + " ".join(reversed(TEMPLATES[3][1].split())) + " two"
+    assert scan(text) == []
+    mit = [s for i, s in asked if i == 3]
+    assert mit and max(mit) < 0.8 * scan.own[3]
+
+
+def test_dense_cues_take_linear_time():
+    import time
+
+    times = []
+    for n in (2000, 8000):
+        text = " ".join(f"w{i} rights" for i in range(n))
+        start = time.time()
+        assert Scanner()(text) == []
+        times.append(time.time() - start)
+    assert times[1] < 10 * times[0] + 1
