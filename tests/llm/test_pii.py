@@ -89,3 +89,14 @@ def test_long_text_with_many_spans(spark):
     assert masks[1] == "".join(want) + text[at:]
     assert masks[2] == "clean " * 4000
     assert masks[3] == "[EMAIL]"
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    """Capitals and digits that follow an account number are not taken in; other lengths are no account numbers."""
+    good = ["DE89 3704 0044 0532 0130 00 BIC: COBADEFF", "DE89370400440532013000 12 EUR", "GB29 NWBK 6016 1331 9268 19 IBAN", "NO93 8601 1117 947 KONTO 5",
+            "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606 X"]
+    bad = ["DE89 3704 0044 0532 0130 0", "DE8937040044053201300012", "DE88370400440532013000", "QQ89370400440532013000", "xDE89370400440532013000"]
+    df = spark.createDataFrame([(i, f"iban {t}") for i, t in enumerate(good + bad)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["end"] - s["start"]) for s in r["pii"] if s["kind"] == "iban"] for r in find_pii(df).collect()}
+    assert [got[i] for i in range(len(good))] == [[("iban", n)] for n in (27, 22, 27, 18, 31, 33)]
+    assert all(got[len(good) + i] == [] for i in range(len(bad)))
