@@ -9,6 +9,8 @@ task adds up its own gradient, so a row stays one row however many classes exist
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,16 +125,28 @@ def _minimise(value: Callable, theta: np.ndarray, max_iter: int, tol: float) ->
     return theta, False
 
 
-def fit_head(
-    df: DataFrame, features: str, label: str, eps: float = fixed.LABEL_SMOOTHING,
-    reg: float = fixed.WEIGHT_DECAY, balanced: bool = True, max_iter: int = 30, tol: float = 1e-6,
-    start: LinearScorer | None = None,
-) -> LinearScorer:
-    """Head with the least mean smoothed cross entropy plus ``reg/2`` times the
-    squared weights (of features scaled to unit variance; the bias is free).
+@dataclass
+class Problem:
+    """The rows of a training set, cached, and what every step needs to know of them: names of the classes, number of
+    features, their weighted centre and spread, the sum of weights."""
 
-    ``start`` warm-starts from another head: classes it knows take its weights, new
-    classes begin at zero. ``converged`` of the result is false if ``max_iter`` ended the search."""
+    rows: DataFrame
+    names: list[str]
+    width: int
+    centre: np.ndarray
+    spread: np.ndarray
+    weight: float
+    eps: float
+    n_parts: int
+
+    def value(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and its gradient at weights (of scaled features) and biases, one row per class; one distributed pass."""
+        t = _total(self.rows, _step(theta, self.centre, self.spread, self.eps), self.n_parts) / self.weight
+        return t[0], t[1:].reshape(theta.shape)
+
+
+@contextmanager
+def _problem(df: DataFrame, features: str, label: str, eps: float, balanced: bool) -> Iterator[Problem]:
     vocab = settle(class_vocabulary(df, label))
     names = [str(n) for n in vocabulary_names(vocab)]
     indexed = class_index(df.filter(F.col(features).isNotNull()).select(features, label), label, vocab)
@@ -146,12 +160,41 @@ def fit_head(
         centre = m[1:width + 1] / weight
         spread = np.sqrt(np.maximum(m[width + 1:] / weight - centre**2, 0.0))
         spread[spread < 1e-12] = 1.0
+        yield Problem(rows, names, width, centre, spread, weight, eps, n_parts)
+    finally:
+        rows.unpersist()
+
+
+def first_gradient(
+    df: DataFrame, features: str, label: str, eps: float = fixed.LABEL_SMOOTHING, balanced: bool = True,
+) -> DataFrame:
+    """(class_name, feature, gradient): the slope of the loss at zero weights, per class and scaled feature; feature -1 is the bias.
+
+    Large values tell which features separate which classes before any training; there the gradient has a closed form."""
+    with _problem(df, features, label, eps, balanced) as problem:
+        _, slope = problem.value(np.zeros((len(problem.names), problem.width + 1)))
+    rows = [(n, j if j < problem.width else -1, float(slope[i, j])) for i, n in enumerate(problem.names) for j in range(problem.width + 1)]
+    return df.sparkSession.createDataFrame(rows, "class_name string, feature int, gradient double")
+
+
+def fit_head(
+    df: DataFrame, features: str, label: str, eps: float = fixed.LABEL_SMOOTHING,
+    reg: float = fixed.WEIGHT_DECAY, balanced: bool = True, max_iter: int = 30, tol: float = 1e-6,
+    start: LinearScorer | None = None,
+) -> LinearScorer:
+    """Head with the least mean smoothed cross entropy plus ``reg/2`` times the
+    squared weights (of features scaled to unit variance; the bias is free).
+
+    ``start`` warm-starts from another head: classes it knows take its weights, new
+    classes begin at zero. ``converged`` of the result is false if ``max_iter`` ended the search."""
+    with _problem(df, features, label, eps, balanced) as problem:
+        names, width, centre, spread = problem.names, problem.width, problem.centre, problem.spread
 
         def value(flat):
             theta = flat.reshape(len(names), width + 1)
-            t = _total(rows, _step(theta, centre, spread, eps), n_parts) / weight
-            grad = t[1:].reshape(theta.shape) + reg * np.hstack([theta[:, :-1], np.zeros((len(names), 1))])
-            return t[0] + reg / 2 * (theta[:, :-1] ** 2).sum(), grad.ravel()
+            loss, slope = problem.value(theta)
+            grad = slope + reg * np.hstack([theta[:, :-1], np.zeros((len(names), 1))])
+            return loss + reg / 2 * (theta[:, :-1] ** 2).sum(), grad.ravel()
 
         theta = np.zeros((len(names), width + 1))
         if start is not None:
@@ -164,7 +207,5 @@ def fit_head(
                     theta[k, :-1], theta[k, -1] = w[known[n]] * spread, b[known[n]] + w[known[n]] @ centre
         best, converged = _minimise(value, theta.ravel(), max_iter, tol)
         theta = best.reshape(theta.shape)
-    finally:
-        rows.unpersist()
     weights = theta[:, :-1] / spread
     return LinearScorer(names, weights.tolist(), (theta[:, -1] - weights @ centre).tolist(), converged)

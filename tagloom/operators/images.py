@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tagloom.functions import fixed
+from tagloom.functions.hashing import uniform, uniform_between
 from tagloom.functions.vectors import dct_matrix, lanczos_weights
 from tagloom.operators.sampling import recipe
+from tagloom.operators.sizing import lookup_join
 
 IMAGE_TYPE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 BGR_MODE = 16  # OpenCV's 8-bit, three channels
+TAPS_RADIUS, PASSES = 4.0, 5  # blurs below this radius add up taps, others stack so many boxes
 
 
 def crop_top(df: DataFrame, frac: float = fixed.CROP_FRACTION, when: Column | None = None) -> DataFrame:
@@ -74,21 +77,31 @@ def phash(df: DataFrame, hash_size: int = fixed.HASH_SIZE) -> DataFrame:
         "fingerprint", kernel(img["height"], img["width"], img["nChannels"], img["data"])).drop("image")
 
 
-def _blur_weights(n: int, radius: float) -> np.ndarray:
-    """n x n Gaussian smoothing matrix, the edge value repeated outside."""
-    reach = int(3 * radius + 0.5) or 1
-    offsets = np.arange(-reach, reach + 1)
-    kernel = np.exp(-0.5 * (offsets / radius) ** 2)
-    kernel /= kernel.sum()
-    out = np.zeros((n, n))
-    at = np.clip(np.arange(n)[:, None] + offsets[None, :], 0, n - 1)
-    np.add.at(out, (np.repeat(np.arange(n), len(offsets)), at.ravel()), np.tile(kernel, n))
+def _blur_rows(x: np.ndarray, radius: float) -> np.ndarray:
+    """Gaussian smoothing along the last axis, the edge value repeated outside. A small radius adds up its few taps; a large one is PASSES
+    boxes of the same variance, each a difference of running sums. Work per pixel is bounded whatever the radius."""
+    if radius < TAPS_RADIUS:
+        reach = int(3 * radius + 0.5) or 1
+        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / radius) ** 2)
+        kernel /= kernel.sum()
+        wide = np.pad(x, ((0, 0), (reach, reach)), mode="edge")
+        return sum(k * wide[:, i:i + x.shape[1]] for i, k in enumerate(kernel))
+    variance = radius * radius / PASSES
+    half = int((np.sqrt(12 * variance + 1) - 1) / 2)
+    size = 2 * half + 1
+    # the pixels next to the box count in part, so that any variance is met
+    part = (variance * size - size * (size * size - 1) / 12) / (2 * ((half + 1) ** 2 - variance))
+    out = np.pad(x, ((0, 0), (PASSES * (half + 1), PASSES * (half + 1))), mode="edge")
+    for _ in range(PASSES):
+        sums = np.concatenate([np.zeros((len(out), 1)), np.cumsum(out, axis=1)], axis=1)
+        n = out.shape[1] - size - 1
+        whole = sums[:, 1 + size:1 + size + n] - sums[:, 1:1 + n]
+        out = (whole + part * (out[:, :n] + out[:, size + 1:size + 1 + n])) / (size + 2 * part)
     return out
 
 
 def _blur(gray: np.ndarray, radius: float) -> np.ndarray:
-    h, w = gray.shape
-    smooth = _blur_weights(h, radius) @ gray.astype(np.float64) @ _blur_weights(w, radius).T
+    smooth = _blur_rows(_blur_rows(gray.astype(np.float64), radius).T, radius).T
     return np.clip(np.rint(smooth), 0, 255).astype(np.uint8)
 
 
@@ -116,7 +129,7 @@ def augment(
 
     The recipes are a function of the id, so they are computed as an array on the
     image's own row: no join, and the pixels enter Python once for all variants.
-    Only the pencil kernel exists here. ``fixed_pencil`` gives the one constant
+    All recipes are pencil recipes here; :func:`augment_recipes` draws a table of recipes. ``fixed_pencil`` gives the one constant
     drawing (radius 21, alpha 0.5) instead."""
     if fixed_pencil:
         one = F.struct(
@@ -130,9 +143,42 @@ def augment(
         recipes = F.transform(recipes, lambda r: F.struct(
             r["style"].alias("style"), r["blur_radius"].alias("blur_radius"),
             r["alpha"].alias("alpha"), r["post_blur"].alias("post_blur")))
+    return _drawn(df, recipes)
+
+
+def drawable(recipes: DataFrame, id_col: str, seed: int = fixed.SEED) -> DataFrame:
+    """The recipes with only styles that are drawn here: an edge or threshold recipe becomes a pencil recipe, with the radius and
+    alpha that its item and variant draw; whether it is applied and its last blur stay."""
+    def u(field: str) -> Column:
+        return uniform(f"{seed}:{field}", F.col(id_col), F.col("variant"))
+
+    other = ~F.col("style").isin("none", "pencil")
+    none = F.lit(None).cast("int")
+    return recipes.withColumns({
+        "style": F.when(other, "pencil").otherwise(F.col("style")),
+        "blur_radius": F.when(other, uniform_between(*fixed.PENCIL_RADIUS, u("radius"))).otherwise(F.col("blur_radius")),
+        "alpha": F.when(other, uniform_between(*fixed.PENCIL_ALPHA, u("alpha"))).otherwise(F.col("alpha")),
+        **{c: F.when(~other, F.col(c)).otherwise(none) for c in ("lo", "hi", "block", "c") if c in recipes.columns}})
+
+
+def augment_recipes(df: DataFrame, recipes: DataFrame, id_col: str, seed: int = fixed.SEED) -> DataFrame:
+    """One drawn copy per image and recipe of its id: the columns of ``df`` with a new ``image``, plus ``variant`` and ``style``.
+
+    ``recipes`` is (id, variant, style, blur_radius, alpha, post_blur, ...), for example :func:`draw_recipes` or the second phase's table;
+    styles without a kernel are drawn as :func:`drawable` says. The recipes of an id come to its image in one measured join: pixels move
+    only if the recipes are too many to broadcast. An image without recipes is not drawn; ids in ``recipes`` are not NULL."""
+    plan = drawable(recipes, id_col, seed).select(
+        id_col, F.struct(F.col("variant").cast("int").alias("variant"), "style", "blur_radius", "alpha", "post_blur").alias("__r"))
+    plans = plan.groupBy(id_col).agg(F.sort_array(F.collect_list("__r")).alias("__plans"))
+    planned = lookup_join(df, plans, [id_col], how="inner")
+    return _drawn(planned.drop("__plans"), F.col("__plans"), planned)
+
+
+def _drawn(df: DataFrame, recipes: Column, source: DataFrame | None = None) -> DataFrame:
+    """Copies of the images of ``df`` after an array of recipes on each row (of ``source``, if it has more columns)."""
     keep: Sequence[str] = [c for c in df.columns if c != "image"]
     img = F.col("image")
-    flat = df.filter(img["height"] > 0).select(
+    flat = (df if source is None else source).filter(img["height"] > 0).select(
         *keep, img["origin"].alias("__origin"), img["height"].alias("__h"), img["width"].alias("__w"),
         img["nChannels"].alias("__c"), img["data"].alias("__data"), recipes.alias("__recipes"))
     n_kept = len(keep)
@@ -149,8 +195,9 @@ def augment(
                 px = _pixels(h, w, c, row.column(n_kept + 4)[0].as_buffer())
                 plans = row.column(n_kept + 5)[0].as_py()
                 copies = row.select(range(n_kept + 3)).take(pa.array([0] * len(plans)))
+                variants = [r.get("variant", i) for i, r in enumerate(plans)]
                 yield pa.RecordBatch.from_arrays(
-                    [*copies.columns[:n_kept], pa.array(range(len(plans)), pa.int32()), pa.array([r["style"] for r in plans], pa.string()),
+                    [*copies.columns[:n_kept], pa.array(variants, pa.int32()), pa.array([r["style"] for r in plans], pa.string()),
                      *copies.columns[n_kept:], pa.array([_draw(px, r).tobytes() for r in plans], pa.binary())], names=schema.names)
 
     drawn = flat.mapInArrow(run, schema)

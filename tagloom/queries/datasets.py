@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import fixed
 from tagloom.functions.vectors import median_bits
+from tagloom.operators.images import augment_recipes
 from tagloom.operators.ranking import dedup_first
 from tagloom.operators.sampling import stratified_split
 from tagloom.operators.sizing import scratch_path, settle
 from tagloom.plans.curation import catalogue_items, curate
 from tagloom.plans.training import prepare, second_phase
+from tagloom.queries.files import tiny_images
 from tagloom.queries.ordering import ORDER_PAGES_SQL, order_pages
 from tagloom.queries.registry import query, table
 from tagloom.queries.sampling import recipes_sql, resample_sql, rounded_recipes
@@ -86,6 +88,21 @@ def phase_two(spark, sf):
     return rounded_recipes(second_phase(settle(stratified_split(docs, "lang", "doc_id")), "doc_id", variants=2))
 
 
+_VEC_SPLIT_SQL = f"sp AS ({split_sql('(SELECT vec_id, label FROM embeddings)', 'label', 'vec_id')})"
+
+
+@query("p4_drawn", f"""WITH {_VEC_SPLIT_SQL}, held AS (SELECT * FROM sp WHERE split <> 'train'), tr AS (SELECT * FROM sp WHERE split = 'train'),
+recipes AS (SELECT * FROM ({recipes_sql('tr', 'vec_id', 2, 0.9, fixed.SKETCH_STYLES)}) UNION ALL SELECT * FROM ({recipes_sql('held', 'vec_id', 1, 1.0, ('pencil',))}))
+SELECT vec_id, variant, CASE WHEN style = 'none' THEN 'none' ELSE 'pencil' END AS style, style <> 'none' AS changed, 192 AS bytes FROM recipes""")
+def phase_two_drawn(spark, sf):
+    """The second phase's recipes turned into pixels: every recipe gives an image, and all but the plain copies differ from theirs."""
+    items = settle(stratified_split(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id"))
+    pictures = tiny_images(spark, sf).withColumn("before", F.col("image.data"))
+    drawn = augment_recipes(pictures, second_phase(items, "vec_id", variants=2), "vec_id")
+    once = F.unhex(F.regexp_replace(F.hex("before"), "(..)", "$1$1$1"))
+    return drawn.select("vec_id", "variant", "style", (F.col("image.data") != once).alias("changed"), F.octet_length("image.data").alias("bytes"))
+
+
 @query("p5_catalogue_items", f"""WITH {ORDER_PAGES_SQL}, wanted AS (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'),
 capped AS (SELECT *, 'card_' || o_orderkey || '.png' AS file_name, row_number() OVER (PARTITION BY o_custkey ORDER BY page, pos) AS rn
   FROM paged, scan WHERE page <= reached AND o_orderpriority <> '' AND o_custkey IN (SELECT c_custkey FROM wanted))

@@ -121,6 +121,79 @@ def phash(spark, sf):
     return images.phash(tiny_images(spark, sf))
 
 
+_WIDE_PIXEL = "({b} * (1 + i // 64 * 7) + (i // 32) * (i % 32) * 13) % 256"
+
+
+@query("i2_phash_wide", f"""WITH px AS (SELECT vec_id, i // 32 AS y, i % 32 AS x, {_WIDE_PIXEL.format(b='b[i % 64 + 1]')} AS v FROM (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor((x * 0.5 + 0.5) * 255)::BIGINT) AS b FROM embeddings), (SELECT unnest(range(1024)) AS i)),
+k AS (SELECT unnest(range(8)) AS k),
+across AS (SELECT vec_id, y, k AS u, sum(v * cos(pi() * k * (2 * x + 1) / 64)) AS s FROM px, k GROUP BY ALL),
+low AS (SELECT vec_id, k * 8 + u AS place, sum(s * cos(pi() * k * (2 * y + 1) / 64)) AS c FROM across, k GROUP BY ALL),
+middle AS (SELECT vec_id, median(c) AS m FROM low GROUP BY vec_id)
+SELECT vec_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY place) AS bits FROM low JOIN middle USING (vec_id) GROUP BY vec_id""")
+def phash_wide(spark, sf):
+    """Images of 32 x 32 pixels, so that nothing is resized; the pixels mix the coordinates of a vector with the place."""
+    v = vectors(spark, sf)
+    b = F.transform("embedding", lambda x: F.floor((x.cast("double") * 0.5 + 0.5) * 255))
+
+    def pixel(i):
+        rows, columns = F.floor(i / 32), i % 32
+        value = (F.get(F.col("b"), (i % 64).cast("int")) * (1 + F.floor(i / 64) * 7) + rows * columns * 13) % 256
+        return F.lpad(F.hex(value.cast("long")), 2, "0")
+
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1023)), pixel), ""))
+    image = F.struct(F.col("file_name").alias("origin"), F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"),
+                     F.lit(0).alias("mode"), data.alias("data"))
+    wide = v.withColumn("b", b).select("vec_id", image.alias("image"))
+    return images.phash(wide).select("vec_id", F.lpad(F.conv("fingerprint", 16, 2), 64, "0").alias("bits"))
+
+
+def _small_recipes(spark, sf):
+    """Two recipes per vector: pencil with a radius below four, or none; the second softens."""
+    v = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"))
+    drawn = (F.col("vec_id") + F.col("variant")) % 4 > 0
+    return v.select(
+        "vec_id", "variant", F.when(drawn, "pencil").otherwise("none").alias("style"),
+        F.when(drawn, F.lit(0.5) + ((F.col("vec_id") * 7 + F.col("variant") * 3) % 12) * F.lit(0.25)).alias("blur_radius"),
+        F.when(drawn, F.lit(0.35) + (F.col("vec_id") % 9) * F.lit(0.05)).alias("alpha"),
+        F.when(drawn & (F.col("variant") == 1), F.lit(0.8)).alias("post_blur"))
+
+
+def _blur_sql(name: str, source: str, radius: str) -> str:
+    """CTEs that smooth ``source`` (vec_id, variant, y, x, v, and columns r) by its taps along x, then y, the edge repeated."""
+    taps = f"greatest(1, floor(3 * {radius} + 0.5))::BIGINT"
+    weight = f"exp(-0.5 * (t / {radius}) ^ 2)"
+    return f"""{name}_t AS (SELECT DISTINCT vec_id, variant, {radius} AS radius, unnest(range(-{taps}, {taps} + 1)) AS t FROM {source}),
+{name}_k AS (SELECT *, {weight.replace(radius, 'radius')} / sum({weight.replace(radius, 'radius')}) OVER (PARTITION BY vec_id, variant) AS k FROM {name}_t),
+{name}_x AS (SELECT k.vec_id, k.variant, s.y, o.x, sum(k.k * s.v) AS v FROM {name}_k k, (SELECT unnest(range(8)) AS x) o
+  JOIN {source} s ON s.vec_id = k.vec_id AND s.variant = k.variant AND s.x = least(greatest(o.x + k.t, 0), 7) GROUP BY ALL),
+{name} AS (SELECT k.vec_id, k.variant, o.y, s.x, least(greatest(round_even(sum(k.k * s.v), 0), 0), 255)::BIGINT AS v FROM {name}_k k, (SELECT unnest(range(8)) AS y) o
+  JOIN {name}_x s ON s.vec_id = k.vec_id AND s.variant = k.variant AND s.y = least(greatest(o.y + k.t, 0), 7) GROUP BY ALL)"""
+
+
+@query("i3_augment_recipes", f"""WITH plan AS (SELECT vec_id, variant, (vec_id + variant) % 4 > 0 AS drawn, 0.5::DOUBLE + ((vec_id * 7 + variant * 3) % 12) * 0.25::DOUBLE AS r,
+  0.35::DOUBLE + (vec_id % 9) * 0.05::DOUBLE AS alpha FROM embeddings, (SELECT unnest([0, 1]) AS variant)),
+px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, floor((embedding[i + 1]::DOUBLE * 0.5 + 0.5) * 255)::BIGINT AS g FROM embeddings, (SELECT unnest(range(64)) AS i)),
+inverse AS (SELECT p.vec_id, p.variant, p.r, y, x, 255 - g AS v FROM px JOIN plan p USING (vec_id) WHERE drawn),
+{_blur_sql('dark', 'inverse', 'r')},
+pencil AS (SELECT d.vec_id, d.variant, d.y, d.x, floor(g::DOUBLE + p.alpha * ((255 - d.v)::DOUBLE - g::DOUBLE))::BIGINT AS v, 0.8::DOUBLE AS r
+  FROM dark d JOIN px USING (vec_id, y, x) JOIN plan p ON p.vec_id = d.vec_id AND p.variant = d.variant),
+sharp AS (SELECT * FROM pencil WHERE variant = 1),
+{_blur_sql('soft', 'sharp', 'r')},
+final AS (SELECT vec_id, variant, y, x, v, 'pencil' AS style FROM pencil WHERE variant = 0 UNION ALL SELECT vec_id, variant, y, x, v, 'pencil' FROM soft
+  UNION ALL SELECT p.vec_id, p.variant, y, x, g, 'none' FROM px JOIN plan p USING (vec_id) WHERE NOT drawn)
+SELECT vec_id, variant::INT AS variant, style, sum(v)::BIGINT AS total, sum(v * (y * 8 + x + 1))::BIGINT AS placed FROM final GROUP BY ALL""")
+def augment_recipes(spark, sf):
+    """A table of recipes turned into pixels; two sums over the pixels tell them apart."""
+    drawn = images.augment_recipes(tiny_images(spark, sf), _small_recipes(spark, sf), "vec_id")
+    hexed = F.hex("image.data")
+    # of three equal channels the first
+    value = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(hexed.substr(i * 6 + 1, F.lit(2)), 16, 10).cast("long"))
+    weighed = F.transform("v", lambda x, i: x * (i + 1))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return drawn.withColumn("v", value).select("vec_id", "variant", "style", add(F.col("v")).alias("total"), add(weighed).alias("placed"))
+
+
 @query("i3_augment")
 def augment(spark, sf):
     drawn = images.augment(tiny_images(spark, sf), "vec_id", variants=2)

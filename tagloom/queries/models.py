@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.vectors import argmax
 from tagloom.operators import evaluation, scoring
-from tagloom.operators.head import fit_head
+from tagloom.operators.head import first_gradient, fit_head
 from tagloom.operators.sampling import stratified_split
 from tagloom.operators.sizing import settle
 from tagloom.queries.registry import query
@@ -235,3 +235,16 @@ def head(spark, sf):
     best = F.get("predictions", F.lit(0))
     return scoring.score(v, model, "embedding", k=1).select(
         "vec_id", "cls", "split", best["name"].alias("name"), F.round(best["confidence"], 2).alias("confidence"))
+
+
+@query("m1_head_gradient", f"""WITH {VECTORS_SQL}, items AS (SELECT vec_id, cls, embedding::DOUBLE[] AS e, 1.0::DOUBLE / count(*) OVER (PARTITION BY cls) AS w FROM vecs),
+long AS (SELECT vec_id, cls, w, unnest(range(len(e))) AS j, unnest(e) AS x FROM items),
+moments AS (SELECT j, sum(w) AS total, sum(w * x) / sum(w) AS centre, sqrt(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ^ 2) AS spread FROM long GROUP BY j),
+classes AS (SELECT cls AS class_name, count(*) OVER () AS k FROM (SELECT DISTINCT cls FROM items)),
+sums AS (SELECT c.class_name, l.j, sum(l.w * (1.0::DOUBLE / c.k - 0.1::DOUBLE / c.k - CASE WHEN l.cls = c.class_name THEN 0.9::DOUBLE ELSE 0 END) * (l.x - m.centre) / m.spread) / any_value(m.total) AS g
+  FROM long l JOIN moments m USING (j), classes c GROUP BY 1, 2),
+bias AS (SELECT c.class_name, -1 AS j, sum(i.w * (0.9::DOUBLE / c.k - CASE WHEN i.cls = c.class_name THEN 0.9::DOUBLE ELSE 0 END)) / sum(i.w) AS g FROM items i, classes c GROUP BY 1)
+SELECT class_name, j::INT AS feature, round(g, 6) + 0.0 AS gradient FROM (SELECT * FROM sums UNION ALL SELECT * FROM bias)""")
+def head_gradient(spark, sf):
+    """The first step of head training in closed form: uniform answers, smoothed targets, balanced classes, scaled features."""
+    return first_gradient(vectors(spark, sf), "embedding", "cls").withColumn("gradient", F.round("gradient", 6) + F.lit(0.0))
