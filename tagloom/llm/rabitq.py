@@ -2,8 +2,9 @@
 
 A vector is turned by random rotations; the signs are its code, and the share of the vector that the code keeps is stored as a
 correction factor. With it the product of a code and another, turned vector is an unbiased estimate of the two vectors'
-inner product, with a known spread. Vectors meet if a band of their codes is equal; estimates and their confidence
-bounds decide which of these pairs are computed exactly.
+inner product, with a known spread. Vectors meet if a band of their codes is equal. Only codes travel there: the number of bits
+in which two codes differ, with its spread at the threshold, rules most pairs out. For the rest the vectors are fetched, estimates and their
+confidence bounds decide which pairs are computed exactly.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -21,11 +22,11 @@ from tagloom.llm.components import components
 
 THRESHOLD = 0.9
 #: Chance that a pair exactly at the threshold meets in some table; vectors of other pairs in a bucket, on average.
-RECALL, CROWD = 0.98, 8
+RECALL, CROWD = 0.98, 64
 #: Half width of the confidence interval, in spreads.
 SPREADS = 4.5
-#: Rows that are compared at once; larger buckets are dealt in blocks and compared block by block.
-BLOCK = 1024
+#: Rows that are compared at once; larger buckets are dealt in blocks and compared block by block. Buckets up to SMALL go pair by pair.
+BLOCK, SMALL = 1024, 32
 SEED = 20
 
 
@@ -72,7 +73,11 @@ def estimate_and_bound(turned: np.ndarray, signs: np.ndarray, factor: np.ndarray
     of their confidence interval per column."""
     d = turned.shape[1]
     estimate = (turned @ signs.T) / (math.sqrt(d) * factor)
-    return estimate, SPREADS * np.sqrt(np.maximum(0, 1 - factor ** 2)) / factor / math.sqrt(max(1, d - 1))
+    return estimate, _bound(factor, d)
+
+
+def _bound(factor: np.ndarray, d: int) -> np.ndarray:
+    return SPREADS * np.sqrt(np.maximum(0, 1 - factor ** 2)) / factor / math.sqrt(max(1, d - 1))
 
 
 def _vectors(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,16 +117,15 @@ def _unit(data: list[bytes]) -> np.ndarray:
 
 
 def coded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
-    """node, vector, copies with code, factor and band values."""
-    schema = T.StructType([*nodes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType()),
-                           T.StructField("bands", T.ArrayType(T.LongType()))])
+    """node, size (bytes of the vector), code, factor and band values of every node; the vector stays behind."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("code", T.BinaryType()),
+                           T.StructField("factor", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
-    at = nodes.columns.index("vector")
 
     def run(batches):
         rotations = Rotations(bits, bands)
         for batch in batches:
-            data = batch.column(at).to_pylist()
+            data = batch.column(1).to_pylist()
             code, factor, values = [None] * len(data), np.zeros(len(data)), [None] * len(data)
             for size in {len(x) for x in data}:
                 rows = [i for i, x in enumerate(data) if len(x) == size]
@@ -129,70 +133,109 @@ def coded(nodes: DataFrame, bits: int, bands: int) -> DataFrame:
                 factor[rows] = f
                 for k, i in enumerate(rows):
                     code[i], values[i] = c[k].tobytes(), v[k]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(code, pa.binary()), pa.array(factor), pa.array(values, pa.list_(pa.int64()))], schema=arrow)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(x) for x in data], pa.int32()), pa.array(code, pa.binary()), pa.array(factor),
+                pa.array(values, pa.list_(pa.int64()))], schema=arrow)
 
-    return nodes.mapInArrow(run, schema)
+    return nodes.select("node", "vector").mapInArrow(run, schema)
 
 
-class Compare:
-    """Links within buckets: what each node gains and edges that connect what is linked."""
+class Buckets:
+    """Pairs within buckets of one dimension."""
 
     def __init__(self, bits: int, bands: int, threshold: float):
         self.rotations, self.threshold = Rotations(bits, bands), threshold
 
     def _rows(self, rows: pa.Table) -> dict:
-        d = len(rows["vector"][0].as_py()) // 8
         code = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(rows), -1)
-        unit = _unit(rows["vector"].to_pylist())
-        first = self.rotations.matrix(d)[:d]
-        return {"d": d, "unit": unit, "turned": unit.astype(np.float32) @ first.T, "code": code, "factor": rows["factor"].to_numpy(),
-                "signs": np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1, "node": rows["node"].to_numpy(),
-                "copies": rows["copies"].to_numpy(), "band": rows["band"].to_numpy(), "block": rows["block"].to_numpy(),
-                "low": rows["low"].to_numpy(), "high": rows["high"].to_numpy()}
-
-    def _links(self, x: dict, i: np.ndarray, j: np.ndarray):
-        """Of candidate pairs, those that this bucket has to report."""
-        wide = x["block"][i] + x["block"][j] == x["low"][i] + x["high"][i]  # one of each block, or both of the one
+        return {"d": rows["size"][0].as_py() // 8, "code": code,
+                **{c: rows[c].to_numpy() for c in ("node", "band", "block", "low", "high")}}
+
+    def _own(self, x: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidate pairs, those that this bucket has to look at: one of each of its two blocks, or both of the one, and equal
+        in no earlier band."""
+        wide = x["block"][i] + x["block"][j] == x["low"][i] + x["high"][i]
         wide &= (x["block"][i] != x["block"][j]) | (x["low"][i] == x["high"][i])
         i, j = i[wide], j[wide]
-        exact = np.einsum("pd,pd->p", x["unit"][i], x["unit"][j]) >= self.threshold
-        i, j = i[exact], j[exact]
         first = self.rotations.same_bands(x["code"][i], x["code"][j], x["d"]) == x["band"][i]
         return i[first], j[first]
 
-    def __call__(self, rows: pa.Table, group: np.ndarray):
-        """rows of whole groups, one dimension; group: the group of each row, ascending."""
-        x, n = self._rows(rows), len(group)
+    def candidates(self, x: dict, group: np.ndarray, few, many):
+        """Pairs i < j of rows of one group that pass a test: ``few`` on index arrays, ``many`` on two slices (a matrix of truth)."""
+        n = len(group)
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(starts, n))
-        left, right = [], []
-        small = np.repeat(sizes <= 64, sizes)
-        for step in range(1, int(sizes[sizes <= 64].max(initial=0))):
+        small = np.repeat(sizes <= SMALL, sizes)
+        for step in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
             i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
             for a in range(0, len(i), 1 << 17):
                 p, q = i[a:a + (1 << 17)], i[a:a + (1 << 17)] + step
-                e = np.einsum("pd,pd->p", x["turned"][p], x["signs"][q]) / (math.sqrt(x["d"]) * x["factor"][q])
-                bound = SPREADS * np.sqrt(np.maximum(0, 1 - x["factor"][q] ** 2)) / x["factor"][q] / math.sqrt(max(1, x["d"] - 1))
-                need = e + bound >= self.threshold
-                found = self._links(x, p[need], q[need])
-                left.append(found[0])
-                right.append(found[1])
-        for s, size in zip(starts[sizes > 64], sizes[sizes > 64]):
+                need = few(p, q)
+                yield self._own(x, p[need], q[need])
+        for s, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
             for a in range(s, s + size, BLOCK):
                 b = slice(a, min(a + BLOCK, s + size))
                 for c in range(a, s + size, BLOCK):
                     e = slice(c, min(c + BLOCK, s + size))
-                    est, bound = estimate_and_bound(x["turned"][b], x["signs"][e], x["factor"][e])
-                    p, q = np.nonzero(est + bound >= self.threshold)
+                    p, q = np.nonzero(many(b, e))
                     p, q = p + a, q + c
                     for k in range(0, len(p), 1 << 17):
                         u, v = p[k:k + (1 << 17)], q[k:k + (1 << 17)]
-                        found = self._links(x, u[u < v], v[u < v])
-                        left.append(found[0])
-                        right.append(found[1])
+                        yield self._own(x, u[u < v], v[u < v])
+
+
+class Undecided(Buckets):
+    """What codes alone leave open: nodes with a partner whose code differs in no more bits than chance allows at the threshold."""
+
+    def most_bits(self, total: int) -> float:
+        """Signs of two vectors at the threshold differ with chance angle / pi each."""
+        p = math.acos(self.threshold) / math.pi
+        return total * p + SPREADS * math.sqrt(total * p * (1 - p))
+
+    def __call__(self, rows: pa.Table, group: np.ndarray) -> np.ndarray:
+        x, marked = self._rows(rows), np.zeros(len(rows), bool)
+        total = self.rotations.matrix(x["d"]).shape[0]
+        most = self.most_bits(total)
+        signs = np.unpackbits(x["code"], axis=1, count=total).astype(np.float32) * 2 - 1
+
+        def few(p, q):
+            return np.bitwise_count(x["code"][p] ^ x["code"][q]).sum(axis=1) <= most
+
+        def many(b, e):
+            return (total - signs[b] @ signs[e].T) / 2 <= most
+
+        for i, j in self.candidates(x, group, few, many):
+            marked[i] = marked[j] = True
+        return marked
+
+
+class Compare(Buckets):
+    """Links within buckets: what each node gains and edges that connect what is linked. Estimates from the turned vector of one side and the
+    code and factor of the other, with their bounds, decide which pairs are computed exactly."""
+
+    def __call__(self, rows: pa.Table, group: np.ndarray):
+        """rows of whole groups, one dimension; group: the group of each row, ascending."""
+        x, n = self._rows(rows), len(group)
+        d, unit, factor = x["d"], _unit(rows["vector"].to_pylist()), rows["factor"].to_numpy()
+        turned = unit.astype(np.float32) @ self.rotations.matrix(d)[:d].T
+        signs = np.unpackbits(x["code"], axis=1, count=d).astype(np.float32) * 2 - 1
+        copies = rows["copies"].to_numpy()
+
+        def few(p, q):
+            e = np.einsum("pd,pd->p", turned[p], signs[q]) / (math.sqrt(d) * factor[q])
+            return e + _bound(factor[q], d) >= self.threshold
+
+        def many(b, e):
+            estimate, bound = estimate_and_bound(turned[b], signs[e], factor[e])
+            return estimate + bound >= self.threshold
+
+        left, right = [], []
+        for i, j in self.candidates(x, group, few, many):
+            exact = np.einsum("pd,pd->p", unit[i], unit[j]) >= self.threshold
+            left.append(i[exact])
+            right.append(j[exact])
         i, j = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (left, right))
-        gain = np.bincount(i, x["copies"][j], n) + np.bincount(j, x["copies"][i], n)
+        gain = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
         root = np.arange(n)
         while len(i):  # smallest row that is reached, within the groups
             new = root.copy()
@@ -207,34 +250,33 @@ class Compare:
         return x["node"][own], gain[own].astype(np.int64), x["node"][hung], x["node"][root[hung]]
 
 
-def compared(met: DataFrame, bits: int, bands: int, threshold: float) -> DataFrame:
-    """Per task and node of a bucket: other, null with the links gained, or a node that it is connected to."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType()), T.StructField("other", T.LongType())])
+KEYS = ["size", "band", "value", "low", "high"]
+
+
+def _bucketwise(met: DataFrame, schema: T.StructType, make) -> DataFrame:
+    """Bring the rows of a bucket (or of two of its blocks) together and hand whole buckets of one dimension to the function that
+    ``make`` gives; it takes (rows, group of each row) and returns columns."""
     arrow = to_arrow_schema(schema)
-    keys = ["size", "band", "value", "low", "high"]
 
     def run(batches):
-        compare = Compare(bits, bands, threshold)
+        work = make()
 
         def result(rows: pa.Table):
-            k = [rows[c].to_numpy() for c in keys]
+            k = [rows[c].to_numpy() for c in KEYS]
             change = np.zeros(len(rows), bool)
             for c in k:
                 change[1:] |= c[1:] != c[:-1]
             group = np.cumsum(change)
             cut = np.flatnonzero(np.append(True, k[0][1:] != k[0][:-1]))
             for a, b in zip(cut, np.append(cut[1:], len(rows))):
-                own, gain, hung, root = compare(rows.slice(a, b - a), group[a:b])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([own, hung])), pa.array([*gain.tolist(), *[None] * len(hung)], pa.int64()),
-                    pa.array([*[None] * len(own), *root.tolist()], pa.int64())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(work(rows.slice(a, b - a), group[a:b]), arrow)], schema=arrow)
 
         held = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
             last = np.ones(len(held), bool)
-            for c in keys:
+            for c in KEYS:
                 v = held[c].to_numpy()
                 last &= v == v[-1]
             done = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
@@ -244,7 +286,58 @@ def compared(met: DataFrame, bits: int, bands: int, threshold: float) -> DataFra
         if held is not None and len(held):
             yield from result(held)
 
-    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return met.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, schema)
+
+
+def undecided(met: DataFrame, bits: int, bands: int, threshold: float) -> DataFrame:
+    """KEYS, block and node of the rows of buckets that have a partner there which their codes leave open."""
+    kept = [*KEYS, "block", "node"]
+
+    def make():
+        buckets = Undecided(bits, bands, threshold)
+
+        def work(rows, group):
+            at = np.flatnonzero(buckets(rows, group))
+            return [rows[c].to_numpy()[at] for c in kept]
+
+        return work
+
+    return _bucketwise(met, T.StructType([met.schema[c] for c in kept]), make)
+
+
+def compared(met: DataFrame, bits: int, bands: int, threshold: float) -> DataFrame:
+    """Per task and node of a bucket: other, null with the links gained, or a node that it is connected to."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType()), T.StructField("other", T.LongType())])
+
+    def make():
+        compare = Compare(bits, bands, threshold)
+
+        def work(rows, group):
+            own, gain, hung, root = compare(rows, group)
+            return (np.concatenate([own, hung]), [*gain.tolist(), *[None] * len(hung)], [*[None] * len(own), *root.tolist()])
+
+        return work
+
+    return _bucketwise(met, schema, make)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``rows`` with node, a number of 64 bits for each distinct vector. Vectors that share a hash (their second hashes tell) are
+    numbered by another one."""
+    from tagloom.operators.sizing import lookup_join
+
+    rows = written(rows.withColumn("node", node_hash(F.col("vector"))), "vectors")
+    second = F.xxhash64(F.lit(1), "vector")
+    clashes = rows.where(F.col("vector").isNotNull()).groupBy("node").agg(F.min(second).alias("a"), F.max(second).alias("b")).where("a < b")
+    clashes = written(clashes.select("node", F.lit(True).alias("clash")), "clashes")
+    if clashes.isEmpty():
+        return rows
+    other = F.xxhash64(F.lit(2), "vector")
+    return written(lookup_join(rows, clashes, ["node"]).withColumn("node", F.when(F.col("clash"), other).otherwise(F.col("node"))).drop("clash"), "vectors")
+
+
+def node_hash(vector) -> Column:
+    return F.xxhash64(vector)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -253,24 +346,28 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     Links are pairs with cosine >= threshold in double precision; none below is reported, one at the threshold
     is found with chance ``recall``, closer ones nearly always. Null, zero and non-finite vectors link with nothing; vectors of
     different lengths do not link. Equal vectors are one node with a number of copies (distinct ids), linked without being
-    compared; a row that repeats an id counts once. A null id takes part but counts for no link. Buckets of any size are dealt in blocks, tasks
-    pass on one sum and one edge per node, never pairs.
+    compared; a row that repeats an id counts once. A null id takes part but counts for no link. An empty table gives no rows; other
+    columns are not read. Nodes meet in buckets as codes of a few bytes; vectors come only to those that the codes leave
+    open, once per bucket. Buckets of any size are dealt in blocks, tasks pass on one sum and one edge per node, never pairs.
     """
-    rows = packed_vectors(vectors).withColumn("node", F.xxhash64("vector"))
-    rows = written(rows, "vectors")
+    from tagloom.operators.sizing import lookup_join
+
+    rows = _named(packed_vectors(vectors))
     ids = rows.where(F.col("vector").isNotNull()).select("node", "vector", "vec_id").distinct()
     nodes = written(ids.groupBy("node").agg(F.first("vector").alias("vector"), F.count("vec_id").alias("copies"), F.min("vec_id").alias("least")), "nodes")
     bits, bands = plan_bands(nodes.count(), threshold, recall)
-    codes = written(coded(nodes.drop("least"), bits, bands), "codes")
-    met = codes.select("node", F.octet_length("vector").alias("size"), F.posexplode("bands").alias("band", "value"))
-    crowds = met.groupBy("size", "band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowds = written(crowds.withColumnsRenamed({"size": "s", "band": "b", "value": "v"}), "crowds")
-    full = codes.select("*", F.octet_length("vector").alias("size"), F.posexplode("bands").alias("band", "value")).drop("bands")
-    full = full.join(crowds, (F.col("size") == F.col("s")) & (F.col("band") == F.col("b")) & (F.col("value") == F.col("v"))).drop("s", "b", "v")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
-    full = full.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks)).withColumn(
+    codes = written(coded(nodes, bits, bands), "codes")
+    met = codes.select("node", "size", "code", F.posexplode("bands").alias("band", "value"))
+    crowds = met.groupBy("size", "band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
+    met = lookup_join(met, written(crowds, "crowds"), ["size", "band", "value"])
+    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("long")
+    met = met.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), blocks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    full = full.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("n", "other")
+    met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("n", "other")
+    open_ = written(undecided(met, bits, bands, threshold), "open")
+    known = codes.select("node", "code", "factor").withColumnRenamed("node", "c")
+    held = nodes.select("node", "vector", "copies").withColumnRenamed("node", "v")
+    full = open_.join(known, F.col("node") == F.col("c")).join(held, F.col("node") == F.col("v")).drop("c", "v")
     found = written(compared(full, bits, bands, threshold), "links")
     links = found.where("links IS NOT NULL").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.where("other IS NOT NULL"), "node", "other").withColumnRenamed("node", "g")
