@@ -50,11 +50,105 @@ def test_cutoffs_reject_junk_and_keep_their_promise(spark):
 def test_noisy_labels_give_no_cutoff():
     import pandas as pd
 
-    counts = {f"{r}_{j}": 300 for r, grid in quality.RULES.items() for j in range(len(grid))}
-    found = quality.choose_cutoffs(pd.DataFrame([{"stratum": "en", "n_good": 1000, **counts}]), 1, 0.02, 0.05)
+    counts = [300] + [0] * (len(quality.path_steps()) - 1)
+    found = quality.choose_cutoffs(pd.DataFrame([{"stratum": "en", "n_good": 1000, "rejected": counts}]), 1, 0.02, 0.05)
     assert found["cutoff"].isna().all()
 
 
+def test_the_path_is_nested_and_ends_at_the_strictest_cutoffs():
+    path = quality.path_steps()
+    assert dict(path) == {r: grid[-1] for r, grid in quality.RULES.items()} and len(path) == sum(map(len, quality.RULES.values()))
+    for r, grid in quality.RULES.items():
+        assert [c for k, c in path if k == r] == list(grid)
+
+
+@pytest.mark.parametrize("n, strata", [(400, 4), (1500, 4), (250, 1)])
+def test_the_promise_holds_in_simulation(n, strata):
+    """200 draws of holdouts from known risks: the chosen step's true risk is over alpha in at most a share delta / strata of them."""
+    alpha, delta, steps = 0.02, 0.05, len(quality.path_steps())
+    failed = chosen_at_all = 0
+    for seed in range(200):
+        r = random.Random(seed)
+        # risks that creep over alpha somewhere on the path
+        share = [r.random() * 2 * alpha * 3 / steps for _ in range(steps)]
+        draws = [0] * steps
+        for _ in range(n):
+            u = r.random()
+            for k, p in enumerate(share):
+                u -= p
+                if u < 0:
+                    draws[k] += 1
+                    break
+        step, bound = quality.chosen_step(draws, n, strata, alpha, delta)
+        chosen_at_all += step is not None
+        failed += step is not None and sum(share[: step + 1]) > alpha
+    assert failed <= 0.05 * 200 and chosen_at_all > (100 if n > 400 else 0)
+
+
+def test_few_hundred_documents_suffice_and_copies_do_not_count(spark):
+    """400 distinct good documents give a stratum cutoffs; 2,500 copies of one text are one trial and give none."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(30)), "few") for i in range(400)] + [(1000 + i, "one two three four five " * 5, "same") for i in range(2500)]
+    rows += [(9000, " ".join(word() + "$$$" for _ in range(30)), "few"), (9001, " ".join(word() + "$$$" for _ in range(30)), "same")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 9000], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.quality_rules(df, labels).collect()}
+    assert not got[9000]["kept"] and got[9001]["kept"]
+    assert got[0]["n_good"] == 400 and got[0]["bound_symbol_share"] <= quality.ALPHA
+
+
+def plain_kept(rows, labels, alpha=quality.ALPHA, delta=quality.DELTA):
+    """The verdicts in plain Python, from the definitions: (doc_id, text, stratum) rows, (doc_id, quality) labels."""
+    bad_end = set("!|#*$%&<>")
+
+    def values(text):
+        ws = plain.split(text)
+        n, chars, symbols, dup, repeat = plain.quality_base(text)
+        lines = [x for x in (text or "").split("\n") if plain.split(x)]
+        marked = sum(w[-1] in bad_end and (len(w) == 1 or w[-2] in bad_end) for w in ws)
+        upper = sum(len(w.encode()) > 1 and w.isupper() for w in ws)
+        share = lambda a, b: a / b if b else 0.0
+        return {"symbol_share": share(symbols, chars), "marked_words": share(marked, n), "dup_line_share": share(dup, len(lines)),
+                "repeat_share": share(repeat, n), "upper_share": share(upper, n)}, n < 20 or 100 * repeat > 30 * n
+
+    path = [(r, grid[j]) for j in range(max(map(len, quality.RULES.values()))) for r, grid in quality.RULES.items() if j < len(grid)]
+    by_id = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            by_id.setdefault(i, []).append(q)
+    good = {i for i, qs in by_id.items() if min(qs) == 1}
+    seen = {i: (text, stratum, *values(text)) for i, text, stratum in rows}
+    trials = {}
+    for i, (text, stratum, vals, failed) in seen.items():
+        if i in good and not failed:
+            trials.setdefault(stratum, {})[text] = vals
+    cuts = {}
+    for stratum, held in trials.items():
+        error, n = delta / len(trials), len(held)
+        active = {}
+        for r, c in path:
+            tried = {**active, r: c}
+            k = sum(any(v[q] > x for q, x in tried.items()) for v in held.values())
+            # the bound is within alpha if k or fewer rejections would be as rare as the error at alpha
+            tail = sum(math.comb(n, i) * alpha ** i * (1 - alpha) ** (n - i) for i in range(k + 1))
+            if tail > error:
+                break
+            active = tried
+        cuts[stratum] = active
+    return {i: not failed and not any(vals[r] > c for r, c in cuts.get(stratum, {}).items()) for i, (_, stratum, vals, failed) in seen.items()}
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_verdicts_equal_a_plain_version(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    want = plain_kept(rows, [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, labels).collect()}
+    assert got == want
+
+
 def test_edges(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, None, "en", 3), (2, "", "en", 3), (3, text, None, 3), (3, text, None, 3), (None, text, "en", 3), (None, "x", "en", 3),
