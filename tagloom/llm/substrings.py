@@ -1,10 +1,13 @@
-"""Duplicate passages by blocks cut by content, in place of a greedy relative Lempel-Ziv parse (README says why).
+"""Duplicate passages by relative Lempel-Ziv parsing.
 
-Every document is parsed into blocks that its own words determine, so equal passages are cut alike: the
-anchor of a window of WINDOW words is its smallest hash of GRAM consecutive words, and a block is a run of windows
-with one anchor. All blocks of all documents are the reference. A block that the reference holds a second time
-is a factor copied as a whole; where only its anchor occurs again, the factor ends inside the block, and just these
-blocks are compared window by window. About 1 in 16 word positions is indexed.
+The corpus is its own reference: its texts are cut in reference blocks of BLOCK words that overlap. A document is parsed from left to right
+against the indexed reference blocks that it can match at all: at each place the longest match in any of them is extended word by word, the
+parse goes on behind it, and a word without a match of WINDOW words is a literal. Factors are duplicate passages; the windows
+over the border behind a factor are looked up too, as another block may hold them.
+
+Which blocks a document can match is found by routing: windows that share their smallest hash of GRAM words (their anchor) lie in pieces
+that the words themselves determine. Equal pieces point to one of their places, and where only anchors are shared single windows do. Routes
+only say where to look: what counts is the extension, which compares words.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tagloom.llm.batches import words, written
+from tagloom.llm.batches import written
 
 WINDOW, GRAM = 35, 6
 #: Word hashes kept per task; emptied when full, which changes no result.
@@ -27,6 +30,8 @@ MEMO = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A span is first window * SPAN + number of windows.
 SPAN = 128
+#: Words of a reference block, and words after which the next one starts; a window lies whole in the block in whose stride it starts.
+BLOCK, STRIDE = 512, 384
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -110,122 +115,225 @@ def _batches(kernel_of, schema: T.StructType):
     return run
 
 
-def _key(text: str) -> Column:
-    """Rows equal in id and text share a key, and thus one result."""
-    return F.xxhash64(F.col("doc_id"), F.col(text))
-
-
-def indexed_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per block of each document: key, anchor, block, span."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "anchor", "block", "span")])
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """num (a number for each row), doc_id and the packed text, written: all that later steps read of the table."""
+    plain = docs.select(F.monotonically_increasing_id().alias("num"), "doc_id", F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([*plain.schema.fields[:2], T.StructField("packed", T.BinaryType())])
 
     def kernel_of():
-        number = WordHashes()
+        pack = zstandard.ZstdCompressor(level=3).compress
 
         def kernel(batch):
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [words(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-            which, anchor, block, first, count = blocks(number([w for p in parts for w in p]), ends)
-            yield keys[which], anchor, block, first * SPAN + count
+            yield batch.column(0), batch.column(1), [pack((t or "").encode()) for t in batch.column(2).to_pylist()]
 
         return kernel
 
-    return docs.select(_key(text).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(_batches(kernel_of, schema), schema)
+    return written(plain.mapInArrow(_batches(kernel_of, schema), schema), "texts")
 
 
-def _packed(docs: DataFrame, text: str) -> DataFrame:
-    """key, doc_id and the compressed text: what a join by key has to move."""
-    plain = docs.select(_key(text).alias("key"), F.col("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([*plain.schema.fields[:2], T.StructField("packed", T.BinaryType())])
+def indexed_blocks(texts: DataFrame) -> DataFrame:
+    """One row per piece of each text: num, anchor, block (hash of the piece), span."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("num", "anchor", "block", "span")])
 
     def kernel_of():
-        pack = zstandard.ZstdCompressor(level=3).compress
+        number, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def kernel(batch):
-            yield batch.column(0), batch.column(1), [pack((t or "").encode()) for t in batch.column(2).to_pylist()]
+            nums = batch.column(0).to_numpy(zero_copy_only=False)
+            parts = [unpack(p).split() for p in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+            which, anchor, block, first, count = blocks(number([w for p in parts for w in p]), ends)
+            yield nums[which], anchor, block, first * SPAN + count
 
         return kernel
 
-    return plain.mapInArrow(_batches(kernel_of, schema), schema)
+    return texts.select("num", "packed").mapInArrow(_batches(kernel_of, schema), schema)
 
 
 def _windows(with_text: DataFrame) -> DataFrame:
-    """The windows of chosen blocks: anchor, hash, key, span (one window), shared."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "hash", "key", "span")] + [T.StructField("shared", T.BooleanType())])
+    """The windows of chosen pieces: anchor, hash, num, span (one window), shared."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "hash", "num", "span")] + [T.StructField("shared", T.BooleanType())])
 
     def kernel_of():
         number, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def kernel(batch):
-            for key, packed, chosen in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes = number(words(unpack(packed).decode()))
+            for num, packed, chosen in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                hashes = number(unpack(packed).split())
                 span = np.array([c["span"] for c in chosen], np.int64)
                 count = span % SPAN
                 which = np.repeat(np.arange(len(span)), count)
                 first = (span // SPAN)[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                 yield (np.array([c["anchor"] for c in chosen], np.int64)[which], _ranges(hashes, first, WINDOW).astype(np.int64),
-                       np.full(len(which), key, np.int64), first * SPAN + 1, np.array([c["shared"] for c in chosen], bool)[which])
+                       np.full(len(which), num, np.int64), first * SPAN + 1, np.array([c["shared"] for c in chosen], bool)[which])
 
         return kernel
 
     return with_text.mapInArrow(_batches(kernel_of, schema), schema)
 
 
-def duplicate_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key and span of runs of windows whose words also start somewhere else in the table."""
-    index = written(indexed_blocks(docs, text), "blocks")
+def _places() -> list[Column]:
+    """The first and the last place of a group of equal pieces or windows."""
+    place = F.struct("num", "span")
+    return [F.min(place).alias("one"), F.max(place).alias("two"), F.count(F.lit(1)).alias("n")]
+
+
+def _route() -> Column:
+    """From a row's place to another of its group: num, ref (a row number) and at (a reference block of it). A piece that starts in one
+    reference block may end in the next, so both ends of its windows are routed."""
+    own = F.struct("num", "span")
+    other = F.when(F.col("one") == own, F.col("two")).otherwise(F.col("one"))
+    first = F.floor(other["span"] / SPAN)
+    last = first + F.pmod(other["span"], F.lit(SPAN)) - 1
+    ends = F.array_distinct(F.array(F.floor(first / STRIDE), F.floor(last / STRIDE)))
+    return F.transform(ends, lambda at: F.struct(F.col("num").alias("num"), other["num"].alias("ref"), at.alias("at")))
+
+
+def routes(texts: DataFrame) -> DataFrame:
+    """num, ref, at: reference blocks (the at-th of row ref) that each text can match. Every window that also starts elsewhere has a route to
+    a block with another of its places; rows move as pieces of about 16 words, windows only where anchors alone are shared."""
+    index = written(indexed_blocks(texts), "blocks")
     again = written(index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("a")), "anchors")
     met = written(index.join(again, F.col("anchor") == F.col("a")).drop("a"), "met")
-    different = met.groupBy("anchor", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "span")).alias("one"))
-    different = written(different.select("anchor", "block", "n", "one.key", "one.span"), "different")
-    # factors copied as whole blocks
-    copied = different.where("n > 1").select(F.col("anchor").alias("a"), F.col("block").alias("b"))
-    whole = met.join(copied, (F.col("anchor") == F.col("a")) & (F.col("block") == F.col("b"))).select("key", "span")
-    # anchors with several different blocks: factors end inside these
+    different = written(met.groupBy("anchor", "block").agg(*_places()), "different")
+    # equal pieces
+    copied = different.where("n > 1").select(F.col("anchor").alias("a"), F.col("block").alias("b"), "one", "two")
+    whole = met.join(copied, (F.col("anchor") == F.col("a")) & (F.col("block") == F.col("b"))).select(F.inline(_route()))
+    # anchors with several different pieces: single windows
     mixed = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("a"))
     edges = different.join(written(mixed, "mixed"), F.col("anchor") == F.col("a"))
-    edges = edges.groupBy("key").agg(F.collect_list(F.struct("anchor", "span", (F.col("n") > 1).alias("shared"))).alias("chosen"))
-    texts = _packed(docs, text).select(F.col("key").alias("k"), "packed")
-    at_edges = _windows(edges.join(texts, F.col("key") == F.col("k")).select("key", "packed", "chosen"))
-    at_edges = written(at_edges, "windows")
-    # repeated rows (equal id and text) bring a block's windows twice, so places are compared, not rows counted
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("key", "span") for f in (F.min, F.max)]
-    twice = at_edges.groupBy("anchor", "hash").agg(*ends).where("min_key < max_key OR min_span < max_span").select(
-        F.col("anchor").alias("a"), F.col("hash").alias("h"))
-    partly = at_edges.where(~F.col("shared")).join(written(twice, "twice"), (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")))
-    return whole.unionByName(partly.select("key", "span"))
+    edges = edges.groupBy("one.num").agg(F.collect_list(F.struct("anchor", "one.span", (F.col("n") > 1).alias("shared"))).alias("chosen"))
+    chosen = edges.join(texts.select(F.col("num").alias("t"), "packed"), F.col("num") == F.col("t")).select("num", "packed", "chosen")
+    windows = written(_windows(chosen), "windows")
+    twice = windows.groupBy("anchor", "hash").agg(*_places()).where("n > 1").select(
+        F.col("anchor").alias("a"), F.col("hash").alias("h"), "one", "two")
+    partly = windows.where(~F.col("shared")).join(written(twice, "twice"), (F.col("anchor") == F.col("a")) & (F.col("hash") == F.col("h")))
+    return written(whole.unionByName(partly.select(F.inline(_route()))).distinct(), "routes")
+
+
+def reference_blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """ref, at, packed: the words of the wanted reference blocks (the at-th STRIDE words of row ref on, BLOCK of them)."""
+    chosen = wanted.groupBy("ref").agg(F.collect_set("at").alias("ats")).join(
+        texts.select(F.col("num").alias("t"), "packed"), F.col("ref") == F.col("t")).select("ref", "packed", "ats")
+    schema = T.StructType([T.StructField("ref", T.LongType()), T.StructField("at", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+    def kernel_of():
+        pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+        def kernel(batch):
+            for ref, packed, ats in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ws = unpack(packed).split()
+                yield [ref] * len(ats), ats, [pack(b" ".join(ws[at * STRIDE:at * STRIDE + BLOCK])) for at in ats]
+
+        return kernel
+
+    return written(chosen.mapInArrow(_batches(kernel_of, schema), schema), "reference")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of equal words at the start of two runs of words."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+class Parser:
+    """Greedy parse of a text against reference blocks. Words are numbered exactly; hashes of windows only propose places."""
+
+    def __init__(self, ws: list[bytes], references: list[tuple[int, list[bytes]]], hashes: WordHashes, window: int = WINDOW):
+        """``references``: (place of its first word in this very text, or -1 if it is of another, words) of each block."""
+        numbers: dict[bytes, int] = {}
+        self.window, self.ids = window, np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
+        self.blocks = [np.array([numbers.setdefault(w, len(numbers)) for w in block], np.int64) for _, block in references]
+        self.own = np.array([p for p, _ in references], np.int64)
+        starts = [np.arange(max(0, len(b) - window + 1)) for b in self.blocks]
+        keys = [_ranges(hashes(block), s, window) if len(s) else np.zeros(0, np.uint64) for (_, block), s in zip(references, starts)]
+        key, block, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (
+            keys, [np.full(len(s), i) for i, s in enumerate(starts)], starts))
+        order = np.argsort(key, kind="stable")
+        self.key, self.block, self.at = key[order], block[order], at[order]
+        n = max(0, len(ws) - window + 1)
+        mine = _ranges(hashes(ws), np.arange(n), window) if n else np.zeros(0, np.uint64)
+        self.low, self.high = np.searchsorted(self.key, mine, "left"), np.searchsorted(self.key, mine, "right")
+        self.proposed = np.flatnonzero(self.high > self.low)
+
+    def longest(self, i: int) -> tuple[int, int, int]:
+        """(length, block, place in it) of the longest match at word i in any block, the first of equally long ones; length 0 if none
+        reaches a window. A place of the text does not match itself."""
+        best = (0, -1, -1)
+        for k in range(self.low[i], self.high[i]):
+            block, at = int(self.block[k]), int(self.at[k])
+            if self.own[block] >= 0 and self.own[block] + at == i:
+                continue
+            n = _common(self.ids[i:], self.blocks[block][at:])
+            if n >= self.window and (n > best[0] or n == best[0] and (block, at) < best[1:]):
+                best = (n, block, at)
+        return best
+
+    def factors(self) -> list[tuple[int, int, int, int]]:
+        """(first word, length, block, place in it) of the factors of a window or more, from left to right."""
+        out, i = [], 0
+        while (k := int(np.searchsorted(self.proposed, i))) < len(self.proposed):
+            i = int(self.proposed[k])
+            n, block, at = self.longest(i)
+            if n:
+                out.append((i, n, block, at))
+            i += n or 1
+        return out
+
+    def covered(self) -> np.ndarray:
+        """Which words a duplicate window covers: the factors, and what matches from a place before the end of a factor over its border."""
+        out = np.zeros(len(self.ids), bool)
+        for i, n, _, _ in self.factors():
+            out[i:i + n] = True
+            end = i + n
+            a, b = np.searchsorted(self.proposed, [max(i, end - self.window + 1), end])
+            for s in self.proposed[a:b].tolist():
+                if self._elsewhere(s):
+                    out[s:s + self.window] = True
+        return out
+
+    def _elsewhere(self, i: int) -> bool:
+        """Whether the window at word i stands in a block at another place."""
+        own = self.ids[i:i + self.window]
+        for k in range(self.low[i], self.high[i]):
+            block, at = int(self.block[k]), int(self.at[k])
+            if (self.own[block] < 0 or self.own[block] + at != i) and np.array_equal(own, self.blocks[block][at:at + self.window]):
+                return True
+        return False
 
 
 def drop_substrings(docs: DataFrame, text: str = "text", kept_text: bool = True) -> DataFrame:
     """Remove repeated passages: doc_id, n_words, n_removed, kept_sha256 and, with ``kept_text``, the kept words.
 
     A word goes if a window of WINDOW words over it also starts anywhere else, in the same text or another. Null and empty texts have no
-    words; texts shorter than a window lose none. Repeated rows are copies of each other and
-    lose all their windows. Texts move twice, compressed, by key; all else that moves is one row per block of about 16 words.
-    Passages count as equal if two 64-bit hashes are; a key is 64 bits of id and text.
+    words; texts shorter than a window lose none, very long ones are parsed whole. Repeated rows are copies of each other and
+    lose all their windows. An empty table gives no rows; other columns are not read. Texts move compressed: once to their routes' pieces where
+    anchors are mixed, the wanted blocks to the texts that point there, and once to be parsed; all else that moves is one row per piece of about 16 words.
+    What is removed matches word for word; a match could be missed only where 64-bit hashes of different windows are equal.
     """
-    spans = duplicate_spans(docs, text).groupBy("key").agg(F.collect_set("span").alias("spans")).withColumnRenamed("key", "k")
-    rows = _packed(docs, text).join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "packed", "spans")
+    texts = _numbered(docs, text)
+    wanted = routes(texts)
+    blocks_ = reference_blocks(texts, wanted.select("ref", "at").distinct())
+    held = wanted.join(blocks_.withColumnsRenamed({"ref": "r", "at": "a"}), (F.col("ref") == F.col("r")) & (F.col("at") == F.col("a")))
+    held = held.groupBy("num").agg(F.collect_list(F.struct("ref", "at", "packed")).alias("blocks")).withColumnRenamed("num", "n")
+    rows = texts.join(held, F.col("num") == F.col("n"), "left").select("doc_id", "packed", "num", "blocks")
     fields = [rows.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
               T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("kept", T.StringType())] * kept_text)
 
     def kernel_of():
-        unpack = zstandard.ZstdDecompressor().decompress
+        number, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def kernel(batch):
             out = []
-            for packed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ws = words(unpack(packed).decode())
+            for packed, num, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                ws = unpack(packed).split()
                 n = len(ws)
-                if spans:
-                    s = np.array(spans, np.int64)
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, s // SPAN, 1)
-                    np.add.at(edge, s // SPAN + s % SPAN + WINDOW - 1, -1)
-                    ws = [ws[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
+                if found:
+                    places = sorted((b["ref"], b["at"], b["packed"]) for b in found)
+                    parser = Parser(ws, [(at * STRIDE if ref == num else -1, unpack(p).split()) for ref, at, p in places], number)
+                    ws = [ws[i] for i in np.flatnonzero(~parser.covered()).tolist()]
                 kept = b" ".join(ws)
                 out.append((n, n - len(ws), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * kept_text)))
             yield batch.column(0), *([list(x) for x in zip(*out)] or [[]] * (len(fields) - 1 + kept_text))

@@ -1,9 +1,10 @@
 import random
 
 import plain
+import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm.substrings import drop_substrings
+from tagloom.llm.substrings import Parser, WordHashes, drop_substrings
 
 
 def compare(spark, rows, columns="doc_id long, text string"):
@@ -48,3 +49,83 @@ def test_nulls_repeats_ties_and_clashes(spark):
 
 def test_one_row_alone_keeps_its_words(spark):
     compare(spark, [(1, " ".join(f"t{i}" for i in range(500)))])
+
+
+def naive_factors(ws, blocks, own, window):
+    """Longest match at each place by trying every place of every block, from left to right."""
+    def common(i, b, o):
+        n = 0
+        while i + n < len(ws) and o + n < len(blocks[b]) and ws[i + n] == blocks[b][o + n]:
+            n += 1
+        return n
+
+    def longest(i):
+        tried = [(common(i, b, o), -b, -o) for b in range(len(blocks)) for o in range(len(blocks[b])) if own[b] < 0 or own[b] + o != i]
+        n, b, o = max(tried, default=(0, 0, 0))
+        return (n, -b, -o) if n >= window else (0, -1, -1)
+
+    out, i = [], 0
+    while i < len(ws):
+        n, b, o = longest(i)
+        if n:
+            out.append((i, n, b, o))
+        i += n or 1
+    return out
+
+
+@pytest.mark.parametrize("window", [7, 9])
+def test_the_parse_is_greedy(window):
+    """Against the definition: every factor is the longest match in any block at its place, and the next one starts behind it."""
+    number = WordHashes()
+    for seed in range(150):
+        r = random.Random(seed)
+        vocab = [b"w%d" % i for i in range(r.choice([1, 2, 3, 30]))]
+        base = [r.choice(vocab) for _ in range(120)]
+        blocks = [base[a:a + r.randint(5, 50)] for a in (r.randint(0, 80) for _ in range(r.randint(0, 5)))]
+        cuts = [(r.randint(0, 100), r.randint(1, 30)) for _ in range(r.randint(0, 4))]
+        ws = [w for a, n in cuts for w in [*base[a:a + n], r.choice(vocab)]]
+        own = [-1] * len(blocks)
+        if ws and r.random() < 0.5:  # a block of the text itself
+            a = r.randrange(len(ws))
+            blocks.append(ws[a:a + 40])
+            own.append(a)
+        parser = Parser(ws, list(zip(own, blocks)), number, window)
+        found = parser.factors()
+        assert found == naive_factors(ws, blocks, own, window)
+        places = {}
+        for b, block in enumerate(blocks):
+            for o in range(len(block) - window + 1):
+                places.setdefault(tuple(block[o:o + window]), []).append(own[b] + o if own[b] >= 0 else None)
+        want = set()
+        for i in range(len(ws) - window + 1):
+            if any(p != i for p in places.get(tuple(ws[i:i + window]), [])):
+                want.update(range(i, i + window))
+        assert set(parser.covered().nonzero()[0].tolist()) == want
+
+
+def test_windows_over_the_border_of_a_factor_are_checked():
+    """The longest match ends inside the text; a second block holds what lies over its end."""
+    ws = [b"w%d" % i for i in range(100)]
+    parser = Parser(ws, [(-1, ws[:60]), (-1, ws[40:85])], WordHashes())
+    assert [(i, n) for i, n, _, _ in parser.factors()] == [(0, 60)]
+    assert parser.covered().nonzero()[0].tolist() == list(range(85))
+
+
+def test_factors_come_from_words_not_from_hashes(monkeypatch):
+    """With hashes that are all equal the parse is the same: they propose, words decide."""
+    from tagloom.llm import substrings
+
+    ws = [b"w%d" % (i % 50) for i in range(90)]
+    references = [(-1, ws[10:60]), (-1, [b"x"] * 60)]
+    want = Parser(ws, references, WordHashes()).factors()
+    monkeypatch.setattr(substrings, "_ranges", lambda hashes, first, length: substrings.np.zeros(len(first), substrings.np.uint64))
+    assert Parser(ws, references, WordHashes()).factors() == want and want
+
+
+def test_long_texts_and_passages_over_many_blocks(spark):
+    """Passages longer than a reference block, from long texts, at any offset; a text that repeats one word."""
+    r = random.Random(2)
+    long = [f"v{r.randrange(5000)}" for _ in range(30_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[7_777:9_900])), (3, "pre " + " ".join(long[383:383 + 512 + 40]) + " post"), (4, "a " * 20_000),
+            (5, " ".join(long[29_000:] + [f"n{i}" for i in range(100)] + long[:700]))]
+    compare(spark, rows)
