@@ -63,3 +63,32 @@ def test_lang_and_source_are_no_inputs_of_a_prediction(spark):
     other = docs.withColumn("lang", F.when(held, F.lit("zz")).otherwise(F.col("lang")))
     a = {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(docs).collect()}
     assert a == {r["doc_id"]: r["lang_pred"] for r in language.identify_languages(other).collect()}
+
+
+def test_the_model_grows_with_its_entries_not_with_entries_times_languages(spark):
+    """Sixty languages with words of their own: the shared arrays hold one value per language that has an entry."""
+    import pickle
+    import random
+
+    rows = []
+    for k in range(60):
+        r = random.Random(k)
+        vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(700)]
+        rows += [(k * 12 + i, " ".join(r.choice(vocab) for _ in range(900)), f"l{k:02d}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    entries = sum(map(len, model.less))
+    assert len(model.languages) == 60 and entries > 150_000
+    assert sum(x.nbytes for part in (model.start, model.lang, model.less) for x in part) <= 12 * entries + 100
+    assert len(pickle.dumps(model)) < 60 << 20
+    got = language.predict(df, model, {"lang": F.col("lang")}).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_floors_rise_with_the_languages(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = language.entries(language.training_rows(docs)).count()
+    monkeypatch.setattr(language, "LANGUAGES", 0.05)
+    few = language.entries(language.training_rows(docs)).toPandas()
+    assert 0 < len(few) < whole / 2
+    assert few["share"].min() >= language.WORD_FLOOR * few["lang"].nunique() / 0.05
