@@ -114,8 +114,9 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns. Documents without words are kept once
-    if their place is below the cut of a thinned source, and never multiplied otherwise."""
+    """The mix itself: each document as often as it is taken, with all its columns. Documents without words (null texts too) are kept once
+    if their place is below the cut of a thinned source, and never multiplied otherwise. An empty table gives an empty one; very long
+    texts are counted whole."""
     from tagloom.operators.sizing import lookup_join
 
     sized = written(sized_documents(docs), "mix-sizes")

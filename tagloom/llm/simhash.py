@@ -113,7 +113,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
     Null and wordless texts have fingerprint zero and link like any other. Documents without an id get the component of
     their group, null if none of it has an id; repeated ids each get a row. An empty table gives an empty one. Equal fingerprints
-    are one node, so exact copies cost a row per task. Text is read once, in a narrow pass.
+    are one node, so exact copies cost a row per task. Text is read once, in a narrow pass, whole however long it is.
     """
     made = written(fingerprints(docs, {"doc_id": F.col("doc_id")}), "fingerprints")
     nodes = written(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")

@@ -69,3 +69,10 @@ def test_hot_source(spark):
                                   F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
     rows = mix_plan(df).join(df.select("doc_id", "source"), "doc_id").collect()
     check(rows, lambda s: 3)
+
+
+def test_very_long_text_is_counted_whole(spark):
+    rows = [(1, "ab " * 700_000, "s"), (2, "x" * 3_000_000, "s"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["size"] for r in mix_plan(df).collect()} == {1: 700_000, 2: 1, 3: 0}
+    assert sorted(r["doc_id"] for r in mix(df).collect()) == [1, 2]

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import plain
@@ -48,3 +49,17 @@ def test_stages_on_an_empty_table_and_extra_columns(spark):
             now = stage(spark, now, folder)
             assert now.columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, now, folder).count()
+
+
+def test_null_and_repeated_ids_and_a_very_long_text_through_all_stages(spark):
+    """Two rows without an id, two different rows of one id, a text of 300,000 characters, wordless rows: five are encoded, each whole."""
+    r = random.Random(1)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
+    texts = [prose(60), prose(70), prose(80), prose(90) + " me@example.org", prose(46_000)]
+    rows = list(zip([None, None, 7, 7, 8], texts)) + [(9, ""), (10, None), (7, " ")]
+    now = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "/root/testdata/sf0.001")
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(i, tuple(lib.encode(t.replace("me@example.org", "[EMAIL]"), add_bos=True, add_eos=True))) for i, t in rows[:5]]
+    assert sorted(((x["doc_id"], tuple(x["piece_ids"])) for x in now.collect()), key=str) == sorted(want, key=str)

@@ -106,3 +106,12 @@ def test_repeated_ids_with_null_and_with_different_texts(spark):
     assert kept((5, a, 1), (5, a, 1), (5, b, 2), (3, b, 3), (None, c, 4), (None, c, 4), (None, a, 5)) == [(3, b, 3), (5, a, 1), (None, c, 4)]
     # (c) an id that stands for two groups, once and twice
     assert kept((5, a, 1), (5, b, 2), (5, b, 2)) == [(5, a, 1), (5, b, 2)]
+
+
+def test_very_long_texts_have_whole_fingerprints(spark):
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(9000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " tail"), (3, "y" * 1_000_000), (4, " ".join(reversed(long.split())))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["fingerprint"] for x in simhash.simhash_groups(df).collect()}
+    assert got == {i: f"{fp(t):016x}" for i, t in rows}
