@@ -322,13 +322,14 @@ def compared(met: DataFrame, bits: int, bands: int, threshold: float) -> DataFra
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    """``rows`` with node, a number of 64 bits for each distinct vector. Vectors that share a hash (their second hashes tell) are
+    """``rows`` with usable, row (a number of its own) and node, a number of 64 bits for each distinct vector. Vectors that share a hash (their second hashes tell) are
     numbered by another one."""
     from tagloom.operators.sizing import lookup_join
 
-    rows = written(rows.withColumn("node", node_hash(F.col("vector"))), "vectors")
+    rows = rows.withColumns({"usable": F.col("vector").isNotNull(), "row": F.monotonically_increasing_id(), "node": node_hash(F.col("vector"))})
+    rows = written(rows, "vectors")
     second = F.xxhash64(F.lit(1), "vector")
-    clashes = rows.where(F.col("vector").isNotNull()).groupBy("node").agg(F.min(second).alias("a"), F.max(second).alias("b")).where("a < b")
+    clashes = rows.where("usable").groupBy("node").agg(F.min(second).alias("a"), F.max(second).alias("b")).where("a < b")
     clashes = written(clashes.select("node", F.lit(True).alias("clash")), "clashes")
     if clashes.isEmpty():
         return rows
@@ -353,8 +354,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     from tagloom.operators.sizing import lookup_join
 
     rows = _named(packed_vectors(vectors))
-    ids = rows.where(F.col("vector").isNotNull()).select("node", "vector", "vec_id").distinct()
-    nodes = written(ids.groupBy("node").agg(F.first("vector").alias("vector"), F.count("vec_id").alias("copies"), F.min("vec_id").alias("least")), "nodes")
+    # one row stands for the equal vectors of a node; numbers are grouped, vectors stay where they are
+    grouped = rows.where("usable").groupBy("node").agg(
+        F.count_distinct("vec_id").alias("copies"), F.min("vec_id").alias("least"), F.min("row").alias("row"))
+    grouped = written(grouped.withColumnRenamed("node", "n"), "grouped")
+    nodes = written(lookup_join(rows, grouped, ["row"], how="inner").select("node", "vector", "copies", "least"), "nodes")
     bits, bands = plan_bands(nodes.count(), threshold, recall)
     codes = written(coded(nodes, bits, bands), "codes")
     met = codes.select("node", "size", "code", F.posexplode("bands").alias("band", "value"))
@@ -379,7 +383,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     known = known.select(F.col("node").alias("n"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("others"))
     known = written(known, "known")
     linked = F.col("n").isNotNull()
-    out = rows.join(known, (F.col("node") == F.col("n")) & F.col("vector").isNotNull(), "left")
+    out = rows.select("vec_id", "node", "usable").join(known, (F.col("node") == F.col("n")) & F.col("usable"), "left")
     return out.select(
         "vec_id", F.when(linked, F.greatest("others", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.when(linked, F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id")).withColumn(
