@@ -30,6 +30,8 @@ MEMO = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A span is first window * SPAN + number of windows.
 SPAN = 128
+#: Reference blocks kept per task, as many texts point to the same ones; emptied when full, which changes no result.
+BLOCKS_KEPT = 2000
 #: Words of a reference block, and words after which the next one starts; a window lies whole in the block in whose stride it starts.
 BLOCK, STRIDE = 512, 384
 
@@ -231,32 +233,46 @@ def reference_blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of equal words at the start of two runs of words."""
+    """Number of equal hashes at the start of two runs of words."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     return int(differ[0]) if len(differ) else n
 
 
+class Block:
+    """A reference block: its words, their hashes, the hashes of its windows."""
+
+    def __init__(self, ws: list[bytes], number: WordHashes, window: int = WINDOW):
+        self.words, self.hashes = ws, number(ws)
+        n = max(0, len(ws) - window + 1)
+        self.windows = _ranges(self.hashes, np.arange(n), window) if n else np.zeros(0, np.uint64)
+
+
 class Parser:
-    """Greedy parse of a text against reference blocks. Words are numbered exactly; hashes of windows only propose places."""
-
-    def __init__(self, ws: list[bytes], references: list[tuple[int, list[bytes]]], hashes: WordHashes, window: int = WINDOW):
-        """``references``: (place of its first word in this very text, or -1 if it is of another, words) of each block."""
-        numbers: dict[bytes, int] = {}
-        self.window, self.ids = window, np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64)
-        self.blocks = [np.array([numbers.setdefault(w, len(numbers)) for w in block], np.int64) for _, block in references]
-        self.own = np.array([p for p, _ in references], np.int64)
-        starts = [np.arange(max(0, len(b) - window + 1)) for b in self.blocks]
-        keys = [_ranges(hashes(block), s, window) if len(s) else np.zeros(0, np.uint64) for (_, block), s in zip(references, starts)]
-        key, block, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (
-            keys, [np.full(len(s), i) for i, s in enumerate(starts)], starts))
+    """Greedy parse of a text against reference blocks. Hashes propose places and lengths, words confirm them."""
+
+    def __init__(self, ws: list[bytes], references: list[tuple[int, Block]], number: WordHashes, window: int = WINDOW):
+        """``references``: (place of its first word in this very text, or -1 if it is of another, block) of each block."""
+        own = Block(ws, number, window)
+        self.window, self.words, self.hashes = window, ws, own.hashes
+        self.blocks = [b for _, b in references]
+        self.own = [p for p, _ in references]
+        none = np.zeros(0, np.int64)
+        key = np.concatenate([np.zeros(0, np.uint64), *[b.windows for b in self.blocks]])
+        block = np.concatenate([none, *[np.full(len(b.windows), i) for i, b in enumerate(self.blocks)]])
+        at = np.concatenate([none, *[np.arange(len(b.windows)) for b in self.blocks]])
         order = np.argsort(key, kind="stable")
         self.key, self.block, self.at = key[order], block[order], at[order]
-        n = max(0, len(ws) - window + 1)
-        mine = _ranges(hashes(ws), np.arange(n), window) if n else np.zeros(0, np.uint64)
-        self.low, self.high = np.searchsorted(self.key, mine, "left"), np.searchsorted(self.key, mine, "right")
+        self.low, self.high = np.searchsorted(self.key, own.windows, "left"), np.searchsorted(self.key, own.windows, "right")
         self.proposed = np.flatnonzero(self.high > self.low)
 
+    def _match(self, i: int, block: Block, at: int) -> int:
+        """Number of equal words from word i of the text and word ``at`` of a block on."""
+        n = _common(self.hashes[i:], block.hashes[at:])
+        if self.words[i:i + n] == block.words[at:at + n]:
+            return n
+        return next(k for k in range(n) if self.words[i + k] != block.words[at + k])
+
     def longest(self, i: int) -> tuple[int, int, int]:
         """(length, block, place in it) of the longest match at word i in any block, the first of equally long ones; length 0 if none
         reaches a window. A place of the text does not match itself."""
@@ -265,7 +281,7 @@ class Parser:
             block, at = int(self.block[k]), int(self.at[k])
             if self.own[block] >= 0 and self.own[block] + at == i:
                 continue
-            n = _common(self.ids[i:], self.blocks[block][at:])
+            n = self._match(i, self.blocks[block], at)
             if n >= self.window and (n > best[0] or n == best[0] and (block, at) < best[1:]):
                 best = (n, block, at)
         return best
@@ -283,7 +299,7 @@ class Parser:
 
     def covered(self) -> np.ndarray:
         """Which words a duplicate window covers: the factors, and what matches from a place before the end of a factor over its border."""
-        out = np.zeros(len(self.ids), bool)
+        out = np.zeros(len(self.words), bool)
         for i, n, _, _ in self.factors():
             out[i:i + n] = True
             end = i + n
@@ -295,10 +311,10 @@ class Parser:
 
     def _elsewhere(self, i: int) -> bool:
         """Whether the window at word i stands in a block at another place."""
-        own = self.ids[i:i + self.window]
+        own = self.words[i:i + self.window]
         for k in range(self.low[i], self.high[i]):
             block, at = int(self.block[k]), int(self.at[k])
-            if (self.own[block] < 0 or self.own[block] + at != i) and np.array_equal(own, self.blocks[block][at:at + self.window]):
+            if (self.own[block] < 0 or self.own[block] + at != i) and own == self.blocks[block].words[at:at + self.window]:
                 return True
         return False
 
@@ -324,6 +340,14 @@ def drop_substrings(docs: DataFrame, text: str = "text", kept_text: bool = True)
 
     def kernel_of():
         number, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        known: dict[tuple[int, int], Block] = {}
+
+        def block_of(ref: int, at: int, packed: bytes) -> Block:
+            if (ref, at) not in known:
+                if len(known) >= BLOCKS_KEPT:
+                    known.clear()
+                known[ref, at] = Block(unpack(packed).split(), number)
+            return known[ref, at]
 
         def kernel(batch):
             out = []
@@ -332,7 +356,7 @@ def drop_substrings(docs: DataFrame, text: str = "text", kept_text: bool = True)
                 n = len(ws)
                 if found:
                     places = sorted((b["ref"], b["at"], b["packed"]) for b in found)
-                    parser = Parser(ws, [(at * STRIDE if ref == num else -1, unpack(p).split()) for ref, at, p in places], number)
+                    parser = Parser(ws, [(at * STRIDE if ref == num else -1, block_of(ref, at, p)) for ref, at, p in places], number)
                     ws = [ws[i] for i in np.flatnonzero(~parser.covered()).tolist()]
                 kept = b" ".join(ws)
                 out.append((n, n - len(ws), hashlib.sha256(kept).hexdigest(), *([kept.decode()] * kept_text)))

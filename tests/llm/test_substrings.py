@@ -4,7 +4,7 @@ import plain
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm.substrings import Parser, WordHashes, drop_substrings
+from tagloom.llm.substrings import Block, Parser, WordHashes, drop_substrings
 
 
 def compare(spark, rows, columns="doc_id long, text string"):
@@ -89,7 +89,7 @@ def test_the_parse_is_greedy(window):
             a = r.randrange(len(ws))
             blocks.append(ws[a:a + 40])
             own.append(a)
-        parser = Parser(ws, list(zip(own, blocks)), number, window)
+        parser = Parser(ws, [(p, Block(b, number, window)) for p, b in zip(own, blocks)], number, window)
         found = parser.factors()
         assert found == naive_factors(ws, blocks, own, window)
         places = {}
@@ -106,20 +106,27 @@ def test_the_parse_is_greedy(window):
 def test_windows_over_the_border_of_a_factor_are_checked():
     """The longest match ends inside the text; a second block holds what lies over its end."""
     ws = [b"w%d" % i for i in range(100)]
-    parser = Parser(ws, [(-1, ws[:60]), (-1, ws[40:85])], WordHashes())
+    number = WordHashes()
+    parser = Parser(ws, [(-1, Block(ws[:60], number)), (-1, Block(ws[40:85], number))], number)
     assert [(i, n) for i, n, _, _ in parser.factors()] == [(0, 60)]
     assert parser.covered().nonzero()[0].tolist() == list(range(85))
 
 
 def test_factors_come_from_words_not_from_hashes(monkeypatch):
-    """With hashes that are all equal the parse is the same: they propose, words decide."""
+    """With hashes of windows and of words that are all equal the parse is the same: they propose, words decide."""
     from tagloom.llm import substrings
 
-    ws = [b"w%d" % (i % 50) for i in range(90)]
-    references = [(-1, ws[10:60]), (-1, [b"x"] * 60)]
-    want = Parser(ws, references, WordHashes()).factors()
-    monkeypatch.setattr(substrings, "_ranges", lambda hashes, first, length: substrings.np.zeros(len(first), substrings.np.uint64))
-    assert Parser(ws, references, WordHashes()).factors() == want and want
+    np, ws = substrings.np, [b"w%d" % (i % 50) for i in range(90)]
+
+    def parsed(number):
+        parser = Parser(ws, [(-1, Block(ws[10:60], number)), (-1, Block([b"x"] * 60, number))], number)
+        return parser.factors(), parser.covered().tolist()
+
+    want = parsed(WordHashes())
+    assert want[0]
+    monkeypatch.setattr(substrings, "_ranges", lambda hashes, first, length: np.zeros(len(first), np.uint64))
+    assert parsed(WordHashes()) == want
+    assert parsed(lambda words: np.zeros(len(words), np.uint64)) == want
 
 
 def test_long_texts_and_passages_over_many_blocks(spark):
