@@ -21,8 +21,11 @@ from tagloom.llm.batches import map_texts, sha256_hex
 # The base patterns. Letters of the words before an assigned value count in either case, ASCII only.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
+#: A run of hex digits, met where it starts; shorter ones fail anyway.
+HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}+")
+#: What a text holds in lower case if ASSIGN matches in it.
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE = ("assign", "access", "hex")
 #: All kinds in the order in which they are listed.
 KINDS = (*BASE, "pem", "der", "openssh", "token", "checked", "wrapped")
@@ -30,7 +33,8 @@ KINDS = (*BASE, "pem", "der", "openssh", "token", "checked", "wrapped")
 #: A candidate run is met where it starts, and matched possessively, so that time is linear in the text.
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 PEM_END = re.compile(r"-----END ([A-Z0-9 ]{1,40})-----")
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}+")
+BASE64_LEAST = 40
+BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_LEAST},}}+={{0,2}}+")
 HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{64,}+|[0-9A-F]{64,}+)(?![0-9A-Za-z])")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]*+)(?![A-Za-z0-9_.-]*[A-Za-z0-9_-])")
 # Prefixes of tokens that end in six base-62 digits of the CRC-32 of the thirty characters before.
@@ -256,20 +260,27 @@ def _decoded(data: bytes, wraps: int) -> tuple[str, str] | None:
     return None
 
 
+def longest_word(text: str) -> int:
+    """Characters of the longest run without white space; no candidate of hex or base64 is longer."""
+    return max(map(len, text.split()), default=0)
+
+
 def confirmed(text: str, wraps: int = WRAPS) -> list[tuple[str, int, int, str]]:
     """Structurally confirmed secrets of a text: kind, start, end, detail. A part of a larger one is not reported again."""
     out = []
     for label, start, a, b, end in _pem_blocks(text):
         if (detail := _pem_key(label, text[a:b])) is not None:
             out.append(("pem", start, end, detail))
-    for m in SIGNED.finditer(text):
+    for m in SIGNED.finditer(text) if "eyJ" in text else ():
         if (detail := signed_token(*m.groups())) is not None:
             out.append(("token", *m.span(), detail))
-    for m in CHECKED.finditer(text):
+    for m in CHECKED.finditer(text) if "gh" in text and "_" in text else ():
         if checked_token(m[1], m[2]):
             out.append(("checked", *m.span(), m[0][:3]))
     taken = sorted((s, e) for _, s, e, _ in out)
     starts = [s for s, _ in taken]
+    if longest_word(text) < BASE64_LEAST:  # a run of hex is longer still
+        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
     def free(a: int, b: int) -> bool:
         i = bisect.bisect_left(starts, b) - 1
@@ -283,9 +294,12 @@ def confirmed(text: str, wraps: int = WRAPS) -> list[tuple[str, int, int, str]]:
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
-    out = [("assign", *m.span(), "") for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST]
+    lower, out = text.lower(), []
+    if any(w in lower for w in ASSIGN_WORDS):
+        out += [("assign", *m.span(), "") for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST]
     out += [("access", *m.span(), "") for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
-    out += [("hex", *m.span(), "") for m in HEX.finditer(text) if len(m[0]) >= HEX_LEAST]
+    if longest_word(text) >= HEX_LEAST:
+        out += [("hex", *m.span(), "") for m in HEX.finditer(text)]
     return out
 
 
