@@ -43,14 +43,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^0 .. BASE^n and their inverses; as BASE is odd it has an inverse mod 2^64. Kept, and made anew when longer ones are asked for."""
+    if len(_POWERS[0]) <= n:
+        size = max(n, 2 * len(_POWERS[0]), 4096)
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))):
+                _POWERS[k] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(size, base, np.uint64)), dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n + 1]
+
+
 def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """s[i] such that the hash of words a..b-1 is (s[b] - s[a]) * BASE^-a; as BASE is odd it has an inverse mod 2^64."""
+    """s[i] such that the hash of words a..b-1 is (s[b] - s[a]) * BASE^-a, and these inverse powers."""
     n = len(hashes)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), _BASE, np.uint64)]), dtype=np.uint64)[:n]
-        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)]), down
+        np.cumsum(hashes * up, dtype=np.uint64, out=sums[1:])
+    return sums, down
 
 
 def _ranges(hashes: np.ndarray, first: np.ndarray, length) -> np.ndarray:
@@ -160,14 +173,17 @@ def _windows(with_text: DataFrame) -> DataFrame:
         number, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
 
         def kernel(batch):
-            for num, packed, chosen in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                hashes = number(unpack(packed).split())
-                span = np.array([c["span"] for c in chosen], np.int64)
-                count = span % SPAN
-                which = np.repeat(np.arange(len(span)), count)
-                first = (span // SPAN)[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                yield (np.array([c["anchor"] for c in chosen], np.int64)[which], _ranges(hashes, first, WINDOW).astype(np.int64),
-                       np.full(len(which), num, np.int64), first * SPAN + 1, np.array([c["shared"] for c in chosen], bool)[which])
+            parts = [unpack(p).split() for p in batch.column(1).to_pylist()]
+            hashes = number([w for p in parts for w in p])
+            start = np.cumsum([0, *map(len, parts)]).astype(np.int64)
+            pieces = batch.column(2).flatten()
+            anchor, span, shared = (pieces.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "span", "shared"))
+            row = np.repeat(np.arange(len(parts)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            count = span % SPAN
+            which = np.repeat(np.arange(len(span)), count)
+            first = (span // SPAN)[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            nums = batch.column(0).to_numpy(zero_copy_only=False)
+            yield (anchor[which], _ranges(hashes, start[row][which] + first, WINDOW).astype(np.int64), nums[row][which], first * SPAN + 1, shared[which])
 
         return kernel
 
@@ -264,7 +280,12 @@ class Parser:
         order = np.argsort(key, kind="stable")
         self.key, self.block, self.at = key[order], block[order], at[order]
         self.low, self.high = np.searchsorted(self.key, own.windows, "left"), np.searchsorted(self.key, own.windows, "right")
-        self.proposed = np.flatnonzero(self.high > self.low)
+        # windows that stand anywhere but at their own place
+        here = np.zeros(len(own.windows), np.int64)
+        for place, b in references:
+            if place >= 0:
+                here[place:place + len(b.windows)] += 1
+        self.proposed = np.flatnonzero(self.high - self.low > here)
 
     def _match(self, i: int, block: Block, at: int) -> int:
         """Number of equal words from word i of the text and word ``at`` of a block on."""
@@ -304,9 +325,10 @@ class Parser:
             out[i:i + n] = True
             end = i + n
             a, b = np.searchsorted(self.proposed, [max(i, end - self.window + 1), end])
-            for s in self.proposed[a:b].tolist():
-                if self._elsewhere(s):
+            for s in self.proposed[a:b][::-1].tolist():
+                if self._elsewhere(s):  # the last one covers what those before it cover
                     out[s:s + self.window] = True
+                    break
         return out
 
     def _elsewhere(self, i: int) -> bool:
