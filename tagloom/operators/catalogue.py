@@ -78,8 +78,9 @@ def bucket_catalogue(
 
 def pending(targets: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Targets not stored yet. The stored keys are made distinct first, on the map
-    side too, so a key stored many times is one row when the sides meet."""
-    return targets.join(existing.select(*keys).distinct(), keys, "left_anti")
+    side too, so a key stored many times is one row when the sides meet. What is
+    stored grows with the input and is never broadcast."""
+    return targets.join(existing.select(*keys).distinct().hint("merge"), keys, "left_anti")
 
 
 def _leaves(node, skip: frozenset, out: list) -> None:

@@ -69,7 +69,7 @@ def lookup_join(
     that holds a third of them costs nothing (``small`` passes on a measurement the
     caller has made). Beyond the limits the table is
     repeated once per salt and the facts spread over the salts, so that a hot key
-    is shared by ``SALTS`` tasks. The salt is a hash of the partition's number and the row: equal rows of many
+    is shared by ``SALTS`` tasks; both sides are shuffled, neither passes the driver. The salt is a hash of the partition's number and the row: equal rows of many
     partitions spread as well, and a task that runs again gives its rows the same salts. ``how`` is inner, left, left_semi or left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -80,7 +80,8 @@ def lookup_join(
     else:
         spread = [F.col(f"`{f.name}`") for f in facts.schema if _can_salt(f.dataType)]
         left = facts.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *spread), F.lit(SALTS)))
-        right = renamed.withColumn("__r_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        # Spark's own estimate does not know of the repeats nor of compressed files, and would broadcast them
+        right = renamed.withColumn("__r_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))).hint("merge")
         extra = ["salt"]
     test = F.lit(True)
     for k in on:

@@ -112,9 +112,10 @@ def catalogue(spark, sf):
     pages = order_pages(spark, sf).withColumn("data", F.transform("data", lambda o: F.struct(
         o["o_orderkey"].cast("string").alias("id"), o["o_orderpriority"].alias("setCode"), o["o_custkey"].alias("dex"))))
     wanted = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("dex"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey").hint("merge")  # grows with the stored files: never broadcast
     stored = (
         table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_orderkey").distinct()
-        .join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_custkey").alias("dex"), F.concat(F.lit("card_"), "o_orderkey", F.lit(".png")).alias("file_name")))
     items, _ = catalogue_items(pages, wanted, stored, "dex", supertype=None, cap=4)
     return items.select(F.col("page"), F.col("pos").cast("bigint").alias("pos"), "dex", "id", "file_name")

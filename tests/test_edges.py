@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
 from tagloom.functions import text
 from tagloom.operators import catalogue, evaluation, gate, images, labels, ranking, sampling, scoring, sizing
 from tagloom.operators.head import fit_head
@@ -152,3 +153,31 @@ def test_head_says_whether_it_converged(spark):
     df = spark.range(60).select((F.col("id") % 2).cast("string").alias("y"), F.array((F.col("id") % 2) + F.rand(3), F.rand(4)).alias("x"))
     assert not fit_head(df, "x", "y", max_iter=1, tol=0.0).converged
     assert fit_head(df, "x", "y", max_iter=60, tol=1e-3).converged
+
+
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_a_lookup_beyond_the_limits_is_never_broadcast(spark, capsys, tmp_path, how):
+    """Neither the repeated lookup nor the facts, though Spark takes both for small: a file of 20 rows."""
+    spark.range(20).select((F.col("id") % 4).alias("k"), "id").write.parquet(str(tmp_path / "facts"))
+    spark.range(3).withColumnRenamed("id", "k").write.parquet(str(tmp_path / "lookup"))
+    facts, lookup = spark.read.parquet(str(tmp_path / "facts")), spark.read.parquet(str(tmp_path / "lookup"))
+    joined = sizing.lookup_join(facts, lookup, ["k"], how=how, max_rows=2)
+    plan = plan_of(joined, capsys)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert joined.count() == {"inner": 15, "left": 20, "left_semi": 15, "left_anti": 5}[how]
+    assert "BroadcastHashJoin" in plan_of(sizing.lookup_join(facts, lookup, ["k"], how=how, max_rows=3), capsys)
+
+
+def test_the_catalogue_broadcasts_no_orders(spark, capsys, monkeypatch):
+    from tagloom.queries.datasets import catalogue as items
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 10)
+    plan = plan_of(items(spark, SF), capsys)
+    assert "SortMergeJoin [l_orderkey" in plan and "SortMergeJoin [dex" in plan
+    assert not [x for x in plan.split("\n") if "BroadcastHashJoin [" in x and ("l_orderkey" in x or "dex" in x)]
