@@ -93,6 +93,20 @@ def _leaves(node, skip: frozenset, out: list) -> None:
             out.append(here)
 
 
+def _walked(docs: pa.Array, skip: frozenset) -> pa.Array:
+    """The leaves of a batch; one document at a time is a Python string, as a batch may hold many long ones."""
+    result = []
+    for doc in docs:
+        found: list[str] = []
+        if doc.is_valid:
+            try:
+                _leaves(json.loads(doc.as_py()), skip, found)
+            except (ValueError, RecursionError):  # deeper than a reader can follow
+                pass
+        result.append(found)
+    return pa.array(result, type=pa.list_(pa.string()))
+
+
 def string_leaves(json_col: Column, skip: Sequence[str] = ("versions",)) -> Column:
     """String leaves reached through objects only, in document order; subtrees
     under a skipped key are left out. Unreadable documents give no leaves."""
@@ -100,16 +114,7 @@ def string_leaves(json_col: Column, skip: Sequence[str] = ("versions",)) -> Colu
 
     @F.arrow_udf("array<string>")
     def walk(docs: pa.Array) -> pa.Array:
-        result = []
-        for doc in docs.to_pylist():
-            found: list[str] = []
-            if doc is not None:
-                try:
-                    _leaves(json.loads(doc), skipped, found)
-                except (ValueError, RecursionError):  # deeper than a reader can follow
-                    pass
-            result.append(found)
-        return pa.array(result, type=pa.list_(pa.string()))
+        return _walked(docs, skipped)
 
     return walk(json_col)
 

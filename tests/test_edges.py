@@ -181,3 +181,18 @@ def test_the_catalogue_broadcasts_no_orders(spark, capsys, monkeypatch):
     plan = plan_of(items(spark, SF), capsys)
     assert "SortMergeJoin [l_orderkey" in plan and "SortMergeJoin [dex" in plan
     assert not [x for x in plan.split("\n") if "BroadcastHashJoin [" in x and ("l_orderkey" in x or "dex" in x)]
+
+
+def test_long_documents_of_a_batch_are_read_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    deep = "[" * 200_000 + "]" * 200_000
+    docs = pa.array([None, '{"a":"x","v":{"b":"y"}}', *[deep] * 50, '{"c":"z"}', "no json"], pa.string())
+    tracemalloc.start()
+    got = catalogue._walked(docs, frozenset(["v"])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[], ["x"], *[[]] * 50, ["z"], []]
+    assert peak < 4_000_000  # 50 documents are 20 MB
