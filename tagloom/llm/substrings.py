@@ -13,9 +13,11 @@ only say where to look: what counts is the extension, which compares words.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,6 +34,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 SPAN = 128
 #: Reference blocks kept per task, as many texts point to the same ones; emptied when full, which changes no result.
 BLOCKS_KEPT = 2000
+#: Bytes of texts and rows that a kernel gets at once.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 256
 #: Words of a reference block, and words after which the next one starts; a window lies whole in the block in whose stride it starts.
 BLOCK, STRIDE = 512, 384
 
@@ -117,14 +121,34 @@ def blocks(hashes: np.ndarray, ends: np.ndarray, window: int = WINDOW, gram: int
             first - np.append(0, ends)[text], count)
 
 
-def _batches(kernel_of, schema: T.StructType):
+def _sizes(column: pa.Array) -> list[int]:
+    """Bytes of the texts of a column, plain or packed; a packed one states its size in its first bytes."""
+    if not pa.types.is_binary(column.type):
+        return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    return [zstandard.frame_content_size(p.as_py()[:18]) for p in column]
+
+
+def slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """First row and number of rows that hold SLICE_BYTES and SLICE_ROWS at most; a longer text comes alone."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > SLICE_BYTES or i - start == SLICE_ROWS):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def _batches(kernel_of, schema: T.StructType, texts: str):
+    """Run a kernel over slices of bounded size; ``texts`` is the column whose texts count."""
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         kernel = kernel_of()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for made in kernel(batch.slice(start, 256)):
+            for start, n in slices(_sizes(batch.column(texts))):
+                for made in kernel(batch.slice(start, n)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
 
     return run
@@ -143,7 +167,7 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
 
         return kernel
 
-    return written(plain.mapInArrow(_batches(kernel_of, schema), schema), "texts")
+    return written(plain.mapInArrow(_batches(kernel_of, schema, "text"), schema), "texts")
 
 
 def indexed_blocks(texts: DataFrame) -> DataFrame:
@@ -162,7 +186,7 @@ def indexed_blocks(texts: DataFrame) -> DataFrame:
 
         return kernel
 
-    return texts.select("num", "packed").mapInArrow(_batches(kernel_of, schema), schema)
+    return texts.select("num", "packed").mapInArrow(_batches(kernel_of, schema, "packed"), schema)
 
 
 def _windows(with_text: DataFrame) -> DataFrame:
@@ -187,7 +211,7 @@ def _windows(with_text: DataFrame) -> DataFrame:
 
         return kernel
 
-    return with_text.mapInArrow(_batches(kernel_of, schema), schema)
+    return with_text.mapInArrow(_batches(kernel_of, schema, "packed"), schema)
 
 
 def _places() -> list[Column]:
@@ -241,11 +265,13 @@ def reference_blocks(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         def kernel(batch):
             for ref, packed, ats in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 ws = unpack(packed).split()
-                yield [ref] * len(ats), ats, [pack(b" ".join(ws[at * STRIDE:at * STRIDE + BLOCK])) for at in ats]
+                for k in range(0, len(ats), 256):  # a long text in parts
+                    some = ats[k:k + 256]
+                    yield [ref] * len(some), some, [pack(b" ".join(ws[at * STRIDE:at * STRIDE + BLOCK])) for at in some]
 
         return kernel
 
-    return written(chosen.mapInArrow(_batches(kernel_of, schema), schema), "reference")
+    return written(chosen.mapInArrow(_batches(kernel_of, schema, "packed"), schema), "reference")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -386,4 +412,4 @@ def drop_substrings(docs: DataFrame, text: str = "text", kept_text: bool = True)
 
         return kernel
 
-    return rows.mapInArrow(_batches(kernel_of, schema), schema)
+    return rows.mapInArrow(_batches(kernel_of, schema, "packed"), schema)

@@ -136,3 +136,24 @@ def test_long_texts_and_passages_over_many_blocks(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[7_777:9_900])), (3, "pre " + " ".join(long[383:383 + 512 + 40]) + " post"), (4, "a " * 20_000),
             (5, " ".join(long[29_000:] + [f"n{i}" for i in range(100)] + long[:700]))]
     compare(spark, rows)
+
+
+def test_kernels_get_slices_of_bounded_size(spark):
+    """By bytes, not only by rows; results do not depend on them."""
+    import pyarrow as pa
+    import zstandard
+
+    from tagloom.llm import substrings
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    texts = [b"a " * 50_000, b"", b"b c", b"d" * 400_000, b"e " * 300_000, b"f"]
+    sizes = [len(t) for t in texts]
+    assert substrings._sizes(pa.array(map(pack, texts), pa.binary())) == sizes
+    assert substrings._sizes(pa.array([*(t.decode() for t in texts), None, "é"], pa.string())) == [*sizes, 0, 2]
+    assert list(substrings.slices(sizes)) == [(0, 4), (4, 2)]
+    assert list(substrings.slices([3_000_000] * 3)) == [(0, 1), (1, 1), (2, 1)]
+    assert list(substrings.slices([1] * 600)) == [(0, 256), (256, 256), (512, 88)] and list(substrings.slices([])) == []
+    r = random.Random(4)
+    base = [f"v{r.randrange(90)}" for _ in range(3000)]
+    rows = [(i, " ".join(base[a:a + 400])) for i, a in enumerate(r.randrange(2500) for _ in range(25))]
+    compare(spark, rows)
